@@ -4,7 +4,7 @@ A word's vector is the average of the vectors of its character n-grams (with wor
 BUCKETS rows, so an unseen spelling shares most of them. A window of WINDOW words is the average of its words' vectors
 (a shorter one is filled with zero vectors) and goes through a linear softmax; rows and softmax are trained together. Labels are given to texts, not windows: after
 a first fit with the texts' labels, windows of toxic texts that look clean are counted as clean, but for the worst one.
-A text's score comes from its worst window through a logistic calibration on texts that the fit hasn't seen. Because
+A text's score comes from its worst window through a logistic curve, set on texts that the fit hasn't seen. Because
 averages and the softmax are linear, a word's share of the logit is one number, kept in a bounded table per worker.
 """
 
@@ -28,7 +28,9 @@ WINDOW = 1
 PER_LABEL, TEXT_WINDOWS = 1500, 4000
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
-PASSES = (2, 4)
+PASSES = (2, 6)
+#: Minibatches of a pass over a small sample, at least; they hold 64 to 4096 windows.
+STEPS = 150
 SEED = 7
 
 #: Bytes that belong to words: ASCII letters and digits, and all of other characters.
@@ -166,8 +168,9 @@ class _Trainer:
         at = np.repeat(self.bounds[windows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         return self.entries[at], self.weights[at], owner
 
-    def epoch(self, windows: np.ndarray, labels: np.ndarray, importance: np.ndarray, rate: float = 0.5, batch: int = 4096) -> None:
+    def epoch(self, windows: np.ndarray, labels: np.ndarray, importance: np.ndarray, rate: float = 0.5) -> None:
         order = self.random.permutation(len(windows))
+        batch = max(64, min(4096, len(windows) // STEPS))
         for a in range(0, len(order), batch):
             part = order[a : a + batch]
             buckets, weight, owner = self._take(windows[part])
@@ -194,19 +197,22 @@ class _Trainer:
 
 
 def calibrate(worst: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton's method with a weak prior."""
-    scale = max(float(worst.std()), 1e-6)
-    x = np.column_stack([(worst - worst.mean()) / scale, np.ones(len(worst))])
-    b = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -40, 40)))
-        slope = x.T @ (p - labels) + np.array([0.05, 0.0]) * b
-        curve = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag([0.05, 1e-6])
-        step = np.linalg.solve(curve, slope)
-        b -= np.clip(step, -3, 3)
-        if abs(step).max() < 1e-8:
-            break
-    return float(b[0] / scale), float(b[1] - b[0] * worst.mean() / scale)
+    """Slope and shift of a logistic curve that is THRESHOLD where a cut errs least (of equal cuts, in the widest gap).
+
+    Unlike a maximum-likelihood curve it doesn't flatten because of a few wrong labels.
+    """
+    order = np.argsort(worst, kind="stable")
+    x, y = worst[order], labels[order]
+    missed = np.concatenate([[0], np.cumsum(y)])
+    wrong = missed + (len(y) - y.sum()) - np.concatenate([[0], np.cumsum(1 - y)])
+    spread = max(float(np.median(x[y == 1]) - np.median(x[y == 0])), 1e-3)
+    edges = np.concatenate([[x[0] - spread], x, [x[-1] + spread]])
+    gaps = np.diff(edges)
+    least = np.flatnonzero((wrong == wrong[gaps > 0].min()) & (gaps > 0))
+    at = least[gaps[least].argmax()]
+    cut = (edges[at] + edges[at + 1]) / 2
+    slope = 8 / spread
+    return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
 
 
 def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
@@ -229,6 +235,15 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
     stride = -(-np.diff(of_text) // TEXT_WINDOWS)[text]
     some = np.flatnonzero(place % stride == 0)
     first, stop, text = first[some], stop[some], text[some]
+    # a text that repeats a window says no more by it
+    counts = stop - first
+    with np.errstate(over="ignore"):
+        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        mixed = (words[np.repeat(first, counts) + place].astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
+        content = np.add.reduceat(mixed, np.cumsum(counts) - counts) if len(first) else mixed
+    _, some = np.unique(np.stack([text.astype(np.uint64), content]), axis=1, return_index=True)
+    some.sort()
+    first, stop, text = first[some], stop[some], text[some]
     buckets, at = grams(vocabulary)
     sizes = np.diff(at)
     counts = stop - first
@@ -248,15 +263,16 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
         logit = np.add.reduceat(rows[entries] * weights, trainer.bounds[:-1]) + base
         top = np.full(len(used), -np.inf)
         np.maximum.at(top, text, logit)
-        bad = (label == 1) & ((logit > 0) | (logit == top[text]))
+        bad = (label == 1) & ((logit > np.maximum(0, 0.6 * top[text])) | (logit == top[text]))
         keep = bad | (label == 0) & (random.random(len(label)) < 0.5) | (label == 0) & (logit > -2)
         trainer.epoch(every[keep], bad[keep].astype(np.int64), np.ones(keep.sum(), np.float32))
     rows, base = trainer.bucket_logits()
     model = Model(rows, base, 1.0, 0.0)
     rest = [t for t, u in zip(texts, unseen) if u]
     seen = labels[unseen]
-    if len(rest) and 0 < seen.sum() < len(seen):
-        model.slope, model.shift = calibrate(model.worst(rest), seen)
+    if min(seen.sum(), len(seen) - seen.sum()) < 10:
+        rest, seen = texts, labels  # too few for a cut
+    model.slope, model.shift = calibrate(model.worst(rest), seen)
     return model
 
 
