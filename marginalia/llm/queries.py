@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe_codec, exact_dedup, huffman_files, language_id, packing, sharding, simhash, token_count, toxicity
+from . import bpe_codec, exact_dedup, huffman_files, imatch, language_id, packing, sharding, simhash, token_count, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_exact_dedup, op5_huffman_files, op6_token_counts, op7_bpe_codec, op8_language_id, op9_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_imatch, op4_exact_dedup, op5_huffman_files, op6_token_counts, op7_bpe_codec, op8_language_id, op9_sharding, op10_toxicity)}
 
 OP4_SQL = r"""
 WITH t AS (
