@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
-from pyspark.sql import DataFrame, SparkSession
+from . import queries
+from .queries.registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+for _module in pkgutil.iter_modules(queries.__path__):
+    importlib.import_module(f"{queries.__name__}.{_module.name}")
+
+__all__ = ["ORACLES", "QUERIES"]
