@@ -1,8 +1,8 @@
 """Token ids in files: canonical, length-limited Huffman codes from global counts, decoded by table in blocks.
 
-Documents are ordered by doc_id over range partitions. The ids of a task are cut into shards; a first pass stores them
-compressed, global counts of ids (one number per vocabulary entry, whatever the data) give one canonical code, and a
-second pass turns every stored run of documents into a shard image:
+A first pass stores every document's ids, compressed. Global counts of ids (one number per vocabulary entry, whatever
+the data) give one canonical code. Documents are then ordered by doc_id over range partitions, and each task cuts its
+run of them into shard images:
 
     magic "MHF1" | window bits, block ids, vocabulary size, documents, ids, blocks, payload bytes (uint64 each)
     | code length of each id (uint8) | doc_id and a null flag of each document (int64, uint8) | ids of each document (uint32)
@@ -172,8 +172,8 @@ def _expand(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def stored_runs(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """part, shard, before (ids of the part before it), n_ids, doc_ids, sizes, ids (compressed): the documents in ascending doc_id order, null first."""
+def stored_ids(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, data (compressed ids with the end id): written once, since counts and the files' order both need it."""
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
@@ -183,63 +183,63 @@ def stored_runs(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text
                 data = [_compact(np.append(ids[x:y], end_id)) for x, y in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names[a:b], pa.int64()), "data": pa.array(data, pa.binary())})
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, names, held, total = TaskContext.get().partitionId(), 0, [], [], 0
-        before = 0
-
-        def row() -> pa.RecordBatch:
-            sizes = np.array([len(x) for x in held], "<u4")
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([total], pa.int64()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "sizes": pa.array([sizes.tobytes()], pa.binary()), "ids": pa.array([_compact(np.concatenate(held))], pa.binary())})
-
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = _expand(data.as_py())
-                names.append(name)
-                held.append(ids)
-                total += len(ids)
-                if total >= SHARD_IDS:
-                    yield row()
-                    shard, before, names, held, total = shard + 1, before + total, [], [], 0
-        if names:
-            yield row()
-
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(ids_of, "doc_id long, data binary")
-    ordered = one.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "data")
-    return materialize(ordered.mapInArrow(runs, "part int, shard int, before long, n_ids long, doc_ids array<long>, sizes binary, ids binary"), "id-runs", compression="uncompressed")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(ids_of, "doc_id long, data binary")
+    return materialize(rows, "ids", compression="uncompressed")
 
 
-def global_counts(runs: DataFrame, vocabulary_size: int) -> np.ndarray:
+def global_counts(stored: DataFrame, vocabulary_size: int) -> np.ndarray:
     """How often each id occurs: as many numbers as the vocabulary has entries."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary_size, np.int64)
         for batch in batches:
+            held, size = [], 0
             for data in batch.column(0):
-                total += np.bincount(_expand(data.as_py()), minlength=vocabulary_size)
+                held.append(_expand(data.as_py()))
+                size += len(held[-1])
+                if size > SHARD_IDS:
+                    total += np.bincount(np.concatenate(held), minlength=vocabulary_size)
+                    held, size = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=vocabulary_size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
 
-    found = runs.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = stored.select("data").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(vocabulary_size, np.int64)
     counts[found.column("id").to_numpy()] = found.column("n").to_numpy()
     return counts
 
 
 def write_files(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The shards of all documents: part, shard, before (ids of the part before it), n_ids, image; stored in the shared folder."""
-    runs = stored_runs(docs, vocabulary, end_id, id_col, text_col)
+    """The shards of all documents: part, shard, before (ids of the part before it), n_ids, image; stored in the shared
+    folder. Documents stand in ascending doc_id order, null first: parts are ranges of doc_id in order."""
+    stored = stored_ids(docs, vocabulary, end_id, id_col, text_col)
     size = encoder(vocabulary).library.get_vocab_size(with_added_tokens=True)
-    lengths = code_lengths(global_counts(runs, size))
+    lengths = code_lengths(global_counts(stored, size))
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical_codes(lengths)
+        part, shard, before, names, held, total = TaskContext.get().partitionId(), 0, 0, [], [], 0
+
+        def row() -> pa.RecordBatch:
+            image = write_image(names, np.array([len(x) for x in held]), np.concatenate(held), lengths, codes)
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([total], pa.int64()), "image": pa.array([image], pa.binary())})
+
         for batch in batches:
-            for row in batch.to_pylist():
-                image = write_image(row["doc_ids"], np.frombuffer(row["sizes"], "<u4"), _expand(row["ids"]), lengths, codes)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]], pa.int32()), "shard": pa.array([row["shard"]], pa.int32()), "before": pa.array([row["before"]], pa.int64()), "n_ids": pa.array([row["n_ids"]], pa.int64()), "image": pa.array([image], pa.binary())})
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                names.append(name)
+                held.append(_expand(data.as_py()))
+                total += len(held[-1])
+                if total >= SHARD_IDS:
+                    yield row()
+                    shard, before, names, held, total = shard + 1, before + total, [], [], 0
+        if names:
+            yield row()
 
-    return materialize(runs.mapInArrow(images, "part int, shard int, before long, n_ids long, image binary"), "id-files", compression="uncompressed")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = stored.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "data")
+    return materialize(ordered.mapInArrow(images, "part int, shard int, before long, n_ids long, image binary"), "id-files", compression="uncompressed")
 
 
 def read_files(files: DataFrame) -> DataFrame:
