@@ -95,7 +95,7 @@ def sections(documents: DataFrame) -> DataFrame:
     body = review_body(F.col("text"), PARSER_BOUND)
     chunks = F.filter(F.split(body, r"(?m)(?=^###\s|^##\s+\d)"), lambda c: stripped(c).rlike(r"^#{2,3}\s+\S"))
     rows = documents.select("slug", F.posexplode(chunks).alias("chunk_no", "chunk"))
-    marker = r"(?=(?:\*\*[^*\n]+\*\*\s*\n\s*)?<!--\s*section_id:)"
+    marker = r"(?=\*\*[^*\n]+\*\*\s*\n\s*<!--\s*section_id:)|(?<!\*\*\n)(?=<!--\s*section_id:)"
     pieces = F.split("chunk", marker)
     # the first piece is the heading; it belongs to the first marker's piece
     joined = F.when(F.size(pieces) <= 2, F.array("chunk")).otherwise(F.concat(F.array(F.concat(F.get(pieces, F.lit(0)), F.get(pieces, F.lit(1)))), F.slice(pieces, 3, F.size(pieces))))
