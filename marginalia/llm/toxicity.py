@@ -25,7 +25,7 @@ BUCKETS, WIDTH = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
 WINDOW = 1
 #: Bounds of the training sample: texts of each label, and windows of one text.
-PER_LABEL, TEXT_WINDOWS = 1500, 4000
+PER_LABEL, TEXT_WINDOWS = 1000, 4000
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 PASSES = (2, 6)
@@ -143,7 +143,7 @@ class Model:
         found = []
         while at < len(texts):
             stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + len(texts[stop]) < 3_000_000):
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) < 800_000):
                 size += len(texts[stop])
                 stop += 1
             found.append(1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts[at:stop]) + self.shift, -40, 40))))
@@ -151,11 +151,19 @@ class Model:
         return np.concatenate(found) if found else np.zeros(0)
 
 
+def _runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (counts[0] numbers), then the same from first[1]."""
+    return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 class _Trainer:
-    """Rows and softmax by Adagrad on minibatches of windows."""
+    """Rows and softmax by Adagrad on minibatches of windows, whose n-grams are laid out for one batch at a time.
 
-    def __init__(self, entries: np.ndarray, weights: np.ndarray, bounds: np.ndarray):
-        self.entries, self.weights, self.bounds = entries, weights, bounds
+    ``buckets`` and ``at``: n-grams of each vocabulary word. ``words``: the texts' words; windows are ranges of them.
+    """
+
+    def __init__(self, buckets: np.ndarray, at: np.ndarray, words: np.ndarray, first: np.ndarray, stop: np.ndarray):
+        self.buckets, self.at, self.words, self.first, self.counts = buckets, at, words, first, stop - first
         random = np.random.default_rng(SEED)
         self.random = random
         self.rows = random.normal(0, 0.3, (BUCKETS, WIDTH)).astype(np.float32)
@@ -163,10 +171,18 @@ class _Trainer:
         self.seen = [np.full(x.shape, 1e-6, np.float32) for x in (self.rows, self.softmax, self.bias)]
 
     def _take(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = self.bounds[windows + 1] - self.bounds[windows]
-        owner = np.repeat(np.arange(len(windows)), sizes)
-        at = np.repeat(self.bounds[windows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        return self.entries[at], self.weights[at], owner
+        counts = self.counts[windows]
+        inside = self.words[_runs(self.first[windows], counts)]
+        many = self.at[inside + 1] - self.at[inside]
+        owner = np.repeat(np.repeat(np.arange(len(windows)), counts), many)
+        return self.buckets[_runs(self.at[inside], many)], np.repeat(1 / (many * WINDOW), many).astype(np.float32), owner
+
+    def logits(self) -> np.ndarray:
+        """The toxic logit of each window."""
+        rows, base = self.bucket_logits()
+        word = np.add.reduceat(rows[self.buckets], self.at[:-1]) / np.diff(self.at)
+        total = np.concatenate([[0.0], np.cumsum(word[self.words])])
+        return (total[self.first + self.counts] - total[self.first]) / WINDOW + base
 
     def epoch(self, windows: np.ndarray, labels: np.ndarray, importance: np.ndarray, rate: float = 0.5) -> None:
         order = self.random.permutation(len(windows))
@@ -238,29 +254,25 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
     # a text that repeats a window says no more by it
     counts = stop - first
     with np.errstate(over="ignore"):
-        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = _runs(np.zeros_like(counts), counts)
         mixed = (words[np.repeat(first, counts) + place].astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
         content = np.add.reduceat(mixed, np.cumsum(counts) - counts) if len(first) else mixed
-    _, some = np.unique(np.stack([text.astype(np.uint64), content]), axis=1, return_index=True)
-    some.sort()
+    order = np.lexsort((content, text))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (content[order[1:]] != content[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+    some = np.sort(order[fresh])
     first, stop, text = first[some], stop[some], text[some]
-    buckets, at = grams(vocabulary)
-    sizes = np.diff(at)
-    counts = stop - first
-    inside = words[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
-    many = sizes[inside]
-    entries = buckets[np.repeat(at[inside] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-    weights = np.repeat(1 / (many * WINDOW), many).astype(np.float32)
-    per_window = np.add.reduceat(many, np.cumsum(counts) - counts)
-    trainer = _Trainer(entries, weights, np.concatenate([[0], np.cumsum(per_window)]))
+    parts = [grams(vocabulary[a : a + 20_000]) for a in range(0, len(vocabulary), 20_000)]
+    buckets = np.concatenate([p[0].astype(np.int32) for p in parts])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+    trainer = _Trainer(buckets, at, words, first, stop)
     every, label = np.arange(len(first)), own[text]
     random = np.random.default_rng(SEED)
     keep = (label == 1) | (random.random(len(label)) < max(0.2, 1.5 * label.mean()))
     for _ in range(PASSES[0]):
         trainer.epoch(every[keep], label[keep], np.ones(keep.sum(), np.float32))
     for _ in range(PASSES[1]):
-        rows, base = trainer.bucket_logits()
-        logit = np.add.reduceat(rows[entries] * weights, trainer.bounds[:-1]) + base
+        logit = trainer.logits()
         top = np.full(len(used), -np.inf)
         np.maximum.at(top, text, logit)
         bad = (label == 1) & ((logit > np.maximum(0, 0.6 * top[text])) | (logit == top[text]))
