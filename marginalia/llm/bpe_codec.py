@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import byte_pieces, encoder, texts_of
+from .words import encoder, texts_of
 
 _pieces: dict[str, pa.Array] = {}
 
@@ -22,8 +22,7 @@ _pieces: dict[str, pa.Array] = {}
 def piece_table(vocabulary: str) -> pa.Array:
     """The bytes of each id, by position."""
     if vocabulary not in _pieces:
-        library = encoder(vocabulary).library
-        table = byte_pieces(library.get_vocab(with_added_tokens=True))
+        table = encoder(vocabulary).pieces()
         _pieces[vocabulary] = pa.array([table.get(i) for i in range(max(table) + 1)], pa.large_binary())
     return _pieces[vocabulary]
 

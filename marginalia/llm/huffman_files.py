@@ -215,7 +215,7 @@ def write_files(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
     """The shards of all documents: part, shard, before (ids of the part before it), n_ids, image; stored in the shared
     folder. Documents stand in ascending doc_id order, null first: parts are ranges of doc_id in order."""
     stored = stored_ids(docs, vocabulary, end_id, id_col, text_col)
-    size = encoder(vocabulary).library.get_vocab_size(with_added_tokens=True)
+    size = max(encoder(vocabulary).size, end_id + 1)
     lengths = code_lengths(global_counts(stored, size))
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

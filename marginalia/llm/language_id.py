@@ -27,7 +27,7 @@ LANDMARKS, RIDGE, SHARPNESS = 192, 0.3, 6.0
 FOLDS = 5
 NONE = "und"
 #: Bytes, and documents, whose presence matrix is made at once.
-SLICE_BYTES, SLICE_DOCUMENTS = 2_000_000, 256
+SLICE_BYTES, SLICE_DOCUMENTS = 500_000, 256
 
 _MULTIPLIER = np.uint32(2654435761)
 

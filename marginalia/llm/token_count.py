@@ -15,13 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import TABLE_WORDS, byte_alphabet, slices, split_words, texts_of, vocabulary_path
+from .words import COSTLY_WORDS, byte_alphabet, slices, split_words, texts_of, vocabulary_path
 
 
 class MergeCounter:
     """Counts of words under a byte-level vocabulary (a tokenizers .json without normaliser)."""
 
-    def __init__(self, path: str, limit: int = TABLE_WORDS):
+    def __init__(self, path: str, limit: int = COSTLY_WORDS):
         spec = json.load(open(vocabulary_path(path)))
         if spec["normalizer"] is not None or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("a byte-level vocabulary without normaliser or prefix space is needed")

@@ -16,6 +16,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Characters of white space in the sense of the pattern's \s.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Code points of a slice that is cut at once: bounds the memory of the arrays.
-SLICE_CHARS = 1_500_000
-#: Distinct words a worker keeps before it starts its table anew.
-TABLE_WORDS = 700_000
+SLICE_CHARS = 500_000
+#: Distinct words a worker keeps before it starts its table anew; more where encoding a word costs more.
+TABLE_WORDS, COSTLY_WORDS = 300_000, 700_000
 
 _classes: np.ndarray | None = None
 
@@ -186,17 +187,29 @@ class Encoder:
     """Ids of whole texts by a table of distinct words. Equal to the tokenizers library on the same file."""
 
     def __init__(self, path: str):
-        spec = json.load(open(vocabulary_path(path)))
+        self.path = vocabulary_path(path)
+        spec = json.load(open(self.path))
+        self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.byte_level = spec["normalizer"] is None
+        self.size = max([*spec["model"]["vocab"].values(), *self.specials.values()]) + 1
+        self.table = WordTable(self._ranked(spec)) if self.byte_level else WordTable(self._by_library, COSTLY_WORDS)
+
+    @cached_property
+    def library(self):
+        """The library's tokenizer; byte-level words do without it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(vocabulary_path(path))
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.byte_level = spec["normalizer"] is None
-        self.table = WordTable(self._ranked(spec) if self.byte_level else self._by_library)
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    def pieces(self) -> dict[int, bytes]:
+        """The bytes of each id, special tokens' too."""
+        spec = json.load(open(self.path))
+        return byte_pieces(spec["model"]["vocab"] | self.specials)
 
     def _by_library(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
