@@ -231,13 +231,13 @@ def calibrate(worst: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
 
 
-def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
-    """Fit on three quarters of the texts, calibrate on the rest."""
+def fit_texts(texts: list[str], labels: np.ndarray, learned: list[str] | None = None) -> Model:
+    """Fit on three quarters of the texts (of ``learned``, what to learn from each), calibrate on the rest."""
     if not len(texts) or labels.min() == labels.max():
         rate = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(BUCKETS), 0.0, 0.0, 30.0 * (2 * rate - 1))
     unseen = np.arange(len(texts)) % 4 == 3
-    used = [t for t, u in zip(texts, unseen) if not u]
+    used = [t for t, u in zip(learned or texts, unseen) if not u]
     own = labels[~unseen]
     runs, is_word, bounds = split(used)
     coded = runs.dictionary_encode()
@@ -288,19 +288,39 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
     return model
 
 
+def distinct_windows(text: str) -> tuple[bytes, bytes]:
+    """The words of the text's distinct windows, in order and space-joined (a short last one stays last), and of those
+    among its TEXT_WINDOWS evenly spaced windows, which the fit learns from."""
+    runs, is_word, _ = split([text])
+    words = runs.filter(pa.array(is_word)).to_pylist()
+    windows = [tuple(words[a : a + WINDOW]) for a in range(0, len(words), WINDOW)]
+    stride = max(1, -(-len(windows) // TEXT_WINDOWS))
+    every, some = (b" ".join(w for window in dict.fromkeys(x) for w in window) for x in (windows, windows[::stride]))
+    return every, some
+
+
+def _windows_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        every, some = zip(*map(distinct_windows, texts_of(batch.column(2)))) if batch.num_rows else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(every, pa.binary()), pa.array(some, pa.binary())], ["at", "_toxic", "windows", "learned"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> Model:
     """Learn from whole texts of a bounded sample of labelled rows outside the held-out fold.
 
-    A doc_id with several labels is toxic if one says so; null labels teach nothing.
+    A doc_id with several labels is toxic if one says so; null labels teach nothing. Only the distinct windows of the
+    sampled texts come to the driver, since a text that repeats a window says no more by it.
     """
     known = labels.where((fold(F.col("doc_id"), FOLDS) != HELD) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     condition, _ = sampled(known, "_id", "_toxic", per_label, 2)
     if condition is None:
         return fit_texts([], np.zeros(0, np.int64))
     chosen = F.broadcast(known.where(condition).limit(4 * per_label))  # bounded by the sample's size
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).join(chosen, "_id").select(F.xxhash64(F.lit("order"), "_id").alias("at"), "_toxic", "_text").limit(4 * per_label).toArrow().to_pylist()
-    found.sort(key=lambda r: (r["at"], r["_text"]))
-    return fit_texts([r["_text"] for r in found], np.array([int(r["_toxic"] == 1) for r in found], np.int64))
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).join(chosen, "_id").select(F.xxhash64(F.lit("order"), "_id").alias("at"), "_toxic", "_text")
+    kind = dict(found.dtypes)["_toxic"]
+    found = found.mapInArrow(_windows_of_rows, f"at long, _toxic {kind}, windows binary, learned binary").limit(4 * per_label).toArrow().to_pylist()
+    found.sort(key=lambda r: (r["at"], r["windows"]))
+    return fit_texts([r["windows"].decode() for r in found], np.array([int(r["_toxic"] == 1) for r in found], np.int64), [r["learned"].decode() for r in found])
 
 
 def scored(text: Column, model: Model) -> Column:

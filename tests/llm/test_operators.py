@@ -446,3 +446,12 @@ def test_query_equals_sql(spark, data, name):
     frame = queries.QUERIES[name](spark, data)
     relation = connect(data).sql(queries.ORACLES[name])
     assert rows_of(frame.columns, frame.collect()) == rows_of(relation.columns, relation.fetchall())
+
+
+def test_distinct_windows():
+    """Repeats go, order stays; the fit learns from evenly spaced windows of long texts."""
+    assert toxicity.distinct_windows("A b a! B c") == (b"a b c", b"a b c")
+    assert toxicity.distinct_windows("") == toxicity.distinct_windows(" ?") == (b"", b"")
+    long = [f"w{i}" for i in range(2 * toxicity.TEXT_WINDOWS)]
+    every, some = toxicity.distinct_windows(" ".join(long))
+    assert every.decode().split() == long and some.decode().split() == long[::2]
