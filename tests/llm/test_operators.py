@@ -241,6 +241,71 @@ def test_near_dedup_equals_brute_force(spark, odd, none):
     assert simhash_dedup.deduplicate(none).count() == 0
 
 
+def families() -> list[tuple]:
+    """5 to 50 variants of a text, pairs of which have similarities of about 0.75 to 0.85."""
+    rnd = random.Random(12)
+    rows = []
+    for size in (5, 8, 12, 20, 30, 50):
+        for edits in (2, 3):
+            base = [f"{rnd.choice(WORDS)}{rnd.randint(0, 99)}" for _ in range(210)]
+            for _ in range(size):
+                words = list(base)
+                for j in rnd.sample(range(210), edits + rnd.randint(0, 1)):
+                    words[j] = f"{rnd.choice(WORDS)}{rnd.randint(100, 999)}"
+                rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def groups_of(rows: list[tuple], linked) -> set:
+    """The smallest row of each component of the pairs that are ``linked``."""
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if linked(a, b):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    return {rows[root(a)][0] for a in range(len(rows))}
+
+
+def test_near_dedup_of_families_near_the_limit(spark, monkeypatch):
+    """Every pair within the radius that shares a band is tested where it could join two groups, however it is dealt."""
+    rows = families()
+    sets = [simhash_dedup.shingle_hashes(t) for _, t in rows]
+    made = [simhash_dedup.sketch(s) for s in sets]
+
+    def close(a, b):
+        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        return both / (len(sets[a]) + len(sets[b]) - both) >= 0.8
+
+    def met(a, b):
+        return (made[a][1] == made[b][1]).any() and np.bitwise_count(made[a][0] ^ made[b][0]).sum() <= simhash_dedup.RADIUS
+
+    want = groups_of(rows, lambda a, b: met(a, b) and close(a, b))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash_dedup.deduplicate(docs).collect()} == want
+    monkeypatch.setattr(simhash_dedup, "NEAREST", 2)
+    assert {r.doc_id for r in simhash_dedup.deduplicate(docs, split=4).collect()} == want
+
+
+def test_links_between_groups():
+    rnd = np.random.default_rng(5)
+    prints = np.repeat(rnd.integers(0, 1 << 63, (4, simhash_dedup.WORDS), dtype=np.uint64), 20, axis=0)
+    prints[:, 0] ^= rnd.integers(0, 1 << 20, 80, dtype=np.uint64)
+    prints = prints[np.argsort(np.bitwise_count(prints).sum(axis=1), kind="stable")]
+    groups = rnd.integers(0, 6, 80)
+    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if groups[a] != groups[b] and np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash_dedup.RADIUS}
+    left, right, more = simhash_dedup.closest_between(prints, groups, 80, tile=16)
+    assert set(zip(left.tolist(), right.tolist())) == want and not more
+    left, right, more = simhash_dedup.closest_between(prints, groups, 3, tile=16)
+    assert set(zip(left.tolist(), right.tolist())) < want and more and np.bincount(np.concatenate([left, right])).max() <= 3
+
+
 # 3: I-Match
 
 
