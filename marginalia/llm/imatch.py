@@ -1,12 +1,12 @@
 """I-Match document fingerprints; DataFrame functions only.
 
-The lexicon is the set of terms whose document frequency lies in a band: terms in LOWEST of the documents or more, and
-in HIGHEST or fewer. A document's distinct lexicon terms are sorted, and several randomised subsets of the lexicon are
+The lexicon is the set of terms whose document frequency, counted over distinct texts, lies in a band: terms in LOWEST
+of these or more, and in HIGHEST or fewer; so a large group of copies counts once and keeps its terms. A document's distinct lexicon terms are sorted, and several randomised subsets of the lexicon are
 hashed, each to one code. Subsets come in scales, from one in 32 lexicon terms to one in 2048, so that documents of a
 few lines and of a few hundred pages both meet some subsets of which they hold a term or two: such a code survives an
 edit unless the edit touches these terms.
 
-A band that starts at a share of the documents holds at most (distinct terms of an average document) / LOWEST terms,
+A band that starts at a share of the texts holds at most (distinct terms of an average text) / LOWEST terms,
 whatever the corpus; it becomes a bitmap of fixed size (1 MB), which is a constant of the plan. Nothing is joined on
 terms.
 """
@@ -35,20 +35,46 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _place(hashed: Column) -> list[Column]:
+    """The word of the bitmap and the bit in it that stand for a hash."""
+    place = F.pmod(hashed, F.lit(BITMAP))
+    return [F.floor(place / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")]
+
+
+def _constant(masks: dict[int, int]) -> Column:
+    return F.split(F.lit(",".join(str(masks.get(i, 0)) for i in range(BITMAP // 64))), ",").cast("array<bigint>")
+
+
+def _has(bitmap: Column, hashed: Column) -> Column:
+    place = F.pmod(hashed, F.lit(BITMAP))
+    return F.getbit(F.get(bitmap, F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1
+
+
+def distinct_texts(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
+    """text: one row of each distinct text; and their number.
+
+    Digests are counted first, and a bitmap of fixed size marks those that occur again. A row without a mark is the
+    only one of its text and stays where it is; the others, among them a few that share a mark by chance, are grouped.
+    """
+    text = F.coalesce(text_col, F.lit(""))
+    rows = docs.select(text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+    counted = rows.groupBy("digest").count().select(*_place(F.xxhash64("digest")), "count")
+    found = counted.groupBy("word").agg(F.bit_or(F.when(F.col("count") > 1, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("mask"), F.count(F.lit(1)).alias("texts")).collect()  # BITMAP / 64 rows at most
+    marked = _has(_constant({r["word"]: r["mask"] for r in found}), F.xxhash64("digest"))
+    again = rows.where(marked).groupBy("digest").agg(F.first("text").alias("text"))
+    return rows.where(~marked).select("text").unionByName(again.select("text")), sum(r["texts"] for r in found)
+
+
 def lexicon(docs: DataFrame, text_col: str = "text", lowest: float = LOWEST, highest: float = HIGHEST) -> Column:
     """The lexicon's bitmap as a constant: an array of BITMAP / 64 words, whatever the corpus. Term hashes are counted before the shuffle.
 
-    In corpora of under 1 / lowest documents a term needs two documents.
+    Each distinct text counts once. In corpora of under 1 / lowest texts a term needs two texts.
     """
-    total = docs.count()
-    seen = docs.select(F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term")).groupBy(F.xxhash64("term").alias("hash")).count()
+    texts, total = distinct_texts(docs, text_col)
+    seen = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy(F.xxhash64("term").alias("hash")).count()
     chosen = seen.where((F.col("count") >= max(2, math.ceil(lowest * total))) & (F.col("count") <= max(2, math.floor(highest * total))))
-    place = F.pmod(F.col("hash"), F.lit(BITMAP))
-    masks = chosen.select(F.floor(place / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(hash, {BITMAP}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
-    words = [0] * (BITMAP // 64)
-    for row in masks.collect():  # BITMAP / 64 rows at most
-        words[row["word"]] = row["mask"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    masks = chosen.select(*_place(F.col("hash"))).groupBy("word").agg(F.bit_or("bit").alias("mask"))
+    return _constant({r["word"]: r["mask"] for r in masks.collect()})  # BITMAP / 64 rows at most
 
 
 def _cell(term_hash: Column, shift: int, rate: int) -> Column:
@@ -68,8 +94,7 @@ def _with_codes(rows: DataFrame, text: str, out: str, bitmap: Column) -> DataFra
     ``out``_rest, a hash of all terms of a text that has no code at all (null for others)."""
 
     def known(term: Column) -> Column:
-        place = F.pmod(F.xxhash64(term), F.lit(BITMAP))
-        return F.getbit(F.get(bitmap, F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1
+        return _has(bitmap, F.xxhash64(term))
 
     rows = rows.withColumn("_terms", terms(F.col(text)))
     rows = rows.withColumn("_sorted", F.array_sort(F.array_distinct(F.filter("_terms", known))))

@@ -333,6 +333,22 @@ def test_imatch(odd, none, docs):
     assert imatch.fingerprints(none).count() == 0
 
 
+def test_imatch_of_a_third_copies(spark):
+    """A group of copies keeps its lexicon terms: its edited texts are found like those of other texts."""
+    rnd = random.Random(6)
+    vocabulary = [f"{rnd.choice(WORDS)}{i}" for i in range(2000)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(120)) for _ in range(200)]
+    rows = [(i, texts[0] if i % 3 == 0 else texts[1 + i % 199]) for i in range(290)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept, number = imatch.distinct_texts(frame)
+    assert sorted(r.text for r in kept.collect()) == sorted({t for _, t in rows}) and number == len({t for _, t in rows})
+    got = imatch.fingerprints(frame).collect()
+    assert len(got) == len(rows)
+    copies = [g for g in got if g.doc_id % 3 == 0]
+    assert len({g.fingerprint for g in copies}) == 1 and not copies[0].fingerprint.startswith("all-")
+    assert np.mean([g.near_edited for g in copies]) > 0.25 > 0.05 > np.mean([g.near_next for g in copies])
+
+
 # 4: exact dedup
 
 
