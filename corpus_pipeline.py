@@ -9,8 +9,11 @@ from marginalia.session import materialize, table
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; texts without a letter go."""
+    """Documents whose language is identified: only texts without a letter go. Classes and scores reject nothing, and
+    where no language can be learned, every text with a letter stays."""
     model = language_id.fit(docs)
+    if not model.languages:
+        return docs.where(language_id.has_letter(F.col("text")))
     return docs.withColumn("_found", language_id.predicted(F.col("text"), model)).where(F.col("_found.lang") != language_id.NONE).select(docs.columns)
 
 

@@ -155,6 +155,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fit_sets(sets, [r[1] for r in rows])
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predicted(text: Column, model: Model) -> Column:
     """A struct of lang and score; ``und`` with score 0 for null and for texts without a letter."""
 
@@ -166,7 +170,7 @@ def predicted(text: Column, model: Model) -> Column:
     nothing = F.struct(F.lit(NONE).alias("lang"), F.lit(0.0).alias("score"))
     if not model.languages:
         return nothing
-    return F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), run(text)).otherwise(nothing)
+    return F.when(has_letter(text), run(text)).otherwise(nothing)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:

@@ -49,3 +49,19 @@ def test_run(spark, folder):
 def test_empty_tables(spark, folder, stage):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     assert stage(spark, docs, folder).count() == 0
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_letters_stay_where_no_language_can_be_learned(spark, folder, labelled):
+    """No label at all, or labels in the held-out fold alone."""
+    from pyspark.sql import functions as F
+
+    from marginalia.llm import language_id
+    from marginalia.llm.sampling import fold
+
+    lang = F.when(fold(F.col("doc_id"), language_id.FOLDS) == 0, "en") if labelled else F.lit(None).cast("string")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", lang)
+    want = docs.where("coalesce(text rlike '[a-zA-Z]', false)").count()
+    kept = pipeline.keep_identified(spark, docs, folder)
+    assert kept.columns == docs.columns and kept.count() == want > 700
+    assert kept.where("doc_id IN (2000, 2001)").isEmpty()
