@@ -173,6 +173,11 @@ def t34_html_escape(spark, folder):
     return pages(spark, folder).select("page_id", fn.escaped(F.substring("html", 1, 300)).alias("escaped"))
 
 
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
+def t34_html_escape_whole(spark, folder):
+    return pages(spark, folder).select("page_id", fn.escaped(F.col("html")).alias("escaped"))
+
+
 @query(r"SELECT url, regexp_extract(u, 'github\.com[/:]([^/]+)/([^/#?]+)', 1) AS owner, regexp_replace(regexp_extract(u, 'github\.com[/:]([^/]+)/([^/#?]+)', 2), '\.git$', '') AS name FROM (SELECT url, 'https://github.com/' || string_split(url, '/')[4] || '/r' || page_id || (CASE WHEN page_id % 2 = 0 THEN '.git' ELSE '#readme' END) AS u FROM pages)")
 def t39_repository(spark, folder):
     u = F.concat(F.lit("https://github.com/"), F.element_at(F.split("url", "/"), 4), F.lit("/r"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".git").otherwise("#readme"))
@@ -262,6 +267,12 @@ def t15_latex_residue(spark, folder):
     return table(spark, folder, "documents").select("doc_id", fn.latex_residue_removed(t).alias("cleaned"))
 
 
+@query(r"SELECT doc_id, regexp_replace(t, '\\{1,2}(rowcolors?|cellcolor|columncolor)\s*(\[[^\]]*\])?\s*(\{[^}]*\}|[\d.]+)?\s*|\\{1,2}(hline|toprule|midrule|bottomrule)\b|\\{1,2}cline\s*\{[^}]*\}', '', 'g') AS cleaned FROM (SELECT doc_id, '\hline ' || text || ' \\cellcolor[gray]{0.9} 1 & \cline{2-3} 2 \toprule' AS t FROM documents)")
+def t15_latex_residue_whole(spark, folder):
+    t = F.concat(F.lit("\\hline "), "text", F.lit(" \\\\cellcolor[gray]{0.9} 1 & \\cline{2-3} 2 \\toprule"))
+    return table(spark, folder, "documents").select("doc_id", fn.latex_residue_removed(t).alias("cleaned"))
+
+
 @query(r"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'a' || chr(10) || '1. ' || left(text, 20) || chr(10) || '- _later_' || chr(10) || '* second' ELSE text END AS t FROM conversations)
 SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_extract_all(t, '(?m)^\s*(?:\d+\.|[-*])[ \t]+(\S.*)$', 1), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '_')), '|') AS items FROM t""")
 def t06_numbered_items(spark, folder):
