@@ -1,4 +1,4 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings and the shared scratch tables."""
 
 from __future__ import annotations
 
@@ -9,10 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+SCRATCH = "marginalia_scratch"
 
 
 def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
+    folder = tempfile.mkdtemp(prefix="marginalia-")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("marginalia")
@@ -20,6 +22,8 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.executorEnv.PYTHONPATH", ROOT)  # Python workers find the library from any folder
+        .config("spark.checkpoint.dir", f"{folder}/shared")
+        .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,26 +31,53 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session on one machine
+    gets a temporary folder; a cluster has none that all would see, so it must be set there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         root = context.getCheckpointDir()
         if not root:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
             root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, buckets: tuple[int, str] | None = None, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
-    The table is Parquet, so later readers still prune columns and push filters down.
+    It is a managed Parquet table of a database in that folder, so later readers still prune columns and push filters
+    down, and ``release`` deletes its files. ``buckets``: their number and the column by which rows are dealt to them.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/marginalia/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not spark.catalog.databaseExists(SCRATCH):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH} LOCATION '{scratch_root(spark)}/{SCRATCH}-{uuid.uuid4().hex}'")
+    name = f"{SCRATCH}.{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").options(**options)
+    if buckets:
+        writer = writer.bucketBy(*buckets)
+    writer.saveAsTable(name)
+    stored = spark.table(name)
+    stored.scratch_name = name
+    return stored
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for frame in frames:
+        frame.sparkSession.sql(f"DROP TABLE IF EXISTS {frame.scratch_name}")
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all materialised tables; results that were not read yet can't be read afterwards."""
+    spark.sql(f"DROP DATABASE IF EXISTS {SCRATCH} CASCADE")
+
+
+def spread(spark: SparkSession, units: int, per_task: int) -> int:
+    """Partitions for work that AQE can't split: ``per_task`` units each, and as many as the session asks for at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // per_task))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
