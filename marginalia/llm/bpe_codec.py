@@ -1,8 +1,10 @@
-"""BPE encoding and decoding with tables of distinct words and of pieces.
+"""BPE encoding and decoding through a table of distinct words, and a table of pieces.
 
-A batch of whole texts becomes a dictionary-encoded column of words; each distinct word is encoded once in a worker's
-life and the ids are joined back by position, as a gather. Decoding joins ids with the table of pieces, again as a
-gather whose data buffer is the decoded bytes. Spark deals out the batches; nothing is shuffled.
+Spark splits texts into words by the vocabulary's pattern. Documents are kept in chunks: a chunk lists its distinct words
+once, and each document as numbers of these words, one per position. The chunks' word lists, never the positions, are
+shuffled by word; each distinct word is encoded once; its ids are joined with the table of pieces to decode them, and
+joined back to the chunks that hold the word. A chunk's numbers then pick ids and decoded words by position. Chunks are
+stored in buckets, so that ids move to them and they don't move.
 """
 
 from __future__ import annotations
@@ -11,61 +13,201 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .words import encoder, texts_of
+from ..session import materialize, spread
+from .words import LETTER, NUMBER, WHITE_SPACE, char_classes, encoder
 
-_pieces: dict[str, pa.Array] = {}
+#: Words of a chunk, about: a longer document is a chunk of its own.
+CHUNK_WORDS = 6_000_000
+#: A place is the number of a chunk and that of a word in it; chunks of a task, likewise, follow the task's number.
+SLOT_BITS, CHUNK_BITS = 28, 15
+#: Characters of a bucket of chunks, and rows of a task of the word table.
+BUCKET_CHARS, TASK_ROWS = 200_000_000, 2_000_000
 
+_newer: dict[str, list[str]] = {}
 
-def piece_table(vocabulary: str) -> pa.Array:
-    """The bytes of each id, by position."""
-    if vocabulary not in _pieces:
-        table = encoder(vocabulary).pieces()
-        _pieces[vocabulary] = pa.array([table.get(i) for i in range(max(table) + 1)], pa.large_binary())
-    return _pieces[vocabulary]
 
+def _ranges(points: list[int]) -> str:
+    """Code points as the inside of a character class."""
+    out, begin = [], None
+    for i, point in enumerate(points):
+        if begin is None:
+            begin = point
+        if i + 1 == len(points) or points[i + 1] != point + 1:
+            out.append(f"\\x{{{begin:x}}}-\\x{{{point:x}}}")
+            begin = None
+    return "".join(out)
 
-def decode_ids(ids: np.ndarray, bounds: np.ndarray, vocabulary: str) -> list[bytes]:
-    """The decoded text of each range of ids, in UTF-8; bytes that are no UTF-8 become replacement characters."""
-    joined = piece_table(vocabulary).take(pa.array(ids, pa.uint32()))
-    offsets = np.frombuffer(joined.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
-    data = memoryview(joined.buffers()[2] or b"")
-    out = []
-    for a, b in zip(offsets[bounds[:-1]], offsets[bounds[1:]]):
-        piece = bytes(data[a:b])
-        try:
-            piece.decode()
-        except UnicodeDecodeError:
-            piece = piece.decode(errors="replace").encode()
-        out.append(piece)
-    return out
+
+def newer_classes(spark: SparkSession) -> list[str]:
+    """Letters and numbers, as class insides, that the library knows and this Java doesn't yet: thousands at most."""
+    version = spark.sql("SELECT java_method('java.lang.System', 'getProperty', 'java.version')").first()[0]
+    if version not in _newer:
+        table = char_classes()
+        every = ["".join(map(chr, np.flatnonzero(table == kind))) for kind in (LETTER, NUMBER)]
+        unknown = spark.range(1).select(*[F.regexp_replace(F.lit(e), rf"\p{{{name}}}", "") for e, name in zip(every, "LN")]).first()
+        _newer[version] = [_ranges(list(map(ord, u))) for u in unknown]
+    return _newer[version]
+
+
+def split_words(text: Column, spark: SparkSession, specials: list[str]) -> Column:
+    """The words of a text, which tile it. A special string is a word, and nothing is joined over its ends."""
+    space = _ranges(WHITE_SPACE)
+    letter, number = (rf"[\p{{{name}}}[\x{{80}}-\x{{10ffff}}&&[{more}]]]" if more else rf"\p{{{name}}}" for name, more in zip("LN", newer_classes(spark)))
+    other = rf"[^{space}[{letter}{number}]]"
+    pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|[{space}]+(?![^{space}])|[{space}]+"
+
+    def words(part: Column) -> Column:
+        return F.regexp_extract_all(part, F.lit(pattern), F.lit(0))
+
+    if not specials:
+        return words(text)
+    named = "|".join(rf"\Q{s}\E" for s in sorted(specials, key=len, reverse=True))
+    parts = F.filter(F.split(text, f"(?={named})|(?<={named})"), lambda p: p != "")
+    return F.when(text.rlike(named), F.flatten(F.transform(parts, lambda p: F.when(p.isin(*specials), F.array(p)).otherwise(words(p))))).otherwise(words(text))
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def chunks(split: DataFrame, kind: str) -> DataFrame:
+    """chunk, words (distinct ones, the most frequent first), n_words, doc_ids, sizes (words of each document), numbers
+    (the word at each position, packed). ``split``: doc_id, words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = TaskContext.get().partitionId() << CHUNK_BITS, [], 0
+
+        def row() -> pa.RecordBatch:
+            coded = pa.concat_arrays([words for _, words, _ in held]).dictionary_encode()
+            each = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(-np.bincount(each, minlength=len(coded.dictionary)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            names, sizes = pa.concat_arrays([ids for ids, _, _ in held]), np.concatenate([n for _, _, n in held])
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), one(coded.dictionary.take(pa.array(order))), pa.array([len(order)], pa.int64()), one(names), one(pa.array(sizes, pa.int32())), pa.array([_pack(rank[each])], pa.binary())], ["chunk", "words", "n_words", "doc_ids", "sizes", "numbers"])
+
+        for batch in batches:
+            lists = batch.column(1)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            words, at = lists.flatten(), 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_WORDS, "right")) - 1)
+                held.append((batch.column(0).slice(at, stop - at), words.slice(ends[at], ends[stop] - ends[at]), np.diff(ends[at : stop + 1])))
+                size += int(ends[stop] - ends[at])
+                at = stop
+                if size >= CHUNK_WORDS:
+                    yield row()
+                    chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield row()
+
+    return split.mapInArrow(run, f"chunk long, words array<string>, n_words long, doc_ids array<{kind}>, sizes array<int>, numbers binary")
+
+
+def piece_table(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """id, piece (its bytes in hexadecimal digits): as many rows as the vocabulary has entries."""
+    return spark.createDataFrame(pd.DataFrame([(i, piece.hex()) for i, piece in encoder(vocabulary).pieces().items()], columns=["id", "piece"]), "id int, piece string")
+
+
+def decode(rows: DataFrame, pieces: DataFrame, key: str = "key", ids: str = "ids") -> DataFrame:
+    """key, ids, decoded (binary: the joined bytes of the ids' pieces) of rows with distinct keys and arrays of ids.
+
+    Each id is joined with the table of pieces. Keys without ids are left out; ids outside the vocabulary are dropped.
+    """
+    each = rows.select(key, F.posexplode(ids).alias("at", "id")).join(F.broadcast(pieces), "id")
+    ordered = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "id", "piece"))).alias("parts"))
+    return ordered.select(key, F.col("parts.id").alias("ids"), F.unhex(F.array_join("parts.piece", "")).alias("decoded"))
+
+
+def decoded_text(decoded: Column) -> Column:
+    """Bytes as text: what is no UTF-8 becomes replacement characters."""
+    return F.make_valid_utf8(decoded.cast("string"))
+
+
+def word_table(places: DataFrame, pieces: DataFrame, vocabulary: str, partitions: int) -> DataFrame:
+    """word, ids, decoded of each distinct word of ``places`` (word, place); all are dealt out by word alike."""
+
+    @F.arrow_udf("array<int>")
+    def encode(words: pa.Array) -> pa.Array:
+        return pa.array(encoder(vocabulary).encode_words(words.to_pylist()), pa.list_(pa.int32()))
+
+    # naming a word's first place keeps this exchange equal to that of the join below, so Spark runs it once; Spark
+    # may not move what isn't deterministic, so a word is encoded after it was found distinct
+    distinct = places.groupBy("word").agg(F.min("place").alias("first")).where("first >= 0")
+    encoded = distinct.select("word", encode.asNondeterministic()("word").alias("ids"))
+    return decode(encoded.repartition(partitions, "word"), pieces, "word")
 
 
 def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and, with ``keep_ids``, ids and decoded) of every row.
 
     Null counts as empty: no ids. Special strings inside texts are special tokens, as the library has it by default.
-    Repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result.
+    Repeated rows give repeated results; extra columns are ignored, whatever their names; an empty table gives an empty
+    result. A chunk and its words' ids meet in one task: chunks are bounded, but for a longer document. ``vocabulary``:
+    a byte-level one.
     """
-    kind = dict(docs.dtypes)[id_col]
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    if not encoder(vocabulary).byte_level:
+        raise ValueError("a byte-level vocabulary is needed")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    split = rows.select("doc_id", split_words(F.col("text"), spark, list(encoder(vocabulary).specials)).alias("words"))
+    buckets = min(spread(spark, chars, BUCKET_CHARS), 100_000)  # Spark's limit of buckets
+    stored = materialize(chunks(split, kind), "word-chunks", buckets=(buckets, "chunk"))
+    listed = stored.agg(F.sum("n_words")).first()[0] or 0
+    place = F.shiftleft("chunk", SLOT_BITS) + F.col("slot")
+    places = stored.select("chunk", F.posexplode("words").alias("slot", "word")).select("word", place.alias("place"))
+    partitions = spread(spark, listed, TASK_ROWS)
+    places = places.where(F.col("word").isNotNull()).repartition(partitions, "word")
+    table = word_table(places, piece_table(spark, vocabulary), vocabulary, partitions).hint("merge")
+    # a decoded word travels only where it isn't the word itself, which its chunk has
+    back = places.join(table, "word").select(F.shiftright("place", SLOT_BITS).alias("chunk"), F.col("place").bitwiseAND((1 << SLOT_BITS) - 1).cast("int").alias("slot"), "ids", F.when(F.col("decoded") != F.col("word").cast("binary"), F.col("decoded")).alias("decoded"))
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, coder = texts_of(batch.column(1)), encoder(vocabulary)
-            for a, b, ids, bounds in coder.encode(texts):
-                decoded = decode_ids(ids, bounds, vocabulary)
-                raw = memoryview(ids.astype("<u4").tobytes())
-                columns = {
-                    "doc_id": batch.column(0).slice(a, b - a),
-                    "n_tokens": pa.array(np.diff(bounds), pa.int64()),
-                    "ids_sha256": [hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(bounds[:-1], bounds[1:])],
-                    "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in decoded],
-                }
-                if keep_ids:
-                    columns |= {"ids": pa.array([ids[x:y].astype(np.int32) for x, y in zip(bounds[:-1], bounds[1:])], pa.list_(pa.int32())), "decoded": [d.decode() for d in decoded]}
-                yield pa.RecordBatch.from_pydict(columns)
+    def meet(chunk: pa.Table, words: pa.Table) -> pa.Table:
+        lists, slots = words.column("ids").combine_chunks(), words.column("slot").to_numpy()
+        length, begin = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
+        length[slots] = lists.value_lengths().to_numpy(zero_copy_only=False)
+        begin[slots] = np.cumsum(length[slots]) - length[slots]
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        numbers, sizes = _unpack(chunk.column("numbers")[0].as_py()), chunk.column("sizes").combine_chunks().flatten().to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        many = length[numbers]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = flat[np.repeat(begin[numbers] - ends[:-1], many) + np.arange(ends[-1])]
+        pieces = chunk.column("words").combine_chunks().flatten().cast(pa.large_binary())
+        changed = words.filter(words.column("decoded").is_valid())
+        if changed.num_rows:
+            own = pieces.to_pylist()
+            for slot, piece in zip(changed.column("slot").to_pylist(), changed.column("decoded").to_pylist()):
+                own[slot] = piece
+            pieces = pa.array(own, pa.large_binary())
+        joined = pieces.take(pa.array(numbers))
+        offsets = np.frombuffer(joined.buffers()[1], np.int64)[: len(numbers) + 1] if len(numbers) else np.zeros(1, np.int64)
+        raw, data = memoryview(ids.tobytes()), memoryview(joined.buffers()[2] or b"")
+        at = ends[bounds]
+        spans = list(zip(offsets[bounds[:-1]], offsets[bounds[1:]]))
+        columns = {
+            "doc_id": chunk.column("doc_ids").combine_chunks().flatten(),
+            "n_tokens": pa.array(np.diff(at), pa.int64()),
+            "ids_sha256": [hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(at[:-1], at[1:])],
+            "decoded_sha256": [hashlib.sha256(data[x:y]).hexdigest() for x, y in spans],
+        }
+        if keep_ids:
+            columns |= {"ids": pa.array([ids[x:y].astype(np.int32) for x, y in zip(at[:-1], at[1:])], pa.list_(pa.int32())), "decoded": [bytes(data[x:y]).decode() for x, y in spans]}
+        return pa.Table.from_pydict(columns)
 
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return stored.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(meet, schema)

@@ -33,16 +33,26 @@ _classes: np.ndarray | None = None
 
 
 def char_classes() -> np.ndarray:
-    """The class of each code point."""
+    """The class of each code point, as the tokenizers library sees it.
+
+    Python's Unicode tables are older than the library's and those of ``regex`` newer, so what is a letter or number to
+    ``regex`` alone is settled by the library: it joins a letter, or a digit, or neither.
+    """
     global _classes
     if _classes is None:
         import regex
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        every = "".join(map(chr, range(0x110000)))
+        every = "".join(map(chr, range(0x40000)))  # higher planes hold neither letters nor numbers
+        kinds = np.frombuffer("".join(map(unicodedata.category, every)).encode(), np.uint8)[::2]
         table = np.full(0x110000, OTHER, np.uint8)
-        for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
-            for m in regex.finditer(pattern, every):
-                table[m.start() : m.end()] = kind
+        table[:0x40000][kinds == ord("L")] = LETTER
+        table[:0x40000][kinds == ord("N")] = NUMBER
+        newer = regex.findall(r"[\p{L}\p{N}]", "".join(map(every.__getitem__, np.flatnonzero(kinds == ord("C")))))
+        for first, kind in (("a", LETTER), ("1", NUMBER)):
+            for _, (begin, end) in ByteLevel(add_prefix_space=False).pre_tokenize_str("\n".join(first + c for c in newer)):
+                if end - begin == 2:
+                    table[ord(newer[begin // 3])] = kind
         table[WHITE_SPACE] = SPACE
         _classes = table
     return _classes
@@ -192,7 +202,8 @@ class Encoder:
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.byte_level = spec["normalizer"] is None
         self.size = max([*spec["model"]["vocab"].values(), *self.specials.values()]) + 1
-        self.table = WordTable(self._ranked(spec)) if self.byte_level else WordTable(self._by_library, COSTLY_WORDS)
+        self.encode_words = self._ranked(spec) if self.byte_level else self._by_library
+        self.table = WordTable(self.encode_words, TABLE_WORDS if self.byte_level else COSTLY_WORDS)
 
     @cached_property
     def library(self):
