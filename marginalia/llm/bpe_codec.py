@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,6 +25,8 @@ from .words import LETTER, NUMBER, WHITE_SPACE, char_classes, encoder
 
 #: Words of a chunk, about: a longer document is a chunk of its own.
 CHUNK_WORDS = 6_000_000
+#: Words whose ids are laid out at once, about.
+SLICE_WORDS = 300_000
 #: A place is the number of a chunk and that of a word in it; chunks of a task, likewise, follow the task's number.
 SLOT_BITS, CHUNK_BITS = 28, 15
 #: Characters of a bucket of chunks, and rows of a task of the word table.
@@ -83,7 +86,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def chunks(split: DataFrame, kind: str) -> DataFrame:
-    """chunk, words (distinct ones, the most frequent first), n_words, doc_ids, sizes (words of each document), numbers
+    """chunk, words (distinct ones, by falling frequency, then in order), n_words, doc_ids, sizes (words of each document), numbers
     (the word at each position, packed). ``split``: doc_id, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +95,8 @@ def chunks(split: DataFrame, kind: str) -> DataFrame:
         def row() -> pa.RecordBatch:
             coded = pa.concat_arrays([words for _, words, _ in held]).dictionary_encode()
             each = coded.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(-np.bincount(each, minlength=len(coded.dictionary)), kind="stable")
+            known = pa.table({"n": np.bincount(each, minlength=len(coded.dictionary)), "word": coded.dictionary})
+            order = pc.sort_indices(known, [("n", "descending"), ("word", "ascending")]).to_numpy()
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
             names, sizes = pa.concat_arrays([ids for ids, _, _ in held]), np.concatenate([n for _, _, n in held])
@@ -147,10 +151,33 @@ def word_table(places: DataFrame, pieces: DataFrame, vocabulary: str, partitions
     # naming a word's first place keeps this exchange equal to that of the join below, so Spark runs it once; Spark
     # may not move what isn't deterministic, so a word is encoded after it was found distinct
     distinct = places.groupBy("word").agg(F.min("place").alias("first")).where("first >= 0")
-    encoded = distinct.select("word", encode.asNondeterministic()("word").alias("ids"))
+    encoded = distinct.sortWithinPartitions("word").select("word", encode.asNondeterministic()("word").alias("ids"))
     return decode(encoded.repartition(partitions, "word"), pieces, "word")
 
 
+def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's words as one row per chunk: slots in ascending order, as differences, with their words' ids.
+
+    Rows in: place, ids, decoded (null where it is the word itself). A task holds about TASK_ROWS of them.
+    """
+    held = [batch for batch in batches if batch.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    order = pc.sort_indices(rows.column("place")).to_numpy()
+    places, lists, decoded = rows.column("place").to_numpy()[order], rows.column("ids").combine_chunks().take(pa.array(order)), rows.column("decoded").combine_chunks().take(pa.array(order))
+    chunk, slot, length = places >> SLOT_BITS, places & ((1 << SLOT_BITS) - 1), lists.value_lengths().to_numpy(zero_copy_only=False)
+    ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(length)])
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]])
+    other = decoded.is_valid().to_numpy(zero_copy_only=False)
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        changed = [{"slot": int(slot[i]), "decoded": decoded[i].as_py()} for i in a + np.flatnonzero(other[a:b])]
+        out.append((int(chunk[a]), _pack(np.diff(slot[a:b], prepend=0)), _pack(length[a:b]), _pack(ids[ends[a] : ends[b]]), changed))
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.struct([("slot", pa.int32()), ("decoded", pa.binary())]))]
+    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["chunk", "slots", "lengths", "ids", "changed"])
+
+
 def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and, with ``keep_ids``, ids and decoded) of every row.
 
@@ -166,7 +193,7 @@ def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     split = rows.select("doc_id", split_words(F.col("text"), spark, list(encoder(vocabulary).specials)).alias("words"))
     buckets = min(spread(spark, chars, BUCKET_CHARS), 100_000)  # Spark's limit of buckets
-    stored = materialize(chunks(split, kind), "word-chunks", buckets=(buckets, "chunk"))
+    stored = materialize(chunks(split, kind), "word-chunks", buckets=(buckets, "chunk"), compression="zstd")
     listed = stored.agg(F.sum("n_words")).first()[0] or 0
     place = F.shiftleft("chunk", SLOT_BITS) + F.col("slot")
     places = stored.select("chunk", F.posexplode("words").alias("slot", "word")).select("word", place.alias("place"))
@@ -174,40 +201,45 @@ def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col
     places = places.where(F.col("word").isNotNull()).repartition(partitions, "word")
     table = word_table(places, piece_table(spark, vocabulary), vocabulary, partitions).hint("merge")
     # a decoded word travels only where it isn't the word itself, which its chunk has
-    back = places.join(table, "word").select(F.shiftright("place", SLOT_BITS).alias("chunk"), F.col("place").bitwiseAND((1 << SLOT_BITS) - 1).cast("int").alias("slot"), "ids", F.when(F.col("decoded") != F.col("word").cast("binary"), F.col("decoded")).alias("decoded"))
+    joined = places.join(table, "word").select("place", "ids", F.when(F.col("decoded") != F.col("word").cast("binary"), F.col("decoded")).alias("decoded"))
+    back = joined.mapInArrow(bundles, "chunk long, slots binary, lengths binary, ids binary, changed array<struct<slot: int, decoded: binary>>")
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
 
     def meet(chunk: pa.Table, words: pa.Table) -> pa.Table:
-        lists, slots = words.column("ids").combine_chunks(), words.column("slot").to_numpy()
-        length, begin = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
-        length[slots] = lists.value_lengths().to_numpy(zero_copy_only=False)
-        begin[slots] = np.cumsum(length[slots]) - length[slots]
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        slots = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(_unpack(d), dtype=np.int64) for d in words.column("slots").to_pylist()]])
+        many = np.concatenate([np.zeros(0, np.uint32), *map(_unpack, words.column("lengths").to_pylist())])
+        flat = np.concatenate([np.zeros(0, np.uint32), *map(_unpack, words.column("ids").to_pylist())])
+        length, begin = np.zeros(len(slots), np.uint32), np.zeros(len(slots), np.uint32)
+        length[slots], begin[slots] = many, np.cumsum(many) - many
+        pieces = chunk.column("words").combine_chunks().flatten()
+        changed = {x["slot"]: x["decoded"] for row in words.column("changed").to_pylist() for x in row}
+        if changed:
+            pieces = pa.array([changed.get(i, w.encode()) for i, w in enumerate(pieces.to_pylist())], pa.binary())
         numbers, sizes = _unpack(chunk.column("numbers")[0].as_py()), chunk.column("sizes").combine_chunks().flatten().to_numpy()
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        many = length[numbers]
+        names, bounds = chunk.column("doc_ids").combine_chunks().flatten(), np.concatenate([[0], np.cumsum(sizes)])
+        parts, at = [], 0
+        while at < len(sizes):
+            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_WORDS, "right")) - 1)
+            parts.append(documents(names.slice(at, stop - at), bounds[at : stop + 1] - bounds[at], numbers[bounds[at] : bounds[stop]], begin, length, flat, pieces))
+            at = stop
+        return pa.Table.from_batches(parts)
+
+    def documents(names: pa.Array, bounds: np.ndarray, numbers: np.ndarray, begin: np.ndarray, length: np.ndarray, flat: np.ndarray, pieces: pa.Array) -> pa.RecordBatch:
+        many = length[numbers].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(many)])
-        ids = flat[np.repeat(begin[numbers] - ends[:-1], many) + np.arange(ends[-1])]
-        pieces = chunk.column("words").combine_chunks().flatten().cast(pa.large_binary())
-        changed = words.filter(words.column("decoded").is_valid())
-        if changed.num_rows:
-            own = pieces.to_pylist()
-            for slot, piece in zip(changed.column("slot").to_pylist(), changed.column("decoded").to_pylist()):
-                own[slot] = piece
-            pieces = pa.array(own, pa.large_binary())
-        joined = pieces.take(pa.array(numbers))
-        offsets = np.frombuffer(joined.buffers()[1], np.int64)[: len(numbers) + 1] if len(numbers) else np.zeros(1, np.int64)
-        raw, data = memoryview(ids.tobytes()), memoryview(joined.buffers()[2] or b"")
-        at = ends[bounds]
+        ids = flat[np.repeat(begin[numbers] - ends[:-1], many) + np.arange(ends[-1])].astype("<u4")
+        decoded = pieces.take(pa.array(numbers)).cast(pa.large_binary())
+        offsets = np.frombuffer(decoded.buffers()[1], np.int64)[: len(numbers) + 1] if len(numbers) else np.zeros(1, np.int64)
+        raw, data, at = memoryview(ids.tobytes()), memoryview(decoded.buffers()[2] or b""), ends[bounds]
         spans = list(zip(offsets[bounds[:-1]], offsets[bounds[1:]]))
         columns = {
-            "doc_id": chunk.column("doc_ids").combine_chunks().flatten(),
+            "doc_id": names,
             "n_tokens": pa.array(np.diff(at), pa.int64()),
             "ids_sha256": [hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(at[:-1], at[1:])],
             "decoded_sha256": [hashlib.sha256(data[x:y]).hexdigest() for x, y in spans],
         }
         if keep_ids:
             columns |= {"ids": pa.array([ids[x:y].astype(np.int32) for x, y in zip(at[:-1], at[1:])], pa.list_(pa.int32())), "decoded": [bytes(data[x:y]).decode() for x, y in spans]}
-        return pa.Table.from_pydict(columns)
+        return pa.RecordBatch.from_pydict(columns)
 
     return stored.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(meet, schema)
