@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 
 def rating(text: Column) -> Column:
     """A whole number as text, clamped to 0..5; anything else is 0."""
@@ -57,15 +59,43 @@ ORDERS = {
 }
 
 
-def ranked(rows: DataFrame, mode: str, top: int) -> DataFrame:
-    """The first ``top`` rows of a sort mode (an unknown mode sorts by creation), numbered from 1.
+def sort_keys(mode: str) -> list[Column]:
+    """The keys of a sort mode; an unknown mode sorts by creation."""
+    return [F.desc(c) for c in ORDERS.get(mode, ORDERS["created"])] + [F.asc("seq")]
 
-    The cut is a distributed top-k; only its rows meet in one window.
-    """
-    keys = [F.desc(c) for c in ORDERS.get(mode, ORDERS["created"])] + [F.asc("seq")]
+
+def ranked(rows: DataFrame, mode: str, top: int | None = None) -> DataFrame:
+    """Rows of a sort mode, numbered from 1: all of them, or the first ``top``, a distributed top-k of which only these
+    rows meet in one window."""
+    keys = sort_keys(mode)
+    if top is None:
+        return numbered(rows, *keys)
     return rows.orderBy(*keys).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
 
 
+def numbered(rows: DataFrame, *keys: Column) -> DataFrame:
+    """All rows with their rank, from 1, in an order without ties.
+
+    Ranges of the order are sorted apart and stored; a row's rank is its place in its range behind the sizes of all
+    ranges before it, which is one number per range.
+    """
+    place = F.monotonically_increasing_id()  # the task's number above 33 bits of the row's place in it
+    stored = materialize(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", place), "ordered")
+    part, at = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # one row per range, however many rows these hold
+    return stored.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + at + 1).drop("_part", "_place", "_before")
+
+
+def post_title(title: Column, other: Column, label: Column, longest: int = 70, kept: int = 67) -> Column:
+    """A title of at most ``longest`` characters; a longer one is cut and marked. Without it the other title, then the
+    content type's label."""
+    own = F.trim(F.coalesce(title, F.lit("")))
+    cut = F.concat(F.rtrim(F.substring(own, 1, kept)), F.lit("…"))
+    return F.when(F.length(own) > longest, cut).when(own != "", own).otherwise(F.coalesce(F.nullif(F.trim(other), F.lit("")), label))
+
+
 def exploded_tags(rows: DataFrame, key: str = "slug") -> DataFrame:
     return rows.select(key, F.posexplode("tags").alias("pos", "tag"))
 

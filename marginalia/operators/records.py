@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # What stops a run, in order of precedence.
@@ -72,3 +73,32 @@ def log_tail(events: DataFrame, key: str, seq: str, text: str, last: int) -> Dat
     """The last lines of each log, in order. Only these are gathered."""
     rows = events.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))).where(F.col("_n") <= last)
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(seq, text))), lambda r: r[text]).alias("tail"))
+
+
+def stale(reports: DataFrame, sources: DataFrame, key: str = "slug") -> DataFrame:
+    """key, stale of each report: whether its source (key, changed_at) changed later. Without a source it isn't."""
+    later = F.col("_source_changed") > F.col("changed_at")
+    return reports.join(sources.select(key, F.col("changed_at").alias("_source_changed")), key, "left").select(key, F.coalesce(later, F.lit(False)).alias("stale"))
+
+
+def revised(writes: DataFrame, key: str = "slug") -> DataFrame:
+    """Writes (key, seq, base, forced) with ``accepted`` and ``rev``, the key's revision after them.
+
+    Whether a write counts depends on how many counted before it: a task reads its keys' writes in order, batch by batch,
+    and keeps one key and one number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rev = object(), 0
+        for batch in batches:
+            accepted, after = [], []
+            for name, base, forced in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if name != last:
+                    last, rev = name, 0
+                accepted.append(bool(forced) or base == rev)
+                rev += accepted[-1]
+                after.append(rev)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], [key, "seq", "base", "forced", "accepted", "rev"])
+
+    rows = writes.select(key, F.col("seq").cast("long"), F.col("base").cast("long"), F.col("forced").cast("boolean")).repartition(key).sortWithinPartitions(key, "seq")
+    return rows.mapInArrow(run, f"{key} {dict(writes.dtypes)[key]}, seq long, base long, forced boolean, accepted boolean, rev long")

@@ -20,19 +20,32 @@ def from_epoch(seconds: str) -> Column:
     return F.expr(f"timestampadd(SECOND, {seconds}, {EPOCH})")
 
 
-def tags_by_order(spark: SparkSession, folder: str) -> DataFrame:
-    """slug key and its tags in line order: a type, or a type and brand below it."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    part = table(spark, folder, "part").select("p_partkey", "p_type", "p_brand")
-    tag = F.when(F.col("l_linenumber") % 2 == 1, F.col("p_type")).otherwise(F.concat_ws("/", "p_type", "p_brand"))
-    rows = lines.join(part, lines["l_partkey"] == part["p_partkey"]).select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", tag.alias("tag")).alias("t"))
-    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("t")).alias("all")).select("l_orderkey", F.col("all.tag").alias("tags"))
-
-
-def library(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document. Unknown times are 0, unknown dates and titles are empty strings."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
-    sections = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("sections_total"), F.count_if(F.col("l_linestatus") == "F").alias("sections_done"), F.max("l_shipdate").alias("last_ship"))
+def lines_by_order(spark: SparkSession, folder: str, tags: bool, sections: bool) -> DataFrame:
+    """l_orderkey with what its lines give, in one aggregation: counts of sections, and tags in line order (a type, or a
+    type and brand below it)."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_shipdate")
+    found = []
+    if sections:
+        found += [F.count(F.lit(1)).alias("sections_total"), F.count_if(F.col("l_linestatus") == "F").alias("sections_done"), F.max("l_shipdate").alias("last_ship")]
+    if tags:
+        part = table(spark, folder, "part").select("p_partkey", "p_type", "p_brand")
+        tag = F.when(F.col("l_linenumber") % 2 == 1, F.col("p_type")).otherwise(F.concat_ws("/", "p_type", "p_brand"))
+        lines = lines.join(part, lines["l_partkey"] == part["p_partkey"], "left")
+        found.append(F.array_sort(F.collect_list(F.when(F.col("p_partkey").isNotNull(), F.struct("l_linenumber", "l_partkey", "l_suppkey", tag.alias("tag"))))).alias("all"))
+    grouped = lines.groupBy("l_orderkey").agg(*found)
+    return grouped.withColumn("tags", F.col("all.tag")).drop("all") if tags else grouped
+
+
+def library(spark: SparkSession, folder: str, tags: bool = True, sections: bool = True) -> DataFrame:
+    """One row per document. Unknown times are 0, unknown dates and titles are empty strings.
+
+    Without ``tags`` or ``sections`` these columns (with exported_at, which comes from sections) are left out, and so is
+    the work for them.
+    """
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    if tags or sections:
+        lines = lines_by_order(spark, folder, tags, sections)
+        rows = rows.join(lines, rows["o_orderkey"] == lines["l_orderkey"], "left").drop("l_orderkey")
     k = F.col("o_orderkey")
     status = (
         F.when(k % 7 == 0, "archived")
@@ -43,8 +56,15 @@ def library(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("review_done")
     )
     created = epoch_seconds("o_orderdate")
-    rows = orders.join(sections, orders["o_orderkey"] == sections["l_orderkey"], "left").drop("l_orderkey")
-    rows = rows.join(tags_by_order(spark, folder), rows["o_orderkey"] == F.col("l_orderkey"), "left")
+    own = []
+    if sections:
+        own += [
+            F.when((status == "exported") & (k % 9 != 0) & F.col("last_ship").isNotNull(), F.date_format("last_ship", "yyyy-MM-dd")).otherwise("").alias("exported_at"),
+            F.coalesce("sections_total", F.lit(0)).cast("bigint").alias("sections_total"),
+            F.coalesce("sections_done", F.lit(0)).cast("bigint").alias("sections_done"),
+        ]
+    if tags:
+        own.append(F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
     return rows.select(
         k.alias("seq"),
         F.when(k % 3 == 0, F.concat(F.date_format("o_orderdate", "yyMM"), F.lit("."), F.lpad(k.cast("string"), F.greatest(F.lit(5), F.length(k.cast("string"))), F.lit("0")))).otherwise(F.concat(F.lit("doc-"), k.cast("string"))).alias("slug"),
@@ -53,10 +73,7 @@ def library(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k % 13 == 0, F.lit(0).cast("bigint")).otherwise(created).alias("created_at"),
         (created + (k % 1000) * 86400).alias("updated_at"),
         F.when(k % 4 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("review_started"),
-        F.when((status == "exported") & (k % 9 != 0) & F.col("last_ship").isNotNull(), F.date_format("last_ship", "yyyy-MM-dd")).otherwise("").alias("exported_at"),
-        F.coalesce("sections_total", F.lit(0)).cast("bigint").alias("sections_total"),
-        F.coalesce("sections_done", F.lit(0)).cast("bigint").alias("sections_done"),
-        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+        *own,
         F.concat_ws(" ", F.lit("Order"), k.cast("string"), F.lit("of customer"), F.col("o_custkey").cast("string")).alias("title_en"),
         F.when(k % 3 == 0, F.concat(F.lit("주문 "), k.cast("string"))).otherwise("").alias("title_ko"),
         F.lower(F.substring("o_orderpriority", 3, 100)).alias("category"),

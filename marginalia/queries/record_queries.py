@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators import records as ops
+from ..operators.library import numbered
+from ..operators.records import revised, stale
 from ..plans.library import epoch_seconds
 from ..session import table
 from .registry import query
@@ -154,17 +156,16 @@ def j08_figures_without_twin(spark, folder):
     return old.select("id", F.lit("html").alias("origin")).unionByName(new.join(old, "id", "left_anti").select("id", F.lit("pdf").alias("origin")))
 
 
-@query("WITH k AS (SELECT p_partkey AS id, p_size % 3 = 0 AS is_table, p_size AS number FROM part) SELECT row_number() OVER (ORDER BY is_table, number, id) AS rank, id FROM k ORDER BY is_table, number, id LIMIT 200")
+@query("WITH k AS (SELECT p_partkey AS id, p_size % 3 = 0 AS is_table, p_size AS number FROM part) SELECT row_number() OVER (ORDER BY is_table, number, id) AS rank, id FROM k")
 def o04_figure_order(spark, folder):
     """Figures before tables, then by number."""
-    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 3 == 0).alias("is_table"), F.col("p_size").alias("number")).orderBy("is_table", "number", "id").limit(200)
-    return rows.select(F.row_number().over(Window.orderBy("is_table", "number", "id")).alias("rank"), "id")
+    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 3 == 0).alias("is_table"), F.col("p_size").alias("number"))
+    return numbered(rows, F.asc("is_table"), F.asc("number"), F.asc("id")).select("rank", "id")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders")
 def o02_base_order(spark, folder):
-    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(100)
-    return rows.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))).alias("rank"))
+    return numbered(table(spark, folder, "orders").select("o_orderkey", "o_orderdate"), F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey", "rank")
 
 
 @query("WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)href=\"([^\"]*)\"', 1)) AS src, unnest(range(len(regexp_extract_all(html, '(?i)href=\"([^\"]*)\"', 1)))) AS pos FROM pages) SELECT page_id, src, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM a WHERE NOT regexp_matches(src, ',') QUALIFY n <= 30")
@@ -216,15 +217,23 @@ def t09_question_answer_pairs(spark, folder):
     return paired.where("role = 'user' AND next_role = 'assistant' AND next_turn = turn + 1").select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("question"), F.md5(F.col("next_text").cast("binary")).alias("answer"))
 
 
-@query("SELECT slug, rev, base, base = rev OR forced AS accepted FROM (SELECT user_id AS slug, event_id AS rev, event_id - (event_id % 3 = 0)::INT AS base, event_id % 12 = 0 AS forced FROM events)")
+@query("""SELECT slug, seq, base, forced OR base = current AS accepted FROM (
+SELECT user_id AS slug, event_id AS seq, event_id % 12 = 0 AS forced, current, CASE WHEN event_id % 3 = 0 THEN current - 1 ELSE current END AS base FROM (
+SELECT *, coalesce(count_if(event_id % 3 <> 0 OR event_id % 12 = 0) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS current FROM events))""")
 def r13_revision_check(spark, folder):
-    """A write is rejected when it is based on another revision than the current one, unless forced."""
-    e = F.col("event_id")
-    rows = table(spark, folder, "events").select(F.col("user_id").alias("slug"), e.alias("rev"), (e - (e % 3 == 0).cast("int")).alias("base"), (e % 12 == 0).alias("forced"))
-    return rows.select("slug", "rev", "base", ((F.col("base") == F.col("rev")) | F.col("forced")).alias("accepted"))
+    """A write is rejected when it is based on another revision than the slug's current one, unless forced; each accepted
+    write makes a new revision. Here every third write is one revision late, and some of these are forced."""
+    e, earlier = F.col("event_id"), Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    writes = table(spark, folder, "events").select(F.col("user_id").alias("slug"), e.alias("seq"), (e % 12 == 0).alias("forced"), F.count_if((e % 3 != 0) | (e % 12 == 0)).over(earlier).alias("sent_after"))
+    writes = writes.withColumn("base", F.when(F.col("seq") % 3 == 0, F.col("sent_after") - 1).otherwise(F.col("sent_after")))
+    return revised(writes.select("slug", "seq", "base", "forced")).select("slug", "seq", "base", "accepted")
 
 
-@query("SELECT s_suppkey, s_acctbal, s_acctbal < 0 AS stale FROM supplier")
+@query("""WITH report AS (SELECT o_custkey AS slug, max(o_orderdate) AS changed_at FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
+source AS (SELECT o_custkey AS slug, max(o_orderdate) AS changed_at FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1)
+SELECT r.slug, coalesce(s.changed_at > r.changed_at, false) AS stale FROM report r LEFT JOIN source s USING (slug)""")
 def p26_staleness(spark, folder):
-    """A report is stale when its source has changed since: here, when a balance of times is negative."""
-    return table(spark, folder, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_acctbal") < 0).alias("stale"))
+    """A report is stale when its source has changed since."""
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("slug"), F.col("o_orderdate").alias("changed_at"), (F.col("o_orderkey") % 3 == 0).alias("report"))
+    listing = lambda rows: rows.groupBy("slug").agg(F.max("changed_at").alias("changed_at"))
+    return stale(listing(orders.where("report")), listing(orders.where("NOT report")))

@@ -27,6 +27,38 @@ def test_unchanged_words_are_a_longest_subsequence():
         assert sum(flags) == longest and _within([x for x, f in zip(b, flags) if f], a)
 
 
+def test_long_texts_are_compared_in_linear_memory(monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    words = [f"w{rnd.randint(0, 3000)}" for _ in range(20_000)]
+    other = [w if rnd.random() > 0.02 else "new" for w in words]
+    flags = kernels.unchanged(words, other)
+    assert sum(flags) >= sum(a == b for a, b in zip(words, other))
+    assert _within([x for x, f in zip(other, flags) if f], words)
+    monkeypatch.setattr(kernels, "CELLS", 100)  # cut at words that both have once
+    own = [f"u{i}" if i % 50 == 0 else w for i, w in enumerate(words)]
+    changed = ["new" if i % 7 == 3 else w for i, w in enumerate(own)]
+    flags = kernels.unchanged(own, changed)
+    assert sum(flags) >= 0.99 * sum(w != "new" for w in changed) and _within([x for x, f in zip(changed, flags) if f], own)
+
+
+def test_marks_equal_a_word_by_word_walk():
+    """Random texts against a plain statement of the rule: each word on its own, blanks between marked words inside."""
+    import random
+    import re
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        old, new = ("".join(rnd.choice(["a", "b ", "c", " ", "\n", "<", "!", "d "]) for _ in range(rnd.randint(0, 25))) for _ in range(2))
+        got = kernels.marked(old, new, "{", "}")
+        assert re.sub("[{}]", "", got) == new
+        for inside in re.findall(r"\{(.*?)\}", got, re.S):
+            assert inside and not inside[0].isspace() and "\n" not in inside and not set(inside) & set("<>")
+            assert all(any(map(str.isalnum, w)) for w in inside.split())
+        assert not re.search(r"\}[ ]*\{", got)
+
+
 def _within(part: list, whole: list) -> bool:
     rest = iter(whole)
     return all(x in rest for x in part)
