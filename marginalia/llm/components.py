@@ -1,19 +1,19 @@
 """Connected components of links by alternating large and small stars, as joins.
 
 Every node is tied to the smallest node of its component. Links never meet in one task: the minimum of a node's
-neighbours is an aggregate, written to the shared folder, and joined back, so that a hub's links stay splittable.
+neighbours is an aggregate that is joined back, so that a hub's links stay splittable. Superseded tables are deleted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 
 
 def _minima(links: DataFrame) -> DataFrame:
     """Of each node ``a`` the smallest neighbour ``b``."""
-    return materialize(links.groupBy("a").agg(F.min("b").alias("least")), "minima")
+    return links.groupBy("a").agg(F.min("b").alias("least"))
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -47,5 +47,8 @@ def stars(links: DataFrame) -> DataFrame:
     before = None
     while (state := _state(now)) != before:
         before = state
-        now = materialize(_small_star(materialize(_large_star(now), "large-star")), "small-star")
+        large = materialize(_large_star(now), "large-star")
+        small = materialize(_small_star(large), "small-star")
+        release(now, large)
+        now = small
     return now

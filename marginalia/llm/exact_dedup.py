@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
+from .carried import carried, restored
 
 #: A digest in more than this share of the rows is heavy; 1 / SUPPORT bounds what is broadcast.
 SUPPORT = 1 / 500
@@ -63,18 +64,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they were.
+    """The rows of ``docs`` that stay, with their columns as they were, whatever their names.
 
     Rows go by what they hold (doc_id, digest, size), never by a row number of the scan, which another run of the scan
-    may deal out differently. Rows that agree in all three are one row afterwards.
+    may deal out differently. Rows that agree in all three are one row afterwards. Null, empty and blank texts are one
+    group; an empty table stays empty.
     """
-    found = materialize(_resolved(docs, id_col, text_col, support).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("size").alias("_size"), (F.col("row") == F.col("keep_row")).alias("_kept")), "groups")
-    dropped, kept = found.where("NOT _kept").drop("_kept"), found.where("_kept").drop("_kept")
-    marked = docs.withColumns({"_own_digest": F.unhex(F.sha2(normalized(F.col(text_col)), 256)), "_own_size": F.coalesce(F.length(text_col), F.lit(0))})
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest")) & (F.col("_own_size") == F.col("_size"))
-    stay = marked.join(dropped, same, "left_anti")
-    both = (dropped["_digest"] == kept["_digest"]) & dropped["_id"].eqNullSafe(kept["_id"]) & (dropped["_size"] == kept["_size"])
-    repeated = kept.join(dropped, both, "left_semi")
+    found = materialize(_resolved(docs, id_col, text_col, support).select(F.col("doc_id").alias("id"), "digest", "size", (F.col("row") == F.col("keep_row")).alias("kept")), "groups")
+    dropped, kept = found.where("NOT kept").drop("kept"), found.where("kept").drop("kept")
+    rows = carried(docs, id=F.col(id_col), digest=F.unhex(F.sha2(normalized(F.col(text_col)), 256)), size=F.coalesce(F.length(text_col), F.lit(0)))
+
+    def same(one: DataFrame, other: DataFrame) -> Column:
+        return one["id"].eqNullSafe(other["id"]) & (one["digest"] == other["digest"]) & (one["size"] == other["size"])
+
+    stay = rows.join(dropped, same(rows, dropped), "left_anti")
+    repeated = kept.join(dropped, same(kept, dropped), "left_semi")
     if not repeated.isEmpty():
-        stay = stay.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["_own_digest"]))
-    return stay.select(docs.columns)
+        stay = stay.unionByName(rows.join(repeated, same(rows, repeated), "left_semi").dropDuplicates(["digest"]))
+    return restored(stay)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 from .words import encoder, texts_of
 
 MAGIC = b"MHF1"
@@ -33,6 +33,8 @@ MAGIC = b"MHF1"
 LIMIT = 18
 #: Ids of a block between checkpoints, and about as many ids as a shard holds.
 BLOCK, SHARD_IDS = 256, 1 << 19
+#: Ids of a range of documents, which a task sorts and writes.
+TASK_IDS = 200_000_000
 END_ID = 1
 
 
@@ -161,27 +163,31 @@ def read_image(image: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if m else d for d, m in zip(names, missing)], sizes, ids
 
 
-def _compact(ids: np.ndarray) -> bytes:
-    """Stored between passes: low bytes, then high bytes, compressed."""
-    halves = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(halves).tobytes())
+class _Store:
+    """Ids between passes: low bytes, then high bytes, compressed; the contexts last for a task."""
 
+    def __init__(self) -> None:
+        self.compress, self.decompress = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
-def _expand(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+    def compact(self, ids: np.ndarray) -> bytes:
+        return self.compress(ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+    def expand(self, data: bytes) -> np.ndarray:
+        raw = np.frombuffer(self.decompress(data), np.uint8)
+        return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
 
 
 def stored_ids(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, data (compressed ids with the end id): written once, since counts and the files' order both need it."""
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary)
+        coder, store = encoder(vocabulary), _Store()
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for a, b, ids, bounds in coder.encode(texts):
-                data = [_compact(np.append(ids[x:y], end_id)) for x, y in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names[a:b], pa.int64()), "data": pa.array(data, pa.binary())})
+            for a, b, ids, bounds in coder.encode(texts_of(batch.column(1))):
+                ended = np.insert(ids, bounds[1:], end_id)
+                at = bounds + np.arange(len(bounds))
+                data = [store.compact(ended[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "data": pa.array(data, pa.binary())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(ids_of, "doc_id long, data binary")
     return materialize(rows, "ids", compression="uncompressed")
@@ -191,11 +197,11 @@ def global_counts(stored: DataFrame, vocabulary_size: int) -> np.ndarray:
     """How often each id occurs: as many numbers as the vocabulary has entries."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary_size, np.int64)
+        total, expand = np.zeros(vocabulary_size, np.int64), _Store().expand
         for batch in batches:
             held, size = [], 0
             for data in batch.column(0):
-                held.append(_expand(data.as_py()))
+                held.append(expand(data.as_py()))
                 size += len(held[-1])
                 if size > SHARD_IDS:
                     total += np.bincount(np.concatenate(held), minlength=vocabulary_size)
@@ -216,10 +222,11 @@ def write_files(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
     folder. Documents stand in ascending doc_id order, null first: parts are ranges of doc_id in order."""
     stored = stored_ids(docs, vocabulary, end_id, id_col, text_col)
     size = max(encoder(vocabulary).size, end_id + 1)
-    lengths = code_lengths(global_counts(stored, size))
+    counts = global_counts(stored, size)
+    lengths = code_lengths(counts)
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = canonical_codes(lengths)
+        codes, expand = canonical_codes(lengths), _Store().expand
         part, shard, before, names, held, total = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -229,7 +236,7 @@ def write_files(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 names.append(name)
-                held.append(_expand(data.as_py()))
+                held.append(expand(data.as_py()))
                 total += len(held[-1])
                 if total >= SHARD_IDS:
                     yield row()
@@ -237,7 +244,7 @@ def write_files(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
         if names:
             yield row()
 
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = spread(docs.sparkSession, int(counts.sum()), TASK_IDS)
     ordered = stored.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "data")
     return materialize(ordered.mapInArrow(images, "part int, shard int, before long, n_ids long, image binary"), "id-files", compression="uncompressed")
 
@@ -260,6 +267,12 @@ def read_files(files: DataFrame) -> DataFrame:
     return files.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("start"), "image").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def whole_numbers(docs: DataFrame, id_col: str) -> None:
+    """Raise a TypeError unless ids are whole numbers, by which files are ordered."""
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{id_col} must be a whole number, not {dict(docs.dtypes)[id_col]}")
+
+
 def round_trip(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, n_tokens (with the end id), ids_crc32 of every row, after writing and reading the files.
 

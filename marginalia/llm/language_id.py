@@ -17,13 +17,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .sampling import fold, sampled
+from .sampling import first_rows, fold, sampled
 from .words import texts_of
 
 BUCKETS, ORDERS = 8192, 4
-#: Bounds of the training sample: texts of a language, and languages (the most common ones).
-PER_LANGUAGE, LANGUAGES = 400, 128
-LANDMARKS, RIDGE, SHARPNESS = 192, 0.3, 6.0
+#: Bounds of the training sample: texts of a language, and texts in all.
+PER_LANGUAGE, SAMPLE = 400, 40_000
+#: Landmarks in all at least, and of each language.
+LANDMARKS, LANDMARKS_EACH = 192, 24
+RIDGE, SHARPNESS = 0.3, 6.0
 FOLDS = 5
 NONE = "und"
 #: Bytes, and documents, whose presence matrix is made at once.
@@ -115,7 +117,7 @@ def fit_sets(sets: np.ndarray, labels: list[str]) -> Model:
     for label in labels:
         ranks.append(seen[label])
         seen[label] += 1
-    chosen = sorted(range(len(labels)), key=lambda i: (ranks[i], i))[:LANDMARKS]
+    chosen = sorted(range(len(labels)), key=lambda i: (ranks[i], i))[: max(LANDMARKS, LANDMARKS_EACH * len(names))]
     model = Model(names, np.packbits(sets[chosen], axis=1), np.zeros((len(chosen) + 1, len(names)), np.float32))
     inner, outer = model.kernel(sets[chosen]).astype(np.float64), model.kernel(sets).astype(np.float64)
     values, vectors = np.linalg.eigh(inner)
@@ -132,12 +134,11 @@ def fit_sets(sets: np.ndarray, labels: list[str]) -> Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Learn from whole texts of a bounded sample of rows outside the held-out fold, a share of each language.
 
+    The sample holds about ``per_language`` texts of every language, SAMPLE in all. Null texts and labels teach nothing.
     Only the presence bits of the sampled texts, BUCKETS / 8 bytes each, come to the driver.
     """
-    learn = docs.where((fold(F.col(id_col), FOLDS) != 0) & F.col(text_col).isNotNull())
-    condition, languages = sampled(docs.where(fold(F.col(id_col), FOLDS) != 0), id_col, lang_col, per_language, LANGUAGES)
-    if condition is None:
-        return Model([])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    learn = sampled(rows.where((fold(F.col("doc_id"), FOLDS) != 0) & F.col("text").isNotNull()), "doc_id", "lang", per_language, SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,8 +148,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.RecordBatch.from_pydict({"at": batch.column(0).slice(at, len(part)), "lang": batch.column(1).slice(at, len(part)), "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
                 at += len(part)
 
-    found = learn.where(condition).select(F.xxhash64(F.lit("order"), id_col).alias("at"), F.col(lang_col).alias("lang"), text_col).mapInArrow(run, "at long, lang string, bits binary").limit(2 * per_language * len(languages)).collect()
-    rows = sorted((r["at"], r["lang"], bytes(r["bits"])) for r in found)
+    found = learn.select(F.xxhash64(F.lit("order"), "doc_id").alias("at"), "lang", "text").mapInArrow(run, "at long, lang string, bits binary")
+    rows = sorted((r["at"], r["lang"], bytes(r["bits"])) for r in first_rows(found, ["at", "lang", "bits"], 2 * SAMPLE).toArrow().to_pylist())
     if not rows:
         return Model([])
     sets = np.unpackbits(np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(bool)

@@ -108,8 +108,11 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", window: int = W
         part = TaskContext.get().partitionId()
         coder = encoder(vocabulary)
 
+        kinds: list[pa.DataType] = []
+
         def documents() -> Iterator[tuple[object, np.ndarray]]:
             for batch in batches:
+                kinds[:] = [batch.column(0).type]
                 names, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
                 for a, b, ids, bounds in coder.encode(texts):
                     for i in range(a, b):
@@ -119,7 +122,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", window: int = W
         rows: list[tuple] = []
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            arrays = [pa.array(x, None if i == 0 else pa.int64()) for i, x in enumerate(zip(*rows))]
+            arrays = [pa.array(x, pa.int64() if i else kinds[0]) for i, x in enumerate(zip(*rows))]
             return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), *arrays], ["part", *columns])
 
         for piece in pack_task(documents(), window):

@@ -15,11 +15,19 @@ def chance(id_col: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def sampled(labelled: DataFrame, id_col: str, label: str, per_label: int, labels: int) -> tuple[Column | None, list]:
-    """A condition that about ``per_label`` rows of each label meet, and the ``labels`` most common labels, sorted."""
-    found = labelled.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
-    condition = None
-    for row in found:
-        one = (F.col(label) == F.lit(row[label])) & (chance(F.col(id_col)) < per_label / row["count"])
-        condition = one if condition is None else condition | one
-    return condition, sorted(r[label] for r in found)
+def sampled(labelled: DataFrame, id_col: str, label: str, per_label: int, rows: int) -> DataFrame:
+    """The rows of ``labelled`` that a fit learns from: about ``per_label`` of each label that isn't null, whichever
+    labels there are, and about ``rows`` in all at most; with so many labels that this leaves none, a share of ``rows``.
+
+    A row is in by its id alone, so repeated ids are in together.
+    """
+    known = labelled.where(F.col(label).isNotNull())
+    counts = known.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_count"))
+    labels = counts.count()
+    rate = F.lit(min(per_label, rows / max(1, labels))) / F.col("_count")
+    return known.join(counts, F.col(label) == F.col("_label")).where(chance(F.col(id_col)) < rate).drop("_label", "_count")
+
+
+def first_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows, the same ones in every run: a bound for samples whose ids repeat."""
+    return rows.orderBy(*order).limit(most)

@@ -49,11 +49,12 @@ def place(docs: DataFrame, keys: Sequence[str] = ("doc_id",), shards: Sequence[s
     """``docs`` with slot and shard (its name). No shuffle: the table, of ``slots`` rows, is broadcast.
 
     Equal keys meet in one shard; keys with a third of the rows need a second key column to spread. A column of
-    ``docs`` named slot or shard is replaced. Empty tables give empty results.
+    ``docs`` named slot or shard, in whatever case, is replaced. Empty tables give empty results.
     """
     table = lookup_rows(docs.sparkSession, shards, slots)
-    rows = docs.drop("slot", "shard").withColumn("slot", slot_of([F.col(k) for k in keys], slots))
-    return rows.join(F.broadcast(table), "slot", "left").select(*[c for c in docs.columns if c not in ("slot", "shard")], "slot", "shard")
+    own = [c for c in docs.columns if c.lower() not in ("slot", "shard")]
+    rows = docs.select(*own, slot_of([F.col(k) for k in keys], slots).alias("slot"))
+    return rows.join(F.broadcast(table), "slot", "left").select(*own, "slot", "shard")
 
 
 def lookup_rows(spark: SparkSession, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:

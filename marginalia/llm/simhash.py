@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 from .components import stars
 from .words import texts_of
 
@@ -25,6 +25,8 @@ RADIUS = 3
 TILE = 512
 #: Rows above which a bucket's tile pairs go to different tasks.
 SPLIT = 20_000
+#: Rows of all buckets of a task.
+TASK_ROWS = 5_000_000
 #: Fingerprints for which a number of blocks is chosen: buckets hold about this many at most on average.
 BUCKET = 256
 
@@ -157,8 +159,9 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], keys: int, radius: int) -> I
 
 def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, split: int = SPLIT, tile: int = TILE) -> DataFrame:
     """(a, b): a forest that links the same fingerprints as all pairs within the radius. ``distinct``: column print."""
-    partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    masks = block_masks(blocks or blocks_for(distinct.count(), radius), radius)
+    rows = distinct.count()
+    masks = block_masks(blocks or blocks_for(rows, radius), radius)
+    partitions = spread(distinct.sparkSession, len(masks) * rows, TASK_ROWS)
     keyed = distinct.select("print", F.posexplode(F.array(*[F.lit(m).bitwiseAND(F.col("print")) for m in masks])).alias("choice", "bucket"))
     sizes = materialize(keyed.groupBy("choice", "bucket").count().where(F.col("count") > split), "hot-buckets")
     usual = keyed

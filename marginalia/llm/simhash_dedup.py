@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, release, spread
+from .carried import carried, restored
 from .components import stars
 from .simhash import TILE
 from .words import texts_of
@@ -32,6 +33,8 @@ RADIUS = 72
 #: Minima of a band, and bands: texts with similarity 0.8 share one with a probability of 0.998.
 ROWS, BANDS = 4, 12
 SPLIT = 20_000
+#: Band rows of a task.
+TASK_ROWS = 2_000_000
 #: Links between groups that a row passes on in the first search after a failed link, and the growth of that number.
 NEAREST, GROWTH = 64, 16
 
@@ -217,7 +220,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], keys: int, most: int = 0) -
 def candidate_links(nodes: DataFrame, split: int = SPLIT, tile: int = TILE, most: int = 0) -> DataFrame:
     """(a, b, more): the closest links of each bucket, or with ``most`` those between groups, and whether their bucket
     has others. ``nodes``: node, group, prints, bands. Large buckets are dealt out by tile pairs."""
-    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = spread(nodes.sparkSession, BANDS * nodes.count(), TASK_ROWS)
     words = [F.col("prints")[i].alias(f"p{i}") for i in range(WORDS)]
     keyed = nodes.select("node", "group", *words, F.posexplode("bands").alias("band", "bucket"))
     weight = sum((F.bit_count(f"p{i}") for i in range(1, WORDS)), F.bit_count("p0"))
@@ -289,10 +292,12 @@ def tied(nodes: DataFrame, docs: DataFrame, text_col: str, split: int = SPLIT) -
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they were: of each component the smallest doc_id.
+    """The rows of ``docs`` that stay, with their columns as they were, whatever their names: of each component the
+    smallest doc_id.
 
     Equal texts are one node, whose smallest doc_id stands for it; rows that agree in doc_id and text stay or go
-    together. Texts without words are near nothing but their equals. Null ids come after all others.
+    together. Null counts as empty. Texts without words are near nothing but their equals. Null ids come after all
+    others. An empty table stays empty.
     """
     marked = materialize(sketches(docs, id_col, text_col), "sketches")
     nodes = materialize(marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first"), F.first("prints").alias("prints"), F.first("bands").alias("bands")), "nodes")
@@ -302,6 +307,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     losers = members.join(best, "b").where(F.col("a") != F.col("best.a")).select(F.col("a").alias("node"))
     lost = marked.join(losers, "node", "left_semi").select("doc_id", "node")
     copies = marked.join(nodes.select("node", "first"), "node").where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("doc_id", "node")
-    dropped = materialize(lost.unionByName(copies).distinct().select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")), "dropped")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node"))
-    return docs.withColumn("_own", F.xxhash64(F.coalesce(text_col, F.lit("")))).join(dropped, same, "left_anti").select(docs.columns)
+    dropped = materialize(lost.unionByName(copies).distinct(), "dropped")
+    rows = carried(docs, id=F.col(id_col), own=_node(text_col))
+    return restored(rows.join(dropped, rows["id"].eqNullSafe(dropped["doc_id"]) & (rows["own"] == dropped["node"]), "left_anti"))

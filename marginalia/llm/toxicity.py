@@ -2,15 +2,15 @@
 
 A word's vector is the average of the vectors of its character n-grams (with word borders) and of itself, all hashed to
 BUCKETS rows, so an unseen spelling shares most of them. A window of WINDOW words is the average of its words' vectors
-(a shorter one is filled with zero vectors) and goes through a linear softmax; rows and softmax are trained together. Labels are given to texts, not windows: after
+and goes through a linear softmax; rows and softmax are trained together. Labels are given to texts, not windows: after
 a first fit with the texts' labels, windows of toxic texts that look clean are counted as clean, but for the worst one.
-A text's score comes from its worst window through a logistic curve, set on texts that the fit hasn't seen. Because
-averages and the softmax are linear, a word's share of the logit is one number, kept in a bounded table per worker.
+A text's evidence is that of its worst window, wherever that begins, plus SHARES of that of the whole text's average; of
+the shares the one is taken that errs least on texts which the fit hasn't seen, and a logistic curve is set on them.
+Because averages and the softmax are linear, a word's share of the logit is one number, kept in a bounded table per worker.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,14 +18,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .sampling import fold, sampled
+from .sampling import first_rows, fold, sampled
 from .words import TABLE_WORDS, texts_of
 
 BUCKETS, WIDTH = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
-WINDOW = 1
-#: Bounds of the training sample: texts of each label, and windows of one text.
-PER_LABEL, TEXT_WINDOWS = 1000, 4000
+WINDOW = 3
+#: Weights of a text's average beside its worst window, to choose from.
+SHARES = (0.0, 0.5, 2.0)
+#: Bound of the training sample: texts of each label. Of these, whole texts are learned.
+PER_LABEL = 1500
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 PASSES = (2, 6)
@@ -94,11 +96,12 @@ def windows_of(words: np.ndarray, bounds: np.ndarray, size: int = WINDOW) -> tup
 
 @dataclass
 class Model:
-    """``rows``: what each bucket adds to the toxic logit, once averaged. ``base``: the softmax's bias. ``slope`` and
-    ``shift``: the calibration of a text's worst window."""
+    """``rows``: what each bucket adds to the toxic logit, once averaged. ``base``: the softmax's bias. ``share``, ``slope``
+    and ``shift``: the weight of a text's average beside its worst window, and the calibration of their sum."""
 
     rows: np.ndarray
     base: float
+    share: float
     slope: float
     shift: float
 
@@ -119,24 +122,26 @@ class Model:
             known.update(zip(new, (sums / np.diff(bounds)).tolist()))
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
-    def worst(self, texts: list[str]) -> np.ndarray:
-        """The highest window logit of each text; a text without words has that of no evidence, the bias."""
-        out = np.full(len(texts), self.base)
+    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The highest window logit of each text, over windows from every word on, and the logit of its average; a
+        shorter text is one window. A text without words has that of no evidence, the bias."""
+        worst, whole = np.full(len(texts), self.base), np.full(len(texts), self.base)
         runs, is_word, bounds = split(texts)
         if not len(runs):
-            return out
+            return worst, whole
         coded = runs.dictionary_encode()
         logits = self.word_logits(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)][is_word]
         ends = np.concatenate([[0], np.cumsum(is_word)])[bounds]
-        first, of_text = windows_of(logits, ends)
-        if not len(first):
-            return out
-        stop = np.minimum(first + WINDOW, np.repeat(ends[1:], np.diff(of_text)))
-        total = np.concatenate([[0.0], np.cumsum(logits)])
-        window = (total[stop] - total[first]) / WINDOW + self.base
-        filled = np.flatnonzero(np.diff(of_text))
-        out[filled] = np.maximum.reduceat(window, of_text[:-1][filled])
-        return out
+        counts = np.diff(ends)
+        filled = np.flatnonzero(counts)
+        if len(filled):
+            total = np.concatenate([[0.0], np.cumsum(logits)])
+            whole[filled] += (total[ends[1:]] - total[ends[:-1]])[filled] / counts[filled]
+            each = np.maximum(counts[filled] - WINDOW + 1, 1)
+            first = _runs(ends[:-1][filled], each)
+            stop = np.minimum(first + WINDOW, np.repeat(ends[1:][filled], each))
+            worst[filled] += np.maximum.reduceat((total[stop] - total[first]) / (stop - first), np.cumsum(each) - each)
+        return worst, whole
 
     def scores(self, texts: list[str]) -> np.ndarray:
         at = 0
@@ -146,7 +151,8 @@ class Model:
             while stop < len(texts) and (stop == at or size + len(texts[stop]) < 800_000):
                 size += len(texts[stop])
                 stop += 1
-            found.append(1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts[at:stop]) + self.shift, -40, 40))))
+            worst, whole = self.evidence(texts[at:stop])
+            found.append(1 / (1 + np.exp(-np.clip(self.slope * (worst + self.share * whole) + self.shift, -40, 40))))
             at = stop
         return np.concatenate(found) if found else np.zeros(0)
 
@@ -157,7 +163,7 @@ def _runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class _Trainer:
-    """Rows and softmax by Adagrad on minibatches of windows, whose n-grams are laid out for one batch at a time.
+    """Rows and softmax by Adagrad on minibatches of windows.
 
     ``buckets`` and ``at``: n-grams of each vocabulary word. ``words``: the texts' words; windows are ranges of them.
     """
@@ -170,75 +176,88 @@ class _Trainer:
         self.softmax, self.bias = random.normal(0, 0.3, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
         self.seen = [np.full(x.shape, 1e-6, np.float32) for x in (self.rows, self.softmax, self.bias)]
 
-    def _take(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        counts = self.counts[windows]
-        inside = self.words[_runs(self.first[windows], counts)]
-        many = self.at[inside + 1] - self.at[inside]
-        owner = np.repeat(np.repeat(np.arange(len(windows)), counts), many)
-        return self.buckets[_runs(self.at[inside], many)], np.repeat(1 / (many * WINDOW), many).astype(np.float32), owner
-
     def logits(self) -> np.ndarray:
         """The toxic logit of each window."""
         rows, base = self.bucket_logits()
         word = np.add.reduceat(rows[self.buckets], self.at[:-1]) / np.diff(self.at)
         total = np.concatenate([[0.0], np.cumsum(word[self.words])])
-        return (total[self.first + self.counts] - total[self.first]) / WINDOW + base
+        return (total[self.first + self.counts] - total[self.first]) / self.counts + base
+
+    def steps(self, windows: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+        """The gradients of the mean cross-entropy of some windows by rows, softmax and bias.
 
-    def epoch(self, windows: np.ndarray, labels: np.ndarray, importance: np.ndarray, rate: float = 0.5) -> None:
+        Words that windows share are laid out as n-grams once.
+        """
+        n, counts = len(windows), self.counts[windows]
+        inside, place = np.unique(self.words[_runs(self.first[windows], counts)], return_inverse=True)
+        many = self.at[inside + 1] - self.at[inside]
+        buckets, begins = self.buckets[_runs(self.at[inside], many)], np.cumsum(many) - many
+        vectors = np.add.reduceat(self.rows[buckets], begins) / many[:, None].astype(np.float32)
+        bag = np.add.reduceat(vectors[place], np.cumsum(counts) - counts) / counts[:, None].astype(np.float32)
+        logits = bag @ self.softmax + self.bias
+        share = np.exp(logits - logits.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        share[np.arange(n), labels] -= 1
+        share /= n
+        back = np.repeat(share @ self.softmax.T / counts[:, None], counts, axis=0)
+        words = np.stack([np.bincount(place, back[:, k], len(inside)) for k in range(WIDTH)], axis=1) / many[:, None]
+        spread = np.repeat(words, many, axis=0)
+        rows = np.stack([np.bincount(buckets, spread[:, k], BUCKETS) for k in range(WIDTH)], axis=1)
+        return [x.astype(np.float32) for x in (rows, bag.T @ share, share.sum(axis=0))]
+
+    def epoch(self, windows: np.ndarray, labels: np.ndarray, rate: float = 0.5) -> None:
         order = self.random.permutation(len(windows))
         batch = max(64, min(4096, len(windows) // STEPS))
         for a in range(0, len(order), batch):
             part = order[a : a + batch]
-            buckets, weight, owner = self._take(windows[part])
-            n = len(part)
-            bag = np.zeros((n, WIDTH), np.float32)
-            gathered = self.rows[buckets] * weight[:, None]
-            for k in range(WIDTH):
-                bag[:, k] = np.bincount(owner, gathered[:, k], n)
-            logits = bag @ self.softmax + self.bias
-            share = np.exp(logits - logits.max(axis=1, keepdims=True))
-            share /= share.sum(axis=1, keepdims=True)
-            share[np.arange(n), labels[part]] -= 1
-            share *= (importance[part] / importance[part].sum())[:, None]
-            steps = [None, bag.T @ share, share.sum(axis=0)]
-            back = (share @ self.softmax.T)[owner] * weight[:, None]
-            steps[0] = np.stack([np.bincount(buckets, back[:, k], BUCKETS) for k in range(WIDTH)], axis=1).astype(np.float32)
-            for i, x in enumerate((self.rows, self.softmax, self.bias)):
-                self.seen[i] += steps[i] ** 2
-                x -= (rate if i == 0 else 0.2 * rate) * steps[i] / np.sqrt(self.seen[i])
+            for i, (x, step) in enumerate(zip((self.rows, self.softmax, self.bias), self.steps(windows[part], labels[part]))):
+                self.seen[i] += step**2
+                x -= (rate if i == 0 else 0.2 * rate) * step / np.sqrt(self.seen[i])
 
     def bucket_logits(self) -> tuple[np.ndarray, float]:
         change = self.softmax[:, 1] - self.softmax[:, 0]
         return (self.rows @ change).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
-def calibrate(worst: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve that is THRESHOLD where a cut errs least (of equal cuts, in the widest gap).
+def calibrate(found: np.ndarray, labels: np.ndarray) -> tuple[int, float, float]:
+    """Errors, slope and shift of a logistic curve that is THRESHOLD where a cut errs least (of equal cuts, in the widest gap).
 
     Unlike a maximum-likelihood curve it doesn't flatten because of a few wrong labels.
     """
-    order = np.argsort(worst, kind="stable")
-    x, y = worst[order], labels[order]
+    order = np.argsort(found, kind="stable")
+    x, y = found[order], labels[order]
     missed = np.concatenate([[0], np.cumsum(y)])
     wrong = missed + (len(y) - y.sum()) - np.concatenate([[0], np.cumsum(1 - y)])
     spread = max(float(np.median(x[y == 1]) - np.median(x[y == 0])), 1e-3)
     edges = np.concatenate([[x[0] - spread], x, [x[-1] + spread]])
     gaps = np.diff(edges)
-    least = np.flatnonzero((wrong == wrong[gaps > 0].min()) & (gaps > 0))
+    fewest = int(wrong[gaps > 0].min())
+    least = np.flatnonzero((wrong == fewest) & (gaps > 0))
     at = least[gaps[least].argmax()]
     cut = (edges[at] + edges[at + 1]) / 2
     slope = 8 / spread
-    return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
+    return fewest, slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
+
+
+def _fresh(words: np.ndarray, first: np.ndarray, stop: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The first of equal windows of each text, in order."""
+    padded = np.append(words, -1)
+    columns = [np.where(first + k < stop, padded[np.minimum(first + k, len(words))], -1) for k in range(WINDOW)]
+    order = np.lexsort((*columns, text))  # stable
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in (*columns, text):
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    return np.sort(order[new])
 
 
-def fit_texts(texts: list[str], labels: np.ndarray, learned: list[str] | None = None) -> Model:
-    """Fit on three quarters of the texts (of ``learned``, what to learn from each), calibrate on the rest."""
+def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
+    """Fit on three quarters of the texts, calibrate on the rest."""
     if not len(texts) or labels.min() == labels.max():
         rate = float(labels.mean()) if len(labels) else 0.0
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, 30.0 * (2 * rate - 1))
+        return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0, 30.0 * (2 * rate - 1))
     unseen = np.arange(len(texts)) % 4 == 3
-    used = [t for t, u in zip(learned or texts, unseen) if not u]
-    own = labels[~unseen]
+    used, own = [t for t, u in zip(texts, unseen) if not u], labels[~unseen]
     runs, is_word, bounds = split(used)
     coded = runs.dictionary_encode()
     vocabulary = coded.dictionary.to_pylist()
@@ -247,21 +266,8 @@ def fit_texts(texts: list[str], labels: np.ndarray, learned: list[str] | None =
     first, of_text = windows_of(words, ends)
     text = np.repeat(np.arange(len(used)), np.diff(of_text))
     stop = np.minimum(first + WINDOW, np.repeat(ends[1:], np.diff(of_text)))
-    place = np.arange(len(first)) - np.repeat(of_text[:-1], np.diff(of_text))
-    stride = -(-np.diff(of_text) // TEXT_WINDOWS)[text]
-    some = np.flatnonzero(place % stride == 0)
-    first, stop, text = first[some], stop[some], text[some]
-    # a text that repeats a window says no more by it
-    counts = stop - first
-    with np.errstate(over="ignore"):
-        place = _runs(np.zeros_like(counts), counts)
-        mixed = (words[np.repeat(first, counts) + place].astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
-        content = np.add.reduceat(mixed, np.cumsum(counts) - counts) if len(first) else mixed
-    order = np.lexsort((content, text))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (content[order[1:]] != content[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
-    some = np.sort(order[fresh])
-    first, stop, text = first[some], stop[some], text[some]
+    fresh = _fresh(words, first, stop, text)  # a text that repeats a window says no more by it
+    first, stop, text = first[fresh], stop[fresh], text[fresh]
     parts = [grams(vocabulary[a : a + 20_000]) for a in range(0, len(vocabulary), 20_000)]
     buckets = np.concatenate([p[0].astype(np.int32) for p in parts])
     at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
@@ -270,57 +276,35 @@ def fit_texts(texts: list[str], labels: np.ndarray, learned: list[str] | None =
     random = np.random.default_rng(SEED)
     keep = (label == 1) | (random.random(len(label)) < max(0.2, 1.5 * label.mean()))
     for _ in range(PASSES[0]):
-        trainer.epoch(every[keep], label[keep], np.ones(keep.sum(), np.float32))
+        trainer.epoch(every[keep], label[keep])
     for _ in range(PASSES[1]):
         logit = trainer.logits()
         top = np.full(len(used), -np.inf)
         np.maximum.at(top, text, logit)
         bad = (label == 1) & ((logit > np.maximum(0, 0.6 * top[text])) | (logit == top[text]))
         keep = bad | (label == 0) & (random.random(len(label)) < 0.5) | (label == 0) & (logit > -2)
-        trainer.epoch(every[keep], bad[keep].astype(np.int64), np.ones(keep.sum(), np.float32))
+        trainer.epoch(every[keep], bad[keep].astype(np.int64))
     rows, base = trainer.bucket_logits()
-    model = Model(rows, base, 1.0, 0.0)
-    rest = [t for t, u in zip(texts, unseen) if u]
-    seen = labels[unseen]
+    rest, seen = [t for t, u in zip(texts, unseen) if u], labels[unseen]
     if min(seen.sum(), len(seen) - seen.sum()) < 10:
         rest, seen = texts, labels  # too few for a cut
-    model.slope, model.shift = calibrate(model.worst(rest), seen)
-    return model
-
-
-def distinct_windows(text: str) -> tuple[bytes, bytes]:
-    """The words of the text's distinct windows, in order and space-joined (a short last one stays last), and of those
-    among its TEXT_WINDOWS evenly spaced windows, which the fit learns from."""
-    runs, is_word, _ = split([text])
-    words = runs.filter(pa.array(is_word)).to_pylist()
-    windows = [tuple(words[a : a + WINDOW]) for a in range(0, len(words), WINDOW)]
-    stride = max(1, -(-len(windows) // TEXT_WINDOWS))
-    every, some = (b" ".join(w for window in dict.fromkeys(x) for w in window) for x in (windows, windows[::stride]))
-    return every, some
-
-
-def _windows_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        every, some = zip(*map(distinct_windows, texts_of(batch.column(2)))) if batch.num_rows else ((), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(every, pa.binary()), pa.array(some, pa.binary())], ["at", "_toxic", "windows", "learned"])
+    worst, whole = Model(rows, base, 0.0, 1.0, 0.0).evidence(rest)
+    _, _, share, slope, shift = min((*calibrate(worst + share * whole, seen)[:1], i, share, *calibrate(worst + share * whole, seen)[1:]) for i, share in enumerate(SHARES))
+    return Model(rows, base, share, slope, shift)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> Model:
     """Learn from whole texts of a bounded sample of labelled rows outside the held-out fold.
 
-    A doc_id with several labels is toxic if one says so; null labels teach nothing. Only the distinct windows of the
-    sampled texts come to the driver, since a text that repeats a window says no more by it.
+    The sample holds about ``per_label`` texts of each label; its texts come to the driver. A doc_id with several labels
+    is toxic if one says so; null labels and null texts teach nothing; without a label nothing is toxic.
     """
-    known = labels.where((fold(F.col("doc_id"), FOLDS) != HELD) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
-    condition, _ = sampled(known, "_id", "_toxic", per_label, 2)
-    if condition is None:
-        return fit_texts([], np.zeros(0, np.int64))
-    chosen = F.broadcast(known.where(condition).limit(4 * per_label))  # bounded by the sample's size
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).join(chosen, "_id").select(F.xxhash64(F.lit("order"), "_id").alias("at"), "_toxic", "_text")
-    kind = dict(found.dtypes)["_toxic"]
-    found = found.mapInArrow(_windows_of_rows, f"at long, _toxic {kind}, windows binary, learned binary").limit(4 * per_label).toArrow().to_pylist()
-    found.sort(key=lambda r: (r["at"], r["windows"]))
-    return fit_texts([r["windows"].decode() for r in found], np.array([int(r["_toxic"] == 1) for r in found], np.int64), [r["learned"].decode() for r in found])
+    known = labels.where(fold(F.col("doc_id"), FOLDS) != HELD).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    chosen = sampled(known, "id", "toxic", per_label, 2 * per_label)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    found = texts.join(chosen, "id").select(F.xxhash64(F.lit("order"), "id").alias("at"), "toxic", "text")
+    found = first_rows(found.withColumn("tie", F.xxhash64("text")), ["at", "tie"], 4 * per_label).toArrow().to_pylist()
+    return fit_texts([r["text"] for r in found], np.array([int(r["toxic"] == 1) for r in found], np.int64))
 
 
 def scored(text: Column, model: Model) -> Column:

@@ -28,8 +28,11 @@ WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x
 SLICE_CHARS = 500_000
 #: Distinct words a worker keeps before it starts its table anew; more where encoding a word costs more.
 TABLE_WORDS, COSTLY_WORDS = 300_000, 700_000
+#: Stands for the end of a word in vocabularies that mark it; no text in UTF-8 has this byte.
+WORD_END = b"\xff"
 
 _classes: np.ndarray | None = None
+_unknown: np.ndarray | None = None
 
 
 def char_classes() -> np.ndarray:
@@ -58,6 +61,15 @@ def char_classes() -> np.ndarray:
     return _classes
 
 
+def unknown_points() -> np.ndarray:
+    """Whether Python's Unicode tables lack a code point: what newer tables make of it, the library must say."""
+    global _unknown
+    if _unknown is None:
+        _unknown = np.zeros(0x110000, bool)
+        _unknown[:0x40000] = [unicodedata.category(chr(c)) == "Cn" for c in range(0x40000)]
+    return _unknown
+
+
 def vocabulary_path(name: str) -> str:
     """A path as given, or the place of a public vocabulary of that name on this machine."""
     if os.path.exists(name):
@@ -202,8 +214,8 @@ class Encoder:
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.byte_level = spec["normalizer"] is None
         self.size = max([*spec["model"]["vocab"].values(), *self.specials.values()]) + 1
-        self.encode_words = self._ranked(spec) if self.byte_level else self._by_library
-        self.table = WordTable(self.encode_words, TABLE_WORDS if self.byte_level else COSTLY_WORDS)
+        self.encode_words = self._ranked(spec)
+        self.table = WordTable(self.encode_words)
 
     @cached_property
     def library(self):
@@ -226,12 +238,25 @@ class Encoder:
         return [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
     def _ranked(self, spec: dict) -> Callable[[list[str]], list[list[int]]]:
-        """One byte pair merge at a time, straight on a word's bytes: ids are ranks in these vocabularies."""
+        """One byte pair merge at a time, straight on a word's bytes, where ids are ranks: those of merged symbols follow
+        the order of the merges, behind all others. The end of a word is a byte that UTF-8 doesn't have."""
         import tiktoken
 
-        piece = byte_pieces(spec["model"]["vocab"])
-        core = tiktoken.Encoding("words", pat_str=r"\S+|\s+", mergeable_ranks={b: i for i, b in piece.items()}, special_tokens={})._core_bpe.encode_single_piece
+        vocabulary, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
+        merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        if merged != sorted(merged) or merged[0] != len(vocabulary) - len(merged) - sum(s in vocabulary for s in self.specials):
+            return self._by_library
+        mark = WORD_END if end else b""
+        ranks = {}
+        for token, i in vocabulary.items():
+            if token not in self.specials:
+                whole = bool(end) and token.endswith(end)
+                ranks[_bytes_of(token.removesuffix(end) if whole else token) + mark * whole] = i
+        core = tiktoken.Encoding("words", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         special = self.specials
+        if end:
+            blank = frozenset(map(chr, WHITE_SPACE))
+            return lambda words: [[] if w[0] in blank else core(w.encode() + mark) for w in words]
         return lambda words: [[special[w]] if w in special else core(w.encode()) for w in words]
 
     def _plain(self, texts: list[str]) -> list[str]:
@@ -239,6 +264,9 @@ class Encoder:
         out = []
         for t in texts:
             if not t.isascii():
+                points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+                if unknown_points()[points].any():
+                    t = self.library.normalizer.normalize_str(t)
                 t = (t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).replace("Σ", "σ")
             out.append(t.lower())
         return out
@@ -275,10 +303,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+_alphabet = byte_alphabet()
+
+
+def _bytes_of(token: str) -> bytes:
+    return bytes(_alphabet[c] for c in token)
+
+
 def byte_pieces(vocabulary: dict[str, int]) -> dict[int, bytes]:
     """The bytes that each id stands for."""
-    alphabet = byte_alphabet()
-    return {i: bytes(alphabet[c] for c in token) for token, i in vocabulary.items()}
+    return {i: _bytes_of(token) for token, i in vocabulary.items()}
 
 
 _encoders: dict[str, Encoder] = {}
