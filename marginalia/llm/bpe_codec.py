@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize, spread
-from .words import LETTER, NUMBER, WHITE_SPACE, char_classes, encoder
+from .words import LETTER, NUMBER, WHITE_SPACE, char_classes, encoder, strings
 
 #: Words of a chunk, about: a longer document is a chunk of its own.
 CHUNK_WORDS = 6_000_000
@@ -146,7 +146,7 @@ def word_table(places: DataFrame, pieces: DataFrame, vocabulary: str, partitions
 
     @F.arrow_udf("array<int>")
     def encode(words: pa.Array) -> pa.Array:
-        return pa.array(encoder(vocabulary).encode_words(words.to_pylist()), pa.list_(pa.int32()))
+        return pa.array(encoder(vocabulary).encode_words(strings(words)), pa.list_(pa.int32()))
 
     # naming a word's first place keeps this exchange equal to that of the join below, so Spark runs it once; Spark
     # may not move what isn't deterministic, so a word is encoded after it was found distinct

@@ -13,3 +13,9 @@ def carried(docs: DataFrame, **made: Column) -> DataFrame:
 def restored(rows: DataFrame) -> DataFrame:
     """The rows as they were."""
     return rows.select("row.*")
+
+
+def whole_numbers(docs: DataFrame, id_col: str) -> None:
+    """Raise a TypeError unless ids are whole numbers, where their order counts."""
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{id_col} must be a whole number, not {dict(docs.dtypes)[id_col]}")

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize, spread
+from .carried import whole_numbers
 from .words import encoder, texts_of
 
 MAGIC = b"MHF1"
@@ -267,16 +268,12 @@ def read_files(files: DataFrame) -> DataFrame:
     return files.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("start"), "image").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def whole_numbers(docs: DataFrame, id_col: str) -> None:
-    """Raise a TypeError unless ids are whole numbers, by which files are ordered."""
-    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint", "void"):
-        raise TypeError(f"{id_col} must be a whole number, not {dict(docs.dtypes)[id_col]}")
-
-
 def round_trip(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, n_tokens (with the end id), ids_crc32 of every row, after writing and reading the files.
 
     Null counts as empty: the end id alone. Rows of one doc_id stand together, ordered by their ids; null ids come
-    first. Extra columns are ignored; an empty table gives an empty result.
+    first. Ids that aren't whole numbers raise a TypeError. Extra columns are ignored; an empty table
+    gives an empty result.
     """
+    whole_numbers(docs, id_col)
     return read_files(write_files(docs, vocabulary, end_id, id_col, text_col))

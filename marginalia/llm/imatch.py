@@ -1,14 +1,17 @@
 """I-Match document fingerprints; DataFrame functions only.
 
 The lexicon is the set of terms whose document frequency, counted over distinct texts, lies in a band: terms in LOWEST
-of these or more, and in HIGHEST or fewer; so a large group of copies counts once and keeps its terms. A document's distinct lexicon terms are sorted, and several randomised subsets of the lexicon are
-hashed, each to one code. Subsets come in scales, from one in 32 lexicon terms to one in 2048, so that documents of a
-few lines and of a few hundred pages both meet some subsets of which they hold a term or two: such a code survives an
-edit unless the edit touches these terms.
+of these or more, and in HIGHEST or fewer; so a large group of copies counts once and keeps its terms. A document's
+distinct lexicon terms are sorted, and several randomised subsets of the lexicon are hashed, each to one code. Subsets
+come in scales, from one in 32 lexicon terms to one in 2048, so that documents of a few lines and of a few hundred pages
+both meet some subsets of which they hold a term or two: such a code survives an edit unless the edit touches these terms.
+Subsets that keep most terms, as for matching copies with a few changed words, would all change with a changed quarter.
 
 A band that starts at a share of the texts holds at most (distinct terms of an average text) / LOWEST terms,
 whatever the corpus; it becomes a bitmap of fixed size (1 MB), which is a constant of the plan. Nothing is joined on
-terms.
+terms. A term is in it by PROBES bits of its hash, so a term outside the band counts as inside with a probability of
+(1 - exp(-PROBES * lexicon / BITMAP)) ** PROBES: 1e-6 for 30 000 lexicon terms, 2e-3 for 400 000. Equal texts have equal
+fingerprints all the same.
 """
 
 from __future__ import annotations
@@ -18,9 +21,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .carried import whole_numbers
+
 LOWEST, HIGHEST = 0.0005, 0.2
 #: Bits of the lexicon's bitmap, kept as 64-bit words.
 BITMAP = 1 << 23
+#: Bits of a term's hash by which it is in the lexicon: from these places of it.
+PROBES = (0, 20, 40)
 #: (one of so many lexicon terms, subsets of that scale).
 SCALES = ((32, 16), (256, 16), (2048, 16))
 #: Codes below which a scale's likeness counts as weak evidence.
@@ -41,6 +48,17 @@ def _place(hashed: Column) -> list[Column]:
     return [F.floor(place / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")]
 
 
+def _probed(hashed: Column) -> Column:
+    return F.array(*[F.shiftrightunsigned(hashed, p) for p in PROBES])
+
+
+def _known(bitmap: Column, hashed: Column) -> Column:
+    found = _has(bitmap, hashed)
+    for p in PROBES[1:]:
+        found = found & _has(bitmap, F.shiftrightunsigned(hashed, p))
+    return found
+
+
 def _constant(masks: dict[int, int]) -> Column:
     return F.split(F.lit(",".join(str(masks.get(i, 0)) for i in range(BITMAP // 64))), ",").cast("array<bigint>")
 
@@ -73,7 +91,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", lowest: float = LOWEST, hig
     texts, total = distinct_texts(docs, text_col)
     seen = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy(F.xxhash64("term").alias("hash")).count()
     chosen = seen.where((F.col("count") >= max(2, math.ceil(lowest * total))) & (F.col("count") <= max(2, math.floor(highest * total))))
-    masks = chosen.select(*_place(F.col("hash"))).groupBy("word").agg(F.bit_or("bit").alias("mask"))
+    masks = chosen.select(F.explode(_probed(F.col("hash"))).alias("probe")).select(*_place(F.col("probe"))).groupBy("word").agg(F.bit_or("bit").alias("mask"))
     return _constant({r["word"]: r["mask"] for r in masks.collect()})  # BITMAP / 64 rows at most
 
 
@@ -94,7 +112,7 @@ def _with_codes(rows: DataFrame, text: str, out: str, bitmap: Column) -> DataFra
     ``out``_rest, a hash of all terms of a text that has no code at all (null for others)."""
 
     def known(term: Column) -> Column:
-        return _has(bitmap, F.xxhash64(term))
+        return _known(bitmap, F.xxhash64(term))
 
     rows = rows.withColumn("_terms", terms(F.col(text)))
     rows = rows.withColumn("_sorted", F.array_sort(F.array_distinct(F.filter("_terms", known))))
@@ -167,8 +185,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null counts as empty. The edited text has its last quarter (rounded down) replaced by as many code points from the
     start of the next document. Equal texts have equal fingerprints; a text without any lexicon term in a subset is
-    fingerprinted by all its terms. Extra columns are ignored; an empty table gives an empty result.
+    fingerprinted by all its terms. Null ids come first; rows of one doc_id follow each other in a fixed order. Ids that
+    aren't whole numbers raise a TypeError. Extra columns are ignored; an empty table gives an empty result.
     """
+    whole_numbers(docs, id_col)
     bitmap = lexicon(docs, text_col, lowest, highest)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = _with_codes(rows, "text", "codes", bitmap)

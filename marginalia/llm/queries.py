@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
@@ -67,8 +71,21 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+
+def turns(shards: Sequence[str], slots: int) -> list[int]:
+    """The table of the sharding operator once more, for its SQL alone: every shard goes through the slots in steps of its
+    own and takes the first one that is free, shard after shard."""
+    digests = [bytes.fromhex(hashlib.md5(s.encode()).hexdigest()) for s in shards]
+    wishes = [map(lambda j, low=int.from_bytes(d[8:]) + (int.from_bytes(d[:8]) << 64), high=int.from_bytes(d[:8]): (low + j * (1 + high % (slots - 1))) % slots, range(slots)) for d in digests]
+    owner: dict[int, int] = {}
+    for number in itertools.cycle(range(len(shards))):
+        if len(owner) == slots:
+            return [owner[slot] for slot in range(slots)]
+        owner[next(slot for slot in wishes[number] if slot not in owner)] = number
+
+
 OP9_SQL = f"""
-WITH names AS (SELECT unnest({list(sharding.lookup_table())}) AS number, unnest(range({sharding.SLOTS})) AS slot),
+WITH names AS (SELECT unnest({turns(sharding.SHARDS, sharding.SLOTS)}) AS number, unnest(range({sharding.SLOTS})) AS slot),
 d AS (
   SELECT doc_id, source, n_chars, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {sharding.SLOTS} AS slot
   FROM documents

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import COSTLY_WORDS, byte_alphabet, slices, split_words, texts_of, vocabulary_path
+from .words import COSTLY_WORDS, byte_alphabet, slices, split_words, strings, texts_of, vocabulary_path
 
 
 class MergeCounter:
@@ -82,7 +82,7 @@ class MergeCounter:
         for a, b in slices(texts):
             words, bounds = split_words(texts[a:b], self.specials)
             coded = words.dictionary_encode()
-            each = self.counts(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+            each = self.counts(strings(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
             out.append(np.diff(np.concatenate([[0], np.cumsum(each)])[bounds]))
         return np.concatenate(out)
 

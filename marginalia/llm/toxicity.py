@@ -130,7 +130,7 @@ class Model:
         if not len(runs):
             return worst, whole
         coded = runs.dictionary_encode()
-        logits = self.word_logits(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)][is_word]
+        logits = self.word_logits(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)][is_word]
         ends = np.concatenate([[0], np.cumsum(is_word)])[bounds]
         counts = np.diff(ends)
         filled = np.flatnonzero(counts)
@@ -260,7 +260,7 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
     used, own = [t for t, u in zip(texts, unseen) if not u], labels[~unseen]
     runs, is_word, bounds = split(used)
     coded = runs.dictionary_encode()
-    vocabulary = coded.dictionary.to_pylist()
+    vocabulary = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     words = coded.indices.to_numpy(zero_copy_only=False)[is_word]
     ends = np.concatenate([[0], np.cumsum(is_word)])[bounds]
     first, of_text = windows_of(words, ends)
@@ -288,7 +288,8 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
     rest, seen = [t for t, u in zip(texts, unseen) if u], labels[unseen]
     if min(seen.sum(), len(seen) - seen.sum()) < 10:
         rest, seen = texts, labels  # too few for a cut
-    worst, whole = Model(rows, base, 0.0, 1.0, 0.0).evidence(rest)
+    worst, whole = Model(rows, base, 0.0, 1.0, 0.0).evidence([*rest, ""])
+    seen = np.append(seen, 0)  # no evidence isn't toxic, so neither are texts whose n-grams are all unknown
     _, _, share, slope, shift = min((*calibrate(worst + share * whole, seen)[:1], i, share, *calibrate(worst + share * whole, seen)[1:]) for i, share in enumerate(SHARES))
     return Model(rows, base, share, slope, shift)
 

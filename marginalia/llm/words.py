@@ -25,7 +25,7 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Characters of white space in the sense of the pattern's \s.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Code points of a slice that is cut at once: bounds the memory of the arrays.
-SLICE_CHARS = 500_000
+SLICE_CHARS = 1_000_000
 #: Distinct words a worker keeps before it starts its table anew; more where encoding a word costs more.
 TABLE_WORDS, COSTLY_WORDS = 300_000, 700_000
 #: Stands for the end of a word in vocabularies that mark it; no text in UTF-8 has this byte.
@@ -288,7 +288,7 @@ class Encoder:
 
     def _gather(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         coded = words.dictionary_encode()
-        rows = self.table.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+        rows = self.table.rows(strings(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         lengths = self.table.length[rows].astype(np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -328,3 +328,8 @@ def encoder(path: str) -> Encoder:
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of an Arrow column; null counts as empty."""
     return ["" if t is None else t for t in column.to_pylist()]
+
+
+def strings(column: pa.Array) -> list[str]:
+    """The values of an Arrow column of strings, converted at once."""
+    return column.to_numpy(zero_copy_only=False).tolist()

@@ -16,7 +16,7 @@ from marginalia.llm.words import Encoder, split_words
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 #: Names that operators use inside; a table may have them, too.
-CLASHING = "row int, print string, digest string, size int, part string, window string, slot int, range string, codes string, next_text string, node long, ghost boolean, held_out string"
+CLASHING = "_id int, _node long, _own long, _found string, _score double, _digest string, _own_digest string, _own_size int, _size int, _kept boolean, id int, own long, found string, score double, kept boolean, row int, print string, digest string, size int, part string, window string, slot int, range string, codes string, next_text string, node long, ghost boolean, held_out string"
 
 
 def sentence(rnd: random.Random, n: int) -> str:
@@ -60,6 +60,23 @@ def ids_by_library(tokenizer, rows) -> list[tuple]:
     return [(r[0], x.ids, r[1] or "") for r, x in zip(rows, tokenizer.encode_batch([r[1] or "" for r in rows], add_special_tokens=False))]
 
 
+def any_text(rnd: random.Random, n: int) -> str:
+    """Characters of all planes, of tables newer than Python's too, and odd spaces."""
+    pick = lambda: rnd.choice([rnd.randrange(32, 127), rnd.randrange(0x300), rnd.randrange(0x300, 0xD800), rnd.randrange(0x10000, 0x32000), 0x1C, 0x85, 0x2028])
+    return "".join(chr(pick()) for _ in range(n))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library_on_any_characters(library, name):
+    rnd = random.Random(11)
+    texts = [any_text(rnd, rnd.randint(0, 40)) for _ in range(3000)]
+    want = [x.ids for x in library[name].encode_batch(texts, add_special_tokens=False)]
+    got = []
+    for a, b, ids, bounds in Encoder(name).encode(texts):
+        got += [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:])]
+    assert got == want
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(library, name):
     rnd = random.Random(1)
@@ -349,6 +366,69 @@ def test_imatch_of_a_third_copies(spark):
     assert np.mean([g.near_edited for g in copies]) > 0.25 > 0.05 > np.mean([g.near_next for g in copies])
 
 
+def reference_imatch(texts: list[str]):
+    """Fingerprints and likeness by plain Python: the lexicon counted over distinct texts, then code by code."""
+    import math
+    import re
+    import struct
+    from collections import Counter
+
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    of_text = lambda t, seed=42: xxhash.xxh64_intdigest(t.encode(), seed)
+    terms = lambda t: [w for w in re.split(r"[^\w]+|_+", t.lower()) if w]
+    distinct = set(texts)
+    seen = Counter(w for t in distinct for w in set(terms(t)))
+    low, high = max(2, math.ceil(imatch.LOWEST * len(distinct))), max(2, math.floor(imatch.HIGHEST * len(distinct)))
+    lexicon = {w for w, n in seen.items() if low <= n <= high}
+
+    def codes(t: str) -> list[str]:
+        hashes = [of_text(w, of_text("subset")) for w in sorted(set(terms(t)) & lexicon, key=str.encode)]
+        out = []
+        for i, (rate, subsets) in enumerate(imatch.SCALES):
+            for k in range(subsets):
+                cell = [h for h in hashes if (signed(h) >> 13 * i) % rate == k]
+                code = 42
+                for h in cell:
+                    code = xxhash.xxh64_intdigest(struct.pack("<Q", h), code)
+                out.append(f"{code:016x}"[-imatch.HEX :] if cell else "")
+        return out
+
+    def rest(t: str) -> str:
+        code = 42
+        for w in sorted(set(terms(t)), key=str.encode):
+            code = of_text(w, code)
+        return f"{code:x}"
+
+    def fingerprint(t: str) -> str:
+        c = codes(t)
+        return "".join(x or "." * imatch.HEX for x in c) if any(c) else "all-" + rest(t)
+
+    def likeness(a: str, b: str) -> float:
+        x, y, at, best = codes(a), codes(b), 0, 0.0
+        if fingerprint(a) == fingerprint(b):
+            return 1.0
+        for _, subsets in imatch.SCALES:
+            pairs = [(p, q) for p, q in zip(x[at : at + subsets], y[at : at + subsets]) if p or q]
+            best = max(best, sum(p == q for p, q in pairs) / max(len(pairs), imatch.SURE))
+            at += subsets
+        return best
+
+    return fingerprint, likeness
+
+
+def test_imatch_equals_brute_force(docs):
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    fingerprint, likeness = reference_imatch([t for _, t in rows])
+    got = {g.doc_id: g for g in imatch.fingerprints(docs).collect()}
+    for (name, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        n = len(text) // 4
+        edited, g = text[: len(text) - n] + after[:n], got[name]
+        assert (g.fingerprint, g.edited_fingerprint) == (fingerprint(text), fingerprint(edited))
+        assert g.near_edited == pytest.approx(likeness(text, edited)) and g.near_next == pytest.approx(likeness(text, after))
+
+
 # 4: exact dedup
 
 
@@ -438,6 +518,47 @@ def test_bpe_codec(odd, none, library):
     assert kept.decoded == "été à l'Élysée" and len(kept.ids) == kept.n_tokens
 
 
+def test_bpe_codec_of_any_characters(spark, library, monkeypatch):
+    """Texts of all planes, in chunks of a few words, whose words meet in several chunks."""
+    tokenizer, rnd = library["byte_bpe_50k.json"], random.Random(12)
+    monkeypatch.setattr(bpe_codec, "CHUNK_WORDS", 300)
+    monkeypatch.setattr(bpe_codec, "SLICE_WORDS", 50)
+    rows = [(str(i), any_text(rnd, rnd.randint(0, 60)) + rnd.choice(["", "<|endoftext|>", " the end's  \n x"])) for i in range(300)]
+    got = bpe_codec.encode_decode(spark.createDataFrame(rows, "doc_id string, text string").repartition(2), keep_ids=True).collect()
+    want = {n: x.ids for (n, _), x in zip(rows, tokenizer.encode_batch([t for _, t in rows], add_special_tokens=False))}
+    assert {g.doc_id: list(g.ids) for g in got} == want and {g.doc_id: g.decoded for g in got} == dict(rows)
+
+
+def test_decoding_of_any_ids(spark, library):
+    rnd = random.Random(13)
+    rows = [(i, [rnd.randrange(50257) if rnd.random() < 0.5 else rnd.randrange(256) for _ in range(rnd.randint(1, 20))]) for i in range(300)]
+    decoded = bpe_codec.decode(spark.createDataFrame(rows, "key int, ids array<int>"), bpe_codec.piece_table(spark, "byte_bpe_50k.json"))
+    got = {r.key: r.text for r in decoded.select("key", bpe_codec.decoded_text(decoded["decoded"]).alias("text")).collect()}
+    assert got == {k: library["byte_bpe_50k.json"].decode(ids, skip_special_tokens=False) for k, ids in rows}
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_other_kinds_of_ids(spark, kind):
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "three " * 2000)], "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+    for made in (packing.pack(docs), bpe_codec.encode_decode(docs), token_count.count_tokens(docs), exact_dedup.exact_groups(docs), simhash.near_duplicates(docs), simhash_dedup.deduplicate(docs)):
+        assert {str(r.doc_id) for r in made.collect()} == {"1", "2", "3"} and dict(made.dtypes)["doc_id"] == kind
+    for operator in (huffman_files.round_trip, imatch.fingerprints):
+        if kind == "string":
+            with pytest.raises(TypeError):
+                operator(docs)
+        else:
+            assert operator(docs).count() == 3
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    names = [x.split()[0] for x in CLASHING.split(", ")]
+    rows = [(i, "same text here" if i < 3 else f"another text {i}", *[f"v{i}"] * len(names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for kept in (exact_dedup.deduplicate(docs), simhash_dedup.deduplicate(docs)):
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] not in (1, 2))
+
+
 # 8 and 10: classifiers
 
 
@@ -466,6 +587,106 @@ def test_presence_is_what_it_says():
     assert (sets == np.stack(alone)).all() and not sets[2].any()
 
 
+def test_kernel_equals_brute_force():
+    """Sets of hashed n-grams by plain Python, the cosine of sets, and ridge regression on Nystroem features solved anew."""
+    rnd = random.Random(21)
+    vocabulary = {"a": ["der", "und", "die", "ist"], "b": ["the", "and", "of", "is"], "c": ["el", "los", "una", "es"]}
+    rows = [(name, " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 30)))) for name, words in vocabulary.items() for _ in range(30)]
+    rnd.shuffle(rows)
+
+    def grams(text: str) -> set:
+        raw = text.encode()
+        return {((int.from_bytes(raw[i : i + n]) + n) * 2654435761 % (1 << 32)) >> 19 for n in range(1, language_id.ORDERS + 1) for i in range(len(raw) - n + 1)}
+
+    sets = language_id.presence([t.encode() for _, t in rows])
+    own = [grams(t) for _, t in rows]
+    assert [set(np.flatnonzero(s)) for s in sets] == own
+    model = language_id.fit_sets(sets, [n for n, _ in rows])
+    marks = [set(np.flatnonzero(np.unpackbits(x))) for x in model.landmarks]
+    cosine = lambda x, y: len(x & y) / (len(x) * len(y)) ** 0.5
+    outer, inner = np.array([[cosine(x, y) for y in marks] for x in own]), np.array([[cosine(x, y) for y in marks] for x in marks])
+    assert np.allclose(model.kernel(sets), outer, atol=1e-5)
+    # min |y - outer c - b|^2 + ridge c' inner c, as least squares; the features' whitening drops what inner doesn't span
+    values, vectors = np.linalg.eigh(inner)
+    root = (vectors * np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    y = np.where(np.array([n for n, _ in rows])[:, None] == np.array(model.languages), 1.0, -1.0)
+    left = np.vstack([np.hstack([outer, np.ones((len(rows), 1))]), np.hstack([np.sqrt(language_id.RIDGE) * root, np.zeros((len(marks), 1))])])
+    solved = np.linalg.lstsq(left, np.vstack([y, np.zeros((len(marks), y.shape[1]))]), rcond=None)[0]
+    assert np.allclose(model.margins(sets), outer @ solved[:-1] + solved[-1], atol=2e-2)
+    assert [model.languages[i] for i in model.margins(sets).argmax(axis=1)] == [n for n, _ in rows]
+
+
+def test_every_language_is_learned(spark):
+    """No label is left out, however many there are."""
+    rows = [(i, f"{'xyzuvw'[i % 6]}{i % 150} " * 20, f"l{i % 150}") for i in range(1500)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 150
+
+
+def reference_logit(model, text: str) -> tuple[float, float]:
+    """Worst window and average of a text, word by word and n-gram by n-gram."""
+    import re
+
+    words = [w.encode() for w in re.findall("[a-z0-9\u0080-\U0010ffff]+", text.lower())]
+    each = []
+    for w in words:
+        buckets, _ = toxicity.grams([w])
+        marked = b"<" + w + b">"
+        assert len(buckets) == 1 + sum(max(0, len(marked) - n + 1) for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1))
+        each.append(float(np.mean(model.rows[buckets])))
+    if not each:
+        return model.base, model.base
+    size = min(toxicity.WINDOW, len(each))
+    return model.base + max(np.mean(each[i : i + size]) for i in range(len(each) - size + 1)), model.base + np.mean(each)
+
+
+def test_toxic_evidence_equals_brute_force():
+    rnd = random.Random(22)
+    model = toxicity.Model(np.random.default_rng(1).normal(size=toxicity.BUCKETS), 0.25, 0.5, 1.5, -0.2)
+    texts = ["", " ?! ", "one", "One two", *[sentence(rnd, rnd.randint(1, 40)) + rnd.choice(["", " été", "! x"]) for _ in range(60)]]
+    worst, whole = model.evidence(texts)
+    want = [reference_logit(model, t) for t in texts]
+    assert np.allclose(worst, [w for w, _ in want]) and np.allclose(whole, [a for _, a in want])
+    assert np.allclose(model.scores(texts), [1 / (1 + np.exp(-(1.5 * (w + 0.5 * a) - 0.2))) for w, a in want])
+
+
+def test_gradients_equal_differences():
+    """Rows, softmax and bias are trained jointly: each gradient against a small change of the loss."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 6, 30)
+    buckets, at = toxicity.grams([b"alpha", b"beta", b"alphabet", b"x", b"gamma", b"betas"])
+    first, stop = np.arange(0, 30, 3), np.minimum(np.arange(0, 30, 3) + 3, 29)
+    trainer = toxicity._Trainer(buckets, at, words, first, stop)
+    trainer.rows, trainer.softmax, trainer.bias = trainer.rows.astype(np.float64), trainer.softmax.astype(np.float64), trainer.bias.astype(np.float64)
+    windows, labels = np.arange(10), rng.integers(0, 2, 10)
+
+    def loss() -> float:
+        total = 0.0
+        for w in windows:
+            bag = np.mean([np.mean(trainer.rows[buckets[at[k] : at[k + 1]]], axis=0) for k in words[first[w] : stop[w]]], axis=0)
+            logits = bag @ trainer.softmax + trainer.bias
+            total += np.log(np.exp(logits).sum()) - logits[labels[w]]
+        return total / len(windows)
+
+    steps = trainer.steps(windows, labels)
+    for array, step in zip((trainer.rows, trainer.softmax, trainer.bias), steps):
+        for _ in range(6):
+            place = (buckets[rng.integers(len(buckets))], rng.integers(toxicity.WIDTH)) if array is trainer.rows else tuple(rng.integers(n) for n in array.shape)
+            before, at_start = array[place], loss()
+            array[place] += 1e-5
+            assert abs((loss() - at_start) / 1e-5 - step[place]) < 1e-4
+            array[place] = before
+
+
+def test_toxicity_of_the_sample_tables(docs, spark, data):
+    """Held-out documents of ``labels``: what the classifier finds, against the share of toxic ones."""
+    labels = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/labels.parquet")
+    found = toxicity.score(spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").collect()
+    toxic, clean = [r for r in found if r.toxic == 1], [r for r in found if r.toxic == 0]
+    assert np.mean([r.score for r in toxic]) > np.mean([r.score for r in clean]) + 0.2
+    assert np.mean([r.predicted for r in clean]) < 0.1
+
+
 def toxic_rows() -> tuple[list, list]:
     rnd = random.Random(6)
     docs, labels = [], []
@@ -501,6 +722,7 @@ def test_toxicity(spark, odd, none):
 
 def test_lookup_table_is_fair_and_stable():
     table = sharding.lookup_table()
+    assert table == queries.turns(sharding.SHARDS, sharding.SLOTS)
     sizes = np.bincount(table)
     assert len(table) == sharding.SLOTS and sizes.max() - sizes.min() <= 1
     fewer = sharding.lookup_table(sharding.SHARDS[:-1])
@@ -527,12 +749,3 @@ def test_query_equals_sql(spark, data, name):
     frame = queries.QUERIES[name](spark, data)
     relation = connect(data).sql(queries.ORACLES[name])
     assert rows_of(frame.columns, frame.collect()) == rows_of(relation.columns, relation.fetchall())
-
-
-def test_distinct_windows():
-    """Repeats go, order stays; the fit learns from evenly spaced windows of long texts."""
-    assert toxicity.distinct_windows("A b a! B c") == (b"a b c", b"a b c")
-    assert toxicity.distinct_windows("") == toxicity.distinct_windows(" ?") == (b"", b"")
-    long = [f"w{i}" for i in range(2 * toxicity.TEXT_WINDOWS)]
-    every, some = toxicity.distinct_windows(" ".join(long))
-    assert every.decode().split() == long and some.decode().split() == long[::2]

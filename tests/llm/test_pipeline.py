@@ -65,3 +65,42 @@ def test_letters_stay_where_no_language_can_be_learned(spark, folder, labelled):
     kept = pipeline.keep_identified(spark, docs, folder)
     assert kept.columns == docs.columns and kept.count() == want > 700
     assert kept.where("doc_id IN (2000, 2001)").isEmpty()
+
+
+def odd_docs(spark, folder):
+    """Rows of every kind with columns whose names stages use inside."""
+    from test_operators import CLASHING
+
+    names = [x.split()[0] for x in CLASHING.split(", ")]
+    long = " ".join(f"alpha{i}" for i in range(50_000))
+    texts = [None, "", " ", "a", "alpha beta gamma delta", "alpha beta gamma delta", "alpha vilescum beta horridfool", long, long + " end", "12 34"]
+    rows = [(i, t, "en", "s", 1, *[f"v{i}"] * len(names)) for i, t in enumerate(texts)]
+    rows += [rows[4], rows[4], rows[7], (None, "no id at all", None, None, None, *["w"] * len(names))]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names))
+    base = spark.read.parquet(f"{folder}/documents.parquet")
+    return odd.unionByName(base.selectExpr("*", *[f"cast(null as string) {n}" for n in names]).where("doc_id >= 100"), allowMissingColumns=True)
+
+
+@pytest.mark.parametrize("stage", [s for _, s in pipeline.STAGES[:-1]])
+def test_stages_on_odd_rows(spark, folder, stage):
+    docs = odd_docs(spark, folder)
+    kept = stage(spark, docs, folder)
+    assert kept.columns == docs.columns
+    rows = kept.where("doc_id < 20 OR doc_id IS NULL").collect()
+    own = {r.doc_id for r in rows}
+    assert all(r["_score"] == (f"v{r.doc_id}" if r.doc_id is not None else "w") == r["row"] for r in rows)
+    if stage is pipeline.keep_identified:
+        assert own == {3, 4, 5, 6, 7, 8, None} and len(rows) == 10  # repeats stay
+    if stage is pipeline.keep_civil:
+        assert {0, 1, 2, 3, 4, 5, 7, 8, 9, None} == own and len(rows) == 13
+    if stage is pipeline.drop_exact_copies:
+        assert own == {2, 3, 4, 6, 7, 8, 9, None}  # of the blank texts the longest
+    if stage is pipeline.drop_near_copies:
+        assert own == {0, 2, 3, 4, 6, 7, 9, None}  # equal texts, and the long text's variant
+
+
+def test_only_wanted_languages_stay(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert pipeline.keep_identified(spark, docs, folder, languages=["fr"]).count() == 0
+    assert pipeline.keep_identified(spark, docs, folder, languages=["en"]).count() > 800
+    assert pipeline.keep_identified(spark, docs, folder, least=1.01).count() == 0
