@@ -247,18 +247,24 @@ def similarity(one: str, other: str, shingle: int = SHINGLE) -> float:
 
 
 def judged(links: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(a, b, close): whether the texts of each link have a similarity of SIMILARITY or more. Only texts of linked nodes move."""
+    """(a, b, close): whether the texts of each link have a similarity of SIMILARITY or more.
+
+    Only texts of linked nodes are read, each is cut into shingles once, and the sets of their hashes are compared.
+    """
     links = links.select("a", "b")
     involved = materialize(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "linked")
-    texts = materialize(docs.select(_node(text_col), F.coalesce(text_col, F.lit("")).alias("text")).join(involved, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
+    texts = docs.select(_node(text_col), F.coalesce(text_col, F.lit("")).alias("text")).join(involved, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            close = [similarity(x, y) >= SIMILARITY for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(close, pa.bool_())], ["a", "b", "close"])
-
-    pairs = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, close boolean")
+            sets = [shingle_hashes(t).view(np.int64) for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    sets = materialize(texts.mapInArrow(run, "node long, hashes array<long>"), "linked-sets")
+    release(involved)
+    pairs = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.select("a", "b", (both >= SIMILARITY * (F.size("x") + F.size("y") - both)).alias("close"))
 
 
 def tied(nodes: DataFrame, docs: DataFrame, text_col: str, split: int = SPLIT) -> DataFrame:
