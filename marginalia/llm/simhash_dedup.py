@@ -4,16 +4,16 @@ Texts with a similarity of 0.8 (Jaccard, five-word shingles) differ in about 15
 equal blocks can find. So fingerprints have 256 bits here, buckets come from bands of minima of the same shingle hashes,
 and the tiled exclusive-or and bit counts of ``simhash`` compare fingerprints inside each bucket. A bucket passes on the
 spanning forest of its closest links, and their texts are compared exactly. Where such a link fails, the groups at its
-ends are searched again for links that lead from one group to another, until no untested link within the radius joins
-two groups; components keep one document.
+ends are searched again: inside each family of linked texts, tile by tile, every pair of two groups within the radius is
+compared exactly unless links found there join it already; components keep one document.
 
-Two texts are compared if they share a band, which those of similarity s miss with a probability of
+Two texts are compared if they share a band (or, in a family, without one), which those of similarity s miss with a probability of
 (1 - s ** ROWS) ** BANDS: 0.0018 at 0.8, 0.0006 at 0.825, 0.0001 at 0.85; and if they are within RADIUS bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -35,8 +35,8 @@ ROWS, BANDS = 4, 12
 SPLIT = 20_000
 #: Band rows of a task.
 TASK_ROWS = 2_000_000
-#: Links between groups that a row passes on in the first search after a failed link, and the growth of that number.
-NEAREST, GROWTH = 64, 16
+#: Shingle hashes of a tile of texts that are compared exactly, and of a task.
+BLOCK_HASHES, TASK_HASHES = 1 << 20, 1 << 23
 
 _random = np.random.default_rng(20240117)
 _MIX = _random.integers(0, 1 << 63, (WORDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,22 +129,34 @@ def closest_forest(prints: np.ndarray, radius: int = RADIUS, tile: int = TILE) -
     return left, right
 
 
-def closest_between(prints: np.ndarray, groups: np.ndarray, most: int, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Links within the radius between different groups, at most the ``most`` closest of each row; whether any is left out."""
-    far, left, right, more = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    for f, x, y in near_pairs(prints, radius, tile):
-        other = groups[x] != groups[y]
-        far, left, right = np.concatenate([far, f[other]]), np.concatenate([left, x[other]]), np.concatenate([right, y[other]])
-        ends = np.concatenate([left, right])
-        order = np.lexsort((np.concatenate([far, far]), ends))
-        sorted_ends = ends[order]
-        beyond = order[np.arange(len(order)) - np.searchsorted(sorted_ends, sorted_ends) >= most]
-        if len(beyond):
-            more = True
-            kept = np.ones(len(far), bool)
-            kept[beyond % len(far)] = False
-            far, left, right = far[kept], left[kept], right[kept]
-    return left, right, more
+def close_between(prints: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], tiles: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Links of similar texts that join the groups as all links within the radius would; a link whose ends are joined
+    already is not compared. ``sets``: sorted shingle hashes. ``tiles``: only rows of different ones are compared."""
+    order = np.argsort(np.bitwise_count(prints).sum(axis=1), kind="stable")
+    sizes, root = np.array([len(s) for s in sets]), np.unique(groups, return_inverse=True)[1]
+    left, right = [], []
+    for _, x, y in near_pairs(prints[order]):
+        x, y = order[x], order[y]
+        may = (root[x] != root[y]) & (np.minimum(sizes[x], sizes[y]) >= SIMILARITY * np.maximum(sizes[x], sizes[y]))
+        if tiles is not None:
+            may &= tiles[x] != tiles[y]
+        x, y = x[may], y[may]
+        for others in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else []:
+            one, others = x[others[0]], y[others]
+            others = others[root[others] != root[one]]
+            if not len(others):
+                continue
+            theirs = np.concatenate([sets[o] for o in others])
+            at = np.minimum(np.searchsorted(sets[one], theirs), sizes[one] - 1)
+            found = np.concatenate([[0], np.cumsum(sets[one][at] == theirs)])
+            ends = np.cumsum(sizes[others])
+            both = found[ends] - found[ends - sizes[others]]
+            others = others[both >= SIMILARITY * (sizes[one] + sizes[others] - both)]
+            roots, first = np.unique(root[others], return_index=True)
+            left += [one] * len(first)
+            right += list(others[first])
+            root[np.isin(root, roots)] = root[one]
+    return left, right
 
 
 def _forest(far: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,74 +182,111 @@ def _forest(far: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> tup
     return far[chosen], left[chosen], right[chosen]
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch], keys: int, most: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``keys`` key columns, then population count; then node, group and the fingerprint's numbers.
+def _bucket_links(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The forest of each bucket. Rows are sorted by ``keys`` key columns, then population count; then node and the
+    fingerprint's numbers."""
 
-    The forest of each bucket; or with ``most``, the links between groups, at most so many of a row.
-    """
-
-    def of(columns: list[np.ndarray]) -> pa.RecordBatch | None:
-        change = np.zeros(len(columns[0]), bool)
-        for c in columns[:keys]:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = np.concatenate([[0], np.flatnonzero(change), [len(change)]])
+    def of(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        nodes = rows.column(keys).to_numpy()
+        prints = np.stack([rows.column(keys + 1 + i).to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
         sizes = np.diff(cuts)
-        nodes, groups, prints = columns[keys], columns[keys + 1], np.stack(columns[keys + 2 :], axis=1).view(np.uint64)
         two = cuts[:-1][sizes == 2]
         near = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= RADIUS]
-        if most:
-            near = near[groups[near] != groups[near + 1]]
-        left, right, more = [near], [near + 1], [np.zeros(len(near), bool)]
+        left, right = [near], [near + 1]
         for a, n in zip(cuts[:-1][sizes > 2], sizes[sizes > 2]):
-            if not most:
-                x, y, cut = *closest_forest(prints[a : a + n]), False
-            elif (groups[a : a + n] == groups[a]).all():
-                continue
-            else:
-                x, y, cut = closest_between(prints[a : a + n], groups[a : a + n], most)
+            x, y = closest_forest(prints[a : a + n])
             left.append(x + a)
             right.append(y + a)
-            more.append(np.full(len(x), cut))
-        left, right = np.concatenate(left), np.concatenate(right)
-        return pa.RecordBatch.from_pydict({"a": pa.array(nodes[left]), "b": pa.array(nodes[right]), "more": pa.array(np.concatenate(more))}) if len(left) else None
+        return pa.RecordBatch.from_pydict({"a": pa.array(nodes[np.concatenate(left)]), "b": pa.array(nodes[np.concatenate(right)])})
+
+    return _whole(batches, keys, of)
+
+
+def _close_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of ``close_between`` in each block of rows: family, low, high; then tile, node, group, prints, hashes."""
+
+    def of(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        low, high, tiles, nodes, groups = (rows.column(i).to_numpy() for i in range(1, 6))
+        left, right = [], []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if (groups[a:b] == groups[a]).all():
+                continue
+            prints, hashes = (_lists(rows.column(i).slice(a, b - a)) for i in (6, 7))
+            x, y = close_between(np.stack(prints), groups[a:b], hashes, tiles[a:b] if low[a] != high[a] else None)
+            left += [a + i for i in x]
+            right += [a + i for i in y]
+        return pa.RecordBatch.from_pydict({"a": pa.array(nodes[np.array(left, int)]), "b": pa.array(nodes[np.array(right, int)])})
+
+    return _whole(batches, 3, of)
 
-    held: list[np.ndarray] = []
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    column = pa.concat_arrays(column.chunks)
+    return np.split(column.flatten().to_numpy().view(np.uint64), np.cumsum(column.value_lengths().to_numpy())[:-1])
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: int, of: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``of`` (rows, where their buckets start and the last one ends) for runs of whole buckets: rows are contiguous by
+    their ``keys`` first columns, and the last bucket of a batch may go on in the next one."""
+    held = None
     for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        held = [np.concatenate(x) for x in zip(held, new)] if held else new
-        same = np.ones(len(held[0]), bool)
-        for c in held[:keys]:
-            same &= c == c[-1]
-        last = len(same) - int(same.sum())  # the last bucket may go on; buckets are contiguous
-        if last:
-            if (out := of([x[:last] for x in held])) is not None:
-                yield out
-            held = [x[last:] for x in held]
-    if held and len(held[0]) and (out := of(held)) is not None:
-        yield out
-
-
-def candidate_links(nodes: DataFrame, split: int = SPLIT, tile: int = TILE, most: int = 0) -> DataFrame:
-    """(a, b, more): the closest links of each bucket, or with ``most`` those between groups, and whether their bucket
-    has others. ``nodes``: node, group, prints, bands. Large buckets are dealt out by tile pairs."""
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        cuts = _cuts(held, keys)
+        if len(cuts) > 2:
+            yield of(held.slice(0, cuts[-2]), cuts[:-1])
+            held = held.slice(cuts[-2])
+    if held is not None and held.num_rows:
+        yield of(held, _cuts(held, keys))
+
+
+def _cuts(rows: pa.Table, keys: int) -> np.ndarray:
+    change = np.zeros(rows.num_rows, bool)
+    for i in range(keys):
+        column = rows.column(i).to_numpy()
+        change[1:] |= column[1:] != column[:-1]
+    return np.concatenate([[0], np.flatnonzero(change), [len(change)]])
+
+
+def candidate_links(nodes: DataFrame, split: int = SPLIT, tile: int = TILE) -> DataFrame:
+    """(a, b): the closest links of each bucket. ``nodes``: node, prints, bands. Large buckets are dealt out by tile pairs."""
     partitions = spread(nodes.sparkSession, BANDS * nodes.count(), TASK_ROWS)
     words = [F.col("prints")[i].alias(f"p{i}") for i in range(WORDS)]
-    keyed = nodes.select("node", "group", *words, F.posexplode("bands").alias("band", "bucket"))
+    keyed = nodes.select("node", *words, F.posexplode("bands").alias("band", "bucket"))
     weight = sum((F.bit_count(f"p{i}") for i in range(1, WORDS)), F.bit_count("p0"))
-    columns = ["node", "group", *[f"p{i}" for i in range(WORDS)]]
+    columns = ["node", *[f"p{i}" for i in range(WORDS)]]
     hot = materialize(keyed.groupBy("band", "bucket").count().where(F.col("count") > split), "hot-bands")
     large = not hot.isEmpty()
     usual = keyed.join(hot, ["band", "bucket"], "left_anti") if large else keyed
     dealt = usual.repartition(partitions, "band", "bucket").sortWithinPartitions("band", "bucket", weight).select("band", "bucket", *columns)
-    found = dealt.mapInArrow(lambda b: _bucket_links(b, 2, most), "a long, b long, more boolean")
+    found = dealt.mapInArrow(lambda b: _bucket_links(b, 2), "a long, b long")
     if large:
-        own = keyed.join(hot, ["band", "bucket"]).withColumn("shares", F.ceil(F.col("count") / (8 * tile)))
-        own = own.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("shares"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-        own = own.select("band", "bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), *columns)
+        own = _dealt(keyed.join(hot.withColumn("shares", F.ceil(F.col("count") / (8 * tile))), ["band", "bucket"]))
+        own = own.select("band", "bucket", "low", "high", *columns)
         own = own.repartition(partitions, "band", "bucket", "low", "high").sortWithinPartitions("band", "bucket", "low", "high", weight)
-        found = found.unionByName(own.mapInArrow(lambda b: _bucket_links(b, 4, most), "a long, b long, more boolean"))
-    ends = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more").where("a <> b")
-    return ends.groupBy("a", "b").agg(F.max("more").alias("more"))
+        found = found.unionByName(own.mapInArrow(lambda b: _bucket_links(b, 4), "a long, b long"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Each row goes to the pairs (low, high) of its tile with every tile; there are ``shares`` tiles."""
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("shares"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    return rows.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+
+
+def links_between(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of similar texts between different groups of one family. ``nodes``: node, family, group, prints.
+
+    Texts are compared inside tasks, each of which holds two tiles of a family at most, so links that fail are never
+    rows. Tiles of a family have BLOCK_HASHES shingle hashes, or 8 * TILE texts, about.
+    """
+    rows = nodes.join(sets, "node")
+    shares = F.greatest(F.ceil(F.sum(F.size("hashes")) / BLOCK_HASHES), F.ceil(F.count(F.lit(1)) / (8 * TILE)), F.lit(1)).cast("long")
+    families = materialize(rows.groupBy("family").agg(shares.alias("shares"), F.sum(F.size("hashes")).alias("size")), "families")
+    dealt = families.agg(F.sum(F.col("size") * F.col("shares"))).first()[0] or 0
+    own = _dealt(rows.join(families, "family")).select("family", "low", "high", "tile", "node", "group", "prints", "hashes")
+    own = own.repartition(spread(nodes.sparkSession, dealt, TASK_HASHES), "family", "low", "high").sortWithinPartitions("family", "low", "high")
+    return own.mapInArrow(_close_links, "a long, b long")
 
 
 def similarity(one: str, other: str, shingle: int = SHINGLE) -> float:
@@ -246,12 +295,8 @@ def similarity(one: str, other: str, shingle: int = SHINGLE) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def judged(links: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(a, b, close): whether the texts of each link have a similarity of SIMILARITY or more.
-
-    Only texts of linked nodes are read, each is cut into shingles once, and the sets of their hashes are compared.
-    """
-    links = links.select("a", "b")
+def shingle_sets(links: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """node, hashes of the texts that links touch; each is cut into shingles once."""
     involved = materialize(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "linked")
     texts = docs.select(_node(text_col), F.coalesce(text_col, F.lit("")).alias("text")).join(involved, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
@@ -262,6 +307,11 @@ def judged(links: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 
     sets = materialize(texts.mapInArrow(run, "node long, hashes array<long>"), "linked-sets")
     release(involved)
+    return sets
+
+
+def judged(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, close): whether the texts of each link have a similarity of SIMILARITY or more."""
     pairs = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return pairs.select("a", "b", (both >= SIMILARITY * (F.size("x") + F.size("y") - both)).alias("close"))
@@ -271,30 +321,27 @@ def tied(nodes: DataFrame, docs: DataFrame, text_col: str, split: int = SPLIT) -
     """(a, b): each node of a group but the smallest, tied to that one. ``nodes``: node, prints, bands.
 
     A bucket's forest leaves no link between groups untested unless one of its own links failed, and then both groups
-    of the untested link have a failed one. So only such groups are searched again, for their closest links between
-    groups; the number of links that a row passes on grows until no bucket holds any back.
+    of the untested link have a failed one, and both lie in one family of the forest. So such groups are searched again,
+    family by family, for all links within the radius.
     """
-    forest = materialize(candidate_links(nodes.withColumn("group", F.col("node")), split), "candidate-links")
-    tested, most = materialize(judged(forest, docs, text_col), "tested-links"), NEAREST
-    while True:
-        groups = stars(tested.where("close"))
-        failed = tested.where("NOT close").select("a", "b")
-        for end in ("a", "b"):
-            own = groups.select(F.col("a").alias(end), F.col("b").alias(f"{end}_group"))
-            failed = failed.join(own, end, "left").withColumn(f"{end}_group", F.coalesce(f"{end}_group", end))
-        between = failed.where("a_group <> b_group")
-        opened = materialize(between.select(F.col("a_group").alias("group")).unionByName(between.select(F.col("b_group").alias("group"))).distinct(), "open-groups")
-        if opened.isEmpty():
-            return groups
-        grouped = nodes.join(groups.select(F.col("a").alias("node"), F.col("b").alias("group")), "node", "left").withColumn("group", F.coalesce("group", "node"))
-        found = materialize(candidate_links(materialize(grouped.join(opened, "group", "left_semi"), "open-nodes"), split, most=most), "links-between")
-        fresh = materialize(found.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "untested-links")
-        done = found.where("more").isEmpty()
-        if not fresh.isEmpty():
-            tested = tested.unionByName(materialize(judged(fresh, docs, text_col), "tested-links"))
-        if done:
-            return groups if fresh.isEmpty() else stars(tested.where("close"))
-        most *= GROWTH
+    forest = materialize(candidate_links(nodes, split), "candidate-links")
+    sets = shingle_sets(forest, docs, text_col)
+    tested = materialize(judged(forest, sets), "tested-links")
+    groups = stars(tested.where("close"))
+    failed = tested.where("NOT close").select("a", "b")
+    for end in ("a", "b"):
+        own = groups.select(F.col("a").alias(end), F.col("b").alias(f"{end}_group"))
+        failed = failed.join(own, end, "left").withColumn(f"{end}_group", F.coalesce(f"{end}_group", end))
+    between = failed.where("a_group <> b_group")
+    opened = materialize(between.select(F.col("a_group").alias("group")).unionByName(between.select(F.col("b_group").alias("group"))).distinct(), "open-groups")
+    if opened.isEmpty():
+        return groups
+    open_nodes = nodes.select("node", "prints")
+    for name, ties in (("group", groups), ("family", stars(forest))):
+        open_nodes = open_nodes.join(ties.select(F.col("a").alias("node"), F.col("b").alias(name)), "node", "left").withColumn(name, F.coalesce(name, "node"))
+    open_nodes = materialize(open_nodes.join(opened, "group", "left_semi"), "open-nodes")
+    fresh = materialize(links_between(open_nodes, sets), "links-between")
+    return stars(tested.where("close").select("a", "b").unionByName(fresh))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:

@@ -306,21 +306,33 @@ def test_near_dedup_of_families_near_the_limit(spark, monkeypatch):
     want = groups_of(rows, lambda a, b: met(a, b) and close(a, b))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in simhash_dedup.deduplicate(docs).collect()} == want
-    monkeypatch.setattr(simhash_dedup, "NEAREST", 2)
+    monkeypatch.setattr(simhash_dedup, "BLOCK_HASHES", 1000)
     assert {r.doc_id for r in simhash_dedup.deduplicate(docs, split=4).collect()} == want
 
 
 def test_links_between_groups():
     rnd = np.random.default_rng(5)
-    prints = np.repeat(rnd.integers(0, 1 << 63, (4, simhash_dedup.WORDS), dtype=np.uint64), 20, axis=0)
-    prints[:, 0] ^= rnd.integers(0, 1 << 20, 80, dtype=np.uint64)
-    prints = prints[np.argsort(np.bitwise_count(prints).sum(axis=1), kind="stable")]
-    groups = rnd.integers(0, 6, 80)
-    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if groups[a] != groups[b] and np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash_dedup.RADIUS}
-    left, right, more = simhash_dedup.closest_between(prints, groups, 80, tile=16)
-    assert set(zip(left.tolist(), right.tolist())) == want and not more
-    left, right, more = simhash_dedup.closest_between(prints, groups, 3, tile=16)
-    assert set(zip(left.tolist(), right.tolist())) < want and more and np.bincount(np.concatenate([left, right])).max() <= 3
+    bases = [rnd.integers(0, 1 << 63, 100, dtype=np.uint64) for _ in range(4)]
+    sets = []
+    for i in range(80):
+        own = bases[i % 4].copy()
+        own[rnd.permutation(100)[: rnd.integers(2, 14)]] = rnd.integers(0, 1 << 63, 1, dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([own, rnd.integers(0, 1 << 63, rnd.integers(0, 12), dtype=np.uint64)])))
+    prints = np.stack([simhash_dedup.sketch(s)[0] for s in sets])
+    groups, tiles = np.arange(80), rnd.integers(0, 2, 80)
+
+    def close(a, b):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        return np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash_dedup.RADIUS and both / (len(sets[a]) + len(sets[b]) - both) >= 0.8
+
+    rows = [(i, "") for i in range(80)]
+    pairs = [(a, b) for a in range(80) for b in range(a + 1, 80) if close(a, b)]
+    assert 0 < len(pairs) < 4 * 190
+    for dealt in (None, tiles):
+        links = {tuple(sorted(map(int, x))) for x in zip(*simhash_dedup.close_between(prints, groups, sets, dealt))}
+        wanted = {(a, b) for a, b in pairs if dealt is None or tiles[a] != tiles[b]}
+        assert links <= wanted and groups_of(rows, lambda a, b: (a, b) in links) == groups_of(rows, lambda a, b: (a, b) in wanted)
+        assert len(links) == 80 - len(groups_of(rows, lambda a, b: (a, b) in wanted))
 
 
 # 3: I-Match
