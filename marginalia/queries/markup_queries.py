@@ -12,7 +12,14 @@ from .registry import query
 
 URI = "data:image/png;base64,iVBORw=="
 SVG_TEXT = "(SELECT p_partkey, p_name, p_size, 40 + p_size AS w, 12 + p_partkey % 5 AS fs FROM part)"
-EM = "list_sum(list_transform(string_split(p_name, ''), lambda c: CASE WHEN unicode(c) > 11904 THEN 0.9 WHEN regexp_matches(c, '[iljtfr.,:;''!|()\\[\\] ·]') THEN 0.29 WHEN regexp_matches(c, '[\\p{Lu}\\p{Nd}mw@%]') THEN 0.64 WHEN regexp_matches(c, '\\p{Ll}') THEN 0.56 ELSE 0.43 END))"
+
+
+def em(column: str) -> str:
+    """The width of a text in ems, in DuckDB."""
+    return f"list_sum(list_transform(string_split({column}, ''), lambda c: CASE WHEN unicode(c) > 11904 THEN 0.9 WHEN regexp_matches(c, '[iljtfr.,:;''!|()\\[\\] ·]') THEN 0.29 WHEN regexp_matches(c, '[\\p{{Lu}}\\p{{Nd}}mw@%]') THEN 0.64 WHEN regexp_matches(c, '\\p{{Ll}}') THEN 0.56 ELSE 0.43 END))"
+
+
+EM = em("p_name")
 
 
 def svgs(spark, folder):

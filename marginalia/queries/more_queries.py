@@ -46,32 +46,6 @@ def w03_lead_and_title(spark, folder):
     return found.where("NOT (heading = 'Introduction' AND page_id % 3 = 2)")
 
 
-@query("SELECT p_partkey::VARCHAR AS key, 'TEXT_CLIPPED' AS code FROM part WHERE p_partkey % 2 = 0 AND p_size >= 0")
-def j26_clipped_labels(spark, folder):
-    """Labels that begin near the right side of the canvas in every second diagram."""
-    p = F.col("p_partkey")
-    svg = F.concat(F.lit('<svg viewBox="0 0 400 200"><text x="'), F.when(p % 2 == 0, "390").otherwise("10"), F.lit('" y="50" font-size="14">label</text></svg>'))
-    return diagrams.clipped(table(spark, folder, "part").select(p.cast("string").alias("key"), svg.alias("svg"))).select("key", "code")
-
-
-@query("SELECT p_partkey::VARCHAR AS key, 'TEXT_OVERLAP' AS code FROM part WHERE p_partkey % 3 = 0")
-def j27_overlapping_labels(spark, folder):
-    p = F.col("p_partkey")
-    svg = F.concat(F.lit('<svg viewBox="0 0 400 200"><text x="50" y="50">one text</text><text x="60" y="'), F.when(p % 3 == 0, "52").otherwise("150"), F.lit('">other</text></svg>'))
-    return diagrams.overlaps(table(spark, folder, "part").select(p.cast("string").alias("key"), svg.alias("svg"))).select("key", "code")
-
-
-@query("SELECT p_partkey::VARCHAR AS key, CASE p_partkey % 3 WHEN 0 THEN 'EDGE_THROUGH_BOX' ELSE 'DANGLING_ARROW' END AS code FROM part WHERE p_partkey % 3 < 2")
-def j28_connectors(spark, folder):
-    """Arrows through a box, to nowhere, and to a box."""
-    k = F.col("p_partkey") % 3
-    box = lambda x: f'<rect x="{x}" y="80" width="40" height="40"/>'
-    arrow = lambda x: f'<line x1="50" y1="100" x2="{x}" y2="100" marker-end="url(#a)"/>'
-    shapes = F.when(k == 0, box(10) + '<rect x="150" y="60" width="80" height="80"/>' + box(340) + arrow(340)).when(k == 1, box(10) + arrow(150)).otherwise(box(10) + box(340) + arrow(338))
-    rows = table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit('<svg viewBox="0 0 400 200">'), shapes, F.lit("</svg>")).alias("svg"))
-    return diagrams.lint(rows).select("key", "code")
-
-
 @query("SELECT p_partkey::VARCHAR AS key, 100::DOUBLE AS x0, 20::DOUBLE AS y0, (140 + p_size)::DOUBLE AS x1, 80::DOUBLE AS y1 FROM part")
 def a32_bounding_boxes(spark, folder):
     return diagrams.boxes(svgs(spark, folder)).select("key", "x0", "y0", "x1", "y1")

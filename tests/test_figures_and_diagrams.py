@@ -105,3 +105,56 @@ def test_lint(spark):
 def test_diagrams_are_numbered(spark):
     report = spark.createDataFrame([("p", CASES["clean"][0] + "<p>" + CASES["clip"][0])], "slug string, html string")
     assert {(r.key, r.code) for r in diagrams.lint(diagrams.diagrams_of(report)).collect()} == {("p#2", "TEXT_CLIPPED")}
+
+
+ARROWED = '<style>.f{fill:none;marker-end:url(#a)}</style>'
+DRAWN = {
+    "sized by a class": (svg("<style>.ts{font-size:10px;text-anchor:middle}</style>", '<rect x="20" y="30" width="150" height="62"/><text class="ts" x="95" y="74">one hundred and thirteen</text>'), set()),
+    "without the class": (svg('<rect x="20" y="30" width="150" height="62"/><text text-anchor="middle" x="95" y="74">one hundred and thirteen</text>'), {"TEXT_OVERFLOW"}),
+    "path into nowhere": (svg(ARROWED, BOX, '<path class="f" d="M120 50 h30 q20 0 30 60"/>'), {"DANGLING_ARROW"}),
+    "path around a box": (svg(ARROWED, BOX, FAR, '<rect x="150" y="30" width="60" height="40"/><path class="f" d="M70 80 v60 H300 V82"/>'), set()),
+    "path through a box": (svg(ARROWED, BOX, FAR, '<rect x="150" y="30" width="60" height="40"/><path class="f" d="M120 50 h20 H258"/>'), {"EDGE_THROUGH_BOX"}),
+    "curve over a box": (svg(ARROWED, BOX, FAR, '<rect x="150" y="30" width="60" height="40"/><path class="f" d="M120 50 C 130 50 200 50 258 50"/>'), set()),
+    "filled path": (svg(BOX, '<path marker-end="url(#a)" d="M120 50 h80"/>'), set()),
+    "shifted group": (svg('<g transform="translate(200,0)"><g transform="translate(150)"><text x="40" y="50" font-size="14">outside</text></g></g>'), {"TEXT_CLIPPED"}),
+    "rotated group": (svg('<g transform="rotate(4)"><text x="390" y="50" font-size="14">outside</text></g>'), set()),
+    "backdrop": (svg('<rect x="5" y="5" width="180" height="150"/>', BOX, '<text x="70" y="120" font-size="12">wider than the box above</text>'), set()),
+    "equal boxes": (svg(BOX, BOX, '<text x="30" y="50" font-size="16">much too long for it</text>'), {"TEXT_OVERFLOW"}),
+    "polyline": (svg(BOX, '<polyline points="120,50 160,50 160,150" marker-end="url(#a)"/>'), {"DANGLING_ARROW"}),
+    "not well formed": (svg("<g>", '<text x="390" y="50">outside</text>'), set()),
+    "empty": ("", set()),
+    "null": (None, set()),
+}
+
+
+def test_lint_of_nested_diagrams(spark):
+    frame = spark.createDataFrame([(k, v[0]) for k, v in DRAWN.items()], "key string, svg string")
+    found = {k: set() for k in DRAWN}
+    for r in diagrams.lint(frame).collect():
+        found[r.key].add(r.code)
+    assert found == {k: v[1] for k, v in DRAWN.items()}
+
+
+@pytest.mark.parametrize(
+    "path, points",
+    [
+        ("M10 10h5v5l-5,0z", [(10, 10), (15, 10), (15, 15), (10, 15), (10, 10)]),
+        ("m1 1 2 2 3-3 M9 9L8 8", [(1, 1), (3, 3), (6, 0)]),
+        ("M.5.5L1 2 3", [(0.5, 0.5), (1, 2)]),
+        ("M0 0X5 5", [(0, 0)]),
+        ("M0 0A5 5 0 0 1 10 10 20 20", [(0, 0), (10, 10)]),
+        ("M1 1zz5", [(1, 1), (1, 1), (1, 1)]),
+        ("5 5", []),
+        ("", []),
+    ],
+)
+def test_path_vertices(path, points):
+    from marginalia.functions.svg import path_vertices
+
+    assert path_vertices(path)[0] == points
+
+
+def test_lines_of_a_text(spark):
+    svgs = [("k", svg('<g font-size="10" transform="translate(3 4)"><text x="1" y="2">a<tspan x="3" dy="1.2em">b <tspan>c</tspan></tspan>tail<tspan dy="2">d</tspan></text><text x="5" y="6">p<tspan>q</tspan>r</text><text> </text></g>'))]
+    rows = diagrams.shapes(spark.createDataFrame(svgs, "key string, svg string")).where("kind = 'text'").orderBy("n").collect()
+    assert [(r.s, r.ax, round(r.ay, 6), r["size"]) for r in rows] == [("a", 4, 6, 10), ("b c", 6, 18, 10), ("d", 6, 20, 10), ("pqr", 8, 10, 10)]
