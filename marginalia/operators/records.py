@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# What stops a run, in order of precedence.
+# What stops a run, in order of precedence; {tool}: the command that runs.
+TOOL = "claude"
 BLOCKERS = (
     ("cli_outdated", r"(?i)does not support this model"),
     ("auth", r"(?i)authenticat|oauth|not logged in|invalid api key|401"),
     ("rate_limit", r"(?i)rate.?limit|usage limit|429|quota"),
-    ("cli_missing", r"(?i)command not found|No such file or directory|ENOENT"),
+    ("cli_missing", r"(?i)command not found|No such file or directory.*{tool}|ENOENT"),
 )
 
 
@@ -43,10 +45,12 @@ def retained(rows: DataFrame, key: str, stamp: str, keep: int = 5) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(stamp)))).where(F.col("_n") <= keep).drop("_n")
 
 
-def blocker(text: Column) -> Column:
-    """What stops a run, by the first pattern that its output meets; null if nothing does."""
+def blocker(text: Column, tool: str = TOOL) -> Column:
+    """What stops a run, by the first pattern that its output meets; null if nothing does. A missing file stops it only
+    where it is the ``tool`` that is missing."""
     kind = None
     for name, pattern in BLOCKERS:
+        pattern = pattern.replace("{tool}", re.escape(tool))
         kind = F.when(text.rlike(pattern), name) if kind is None else kind.when(text.rlike(pattern), name)
     return kind
 

@@ -173,24 +173,6 @@ def s19_slot_push(spark, folder):
     return slots.pruned(after).select("slug", "rev").join(local, "slug")
 
 
-@query("SELECT user_id::VARCHAR AS key, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1")
-def r05_stream_frames(spark, folder):
-    """Data blocks of server-sent text; comments and broken ones are skipped."""
-    e = table(spark, folder, "events")
-    text = F.when(F.col("event_type") == "error", "data: broken\n\n: note\n\n").otherwise(F.concat(F.lit("event: x\ndata: "), "props", F.lit("\n\n")))
-    return jobs.frames(e.select(F.col("user_id").cast("string").alias("key"), text.alias("text"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT count_if(s_suppkey % 2 = 0) AS kept, count_if(s_suppkey % 2 = 1) AS stale FROM supplier")
-def r12_row_cache(spark, folder):
-    """Rows whose file hasn't changed are kept; the others are read anew."""
-    s = table(spark, folder, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.col("s_suppkey").alias("k"))
-    cache = s.select("path", F.lit(1).alias("changed_at"))
-    now = s.select("path", F.when(F.col("k") % 2 == 0, 1).otherwise(2).alias("changed_at"))
-    kept, stale = jobs.refreshed(cache, now)
-    return kept.agg(F.count(F.lit(1)).alias("kept")).join(F.broadcast(stale.agg(F.count(F.lit(1)).alias("stale"))))
-
-
 @query("SELECT user_id::VARCHAR AS job, 'p' || user_id AS slug, CASE WHEN user_id % 3 = 0 THEN 'error' ELSE 'done' END AS status FROM events GROUP BY user_id")
 def r14_ingest_jobs(spark, folder):
     users = table(spark, folder, "events").select(F.col("user_id").alias("u")).distinct()

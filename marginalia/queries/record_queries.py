@@ -11,14 +11,14 @@ from ..plans.library import epoch_seconds
 from ..session import table
 from .registry import query
 
-MESSAGE = "CASE WHEN event_id % 50 = 0 THEN 'HTTP 429: quota' WHEN event_id % 77 = 0 THEN 'OAuth token: not logged in' WHEN event_id % 90 = 0 THEN 'bash: command not found' ELSE event_type || ' ' || props END"
-JOBS = f"WITH e AS (SELECT user_id AS key, event_id AS seq, event_type, value, props, {MESSAGE} AS message FROM events), b AS (SELECT *, CASE WHEN regexp_matches(message, '(?i)does not support this model') THEN 'cli_outdated' WHEN regexp_matches(message, '(?i)authenticat|oauth|not logged in|invalid api key|401') THEN 'auth' WHEN regexp_matches(message, '(?i)rate.?limit|usage limit|429|quota') THEN 'rate_limit' WHEN regexp_matches(message, '(?i)command not found|No such file or directory|ENOENT') THEN 'cli_missing' END AS blocker FROM e)"
+MESSAGE = "CASE WHEN event_id % 50 = 0 THEN 'HTTP 429: quota' WHEN event_id % 77 = 0 THEN 'OAuth token: not logged in' WHEN event_id % 90 = 0 THEN 'bash: command not found' WHEN event_id % 41 = 0 THEN 'exec: No such file or directory: /usr/bin/claude' WHEN event_id % 23 = 0 THEN 'open: No such file or directory: paper.json' ELSE event_type || ' ' || props END"
+JOBS = f"WITH e AS (SELECT user_id AS key, event_id AS seq, event_type, value, props, {MESSAGE} AS message FROM events), b AS (SELECT *, CASE WHEN regexp_matches(message, '(?i)does not support this model') THEN 'cli_outdated' WHEN regexp_matches(message, '(?i)authenticat|oauth|not logged in|invalid api key|401') THEN 'auth' WHEN regexp_matches(message, '(?i)rate.?limit|usage limit|429|quota') THEN 'rate_limit' WHEN regexp_matches(message, '(?i)command not found|No such file or directory.*claude|ENOENT') THEN 'cli_missing' END AS blocker FROM e)"
 
 
 def job_events(spark, folder):
     """key, seq, event_type, value, props, message, blocker: users stand for runs."""
     e = F.col("event_id")
-    message = F.when(e % 50 == 0, "HTTP 429: quota").when(e % 77 == 0, "OAuth token: not logged in").when(e % 90 == 0, "bash: command not found").otherwise(F.concat_ws(" ", "event_type", "props"))
+    message = F.when(e % 50 == 0, "HTTP 429: quota").when(e % 77 == 0, "OAuth token: not logged in").when(e % 90 == 0, "bash: command not found").when(e % 41 == 0, "exec: No such file or directory: /usr/bin/claude").when(e % 23 == 0, "open: No such file or directory: paper.json").otherwise(F.concat_ws(" ", "event_type", "props"))
     rows = table(spark, folder, "events").select(F.col("user_id").alias("key"), e.alias("seq"), "event_type", "value", "props", message.alias("message"))
     return rows.withColumn("blocker", ops.blocker(F.col("message")))
 

@@ -126,14 +126,6 @@ def revisions(writes: DataFrame) -> DataFrame:
     return writes.groupBy("key").transformWithStateInPandas(Revisions(), "key string, seq long, accepted boolean, rev long", "Append", "None")
 
 
-def frames(chunks: DataFrame) -> DataFrame:
-    """Events out of server-sent text: (key, text) into key, pos, data. Blocks end with a blank line; only data lines
-    count, and only JSON."""
-    blocks = chunks.select("key", F.posexplode(F.split("text", "\n\n")).alias("pos", "block"))
-    data = F.array_join(F.transform(F.filter(F.split("block", "\n"), lambda x: F.startswith(x, F.lit("data:"))), lambda x: F.ltrim(F.substring(x, 6, F.length(x)))), "\n")
-    return blocks.select("key", "pos", data.alias("data")).where(F.try_parse_json("data").isNotNull() & (F.col("data") != ""))
-
-
 def windowed(events: DataFrame, ts: str = "ts", late: str = "10 minutes", size: str = "1 day") -> DataFrame:
     """Extension: counts of each kind by event-time window, with late rows let in for a while."""
     timed = events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
@@ -147,11 +139,5 @@ def changed_files(previous: DataFrame, current: DataFrame) -> DataFrame:
     return current.join(old, "path", "full").select("path", change.alias("change")).where("change IS NOT NULL")
 
 
-def refreshed(cache: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cached rows that still hold, and files (path, changed_at) to be read anew."""
-    same = ["path", "changed_at"]
-    return cache.join(current.select(*same), same, "left_semi"), current.join(cache.select(*same), same, "left_anti")
-
-
 def json_line(**fields: object) -> str:
     return json.dumps(fields)

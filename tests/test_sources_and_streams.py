@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import os
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.sources import library_files as files, sinks
-from marginalia.streaming import jobs
+from marginalia.streaming import deadlines, frames, jobs
+from marginalia.streaming.row_cache import RowCache
 
 
 def put(path, text: str) -> None:
@@ -139,12 +142,157 @@ def test_event_time_windows(spark, data, streamed):
     assert sum(r.n for r in got) == len(rows)
 
 
-def test_frames_and_listings(spark):
-    text = 'data: {"a": 1}\n\n: comment\n\ndata: broken\n\nevent: x\ndata: {"b":\ndata: 2}\n\n'
-    chunks = spark.createDataFrame([("k", text)], "key string, text string")
-    assert [json.loads(r.data) for r in jobs.frames(chunks).orderBy("pos").collect()] == [{"a": 1}, {"b": 2}]
+def test_listings(spark):
     listing = lambda *r: spark.createDataFrame(r, "path string, changed_at long")
     old, new = listing(("a", 1), ("b", 1), ("c", 1)), listing(("a", 1), ("b", 2), ("d", 1))
     assert {(r.path, r.change) for r in jobs.changed_files(old, new).collect()} == {("b", "changed"), ("c", "gone"), ("d", "added")}
-    hold, read = jobs.refreshed(old, new)
-    assert [r.path for r in hold.collect()] == ["a"] and {r.path for r in read.collect()} == {"b", "d"}
+
+
+SENT = 'data: {"a": 1}\n\n: comment\n\ndata: broken\n\nevent: x\ndata: {"b": 2}\n\n\n\n data: {"c":\n [3, "\\n\\n"]} \n\ndata:\n\ndata: {"d": "\u00fc\U0001f600"}\n\ndata: {"open": 1}'
+EVENTS = [{"a": 1}, {"c": [3, "\n\n"]}, {"d": "\u00fc\U0001f600"}]
+CHUNK = "key string, seq long, text string"
+
+
+def cut_up(text: str, seed: int) -> list[str]:
+    random = Random(seed)
+    cuts = sorted(random.choices(range(len(text) + 1), k=random.choice((0, 1, 3, 20, 200))))
+    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+
+
+@pytest.mark.parametrize("tasks", [1, 4, 40])
+def test_frames_are_the_same_however_the_text_is_cut(spark, tasks):
+    rows = [(f"k{k}", 3 * n, part) for k in range(12) for n, part in enumerate(cut_up(SENT, k))] + [("empty", 0, None), ("empty", 1, ""), (None, 0, SENT)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        found = frames.frames(spark.createDataFrame(rows, CHUNK)).orderBy("key", "seq", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {}
+    for r in found:
+        got.setdefault(r.key, []).append(json.loads(r.data))
+    assert got == {k: EVENTS for k in [None, *(f"k{k}" for k in range(12))]}
+
+
+def test_no_frames(spark):
+    assert frames.frames(spark.createDataFrame([], CHUNK)).count() == 0
+
+
+def test_frames_of_a_stream_carry_over(spark, streamed):
+    rows = [(f"k{k}", n, part) for k in range(3) for n, part in enumerate(cut_up(SENT, k + 7))]
+    got = streamed([[r for r in rows if r[1] % 90 // 30 == i] or rows[:0] or [("x", 0, "")] for i in range(3)], CHUNK, frames.frame_stream)
+    texts = {}
+    for r in sorted(got, key=lambda r: (r.key, r.seq, r.n)):
+        texts.setdefault(r.key, []).append(json.loads(r.data))
+    assert texts == {f"k{k}": EVENTS for k in range(3)}
+
+
+DAY = 1_700_000_000
+JOBS = [
+    ("silent", [(0, "start")], ("timeout", 10, 0)),
+    ("talks past its limit", [(0, "start"), (4, "line"), (9, "line"), (12, "line")], ("timeout", 10, 2)),
+    ("cancelled", [(0, "start"), (3, "line"), (7, "cancel"), (8, "line")], ("cancelled", 7, 1)),
+    ("cancelled too late", [(0, "start"), (11, "cancel")], ("timeout", 10, 0)),
+    ("done at the limit", [(0, "start"), (10, "end")], ("done", 10, 0)),
+    ("failed", [(1, "start"), (2, "error")], ("failed", 2, 0)),
+    ("never began", [(1, "line"), (2, "end")], None),
+]
+
+
+def moments(spark, jobs_: list) -> list[tuple]:
+    return [(job, datetime.datetime.fromtimestamp(DAY + at, datetime.timezone.utc), kind) for job, events, _ in jobs_ for at, kind in events]
+
+
+def outcome_of(rows: list) -> dict:
+    assert all(r.started // 1000 - DAY in (0, 1) for r in rows) and len({r.job for r in rows}) == len(rows)
+    return {r.job: (r.outcome, r.ended // 1000 - DAY, r.lines) for r in rows}
+
+
+def test_deadlines_of_a_table(spark):
+    frame = spark.createDataFrame(moments(spark, JOBS), "job string, ts timestamp, kind string")
+    expected = {job: end for job, _, end in JOBS if end}
+    assert outcome_of(deadlines.outcomes(frame, 10_000).collect()) == expected
+    early = outcome_of(deadlines.outcomes(frame, 10_000, now=(DAY + 8) * 1000).collect())
+    assert early == {job: end for job, end in expected.items() if end[1] <= 8}
+
+
+def test_deadlines_of_a_stream(spark, streamed):
+    """The watermark is the clock: a silent job ends when it passes the limit, whatever the batches."""
+    rows = sorted(moments(spark, JOBS), key=lambda r: r[1])
+    clock = [("clock", datetime.datetime.fromtimestamp(DAY + at, datetime.timezone.utc), "line") for at in (6, 30, 31)]
+    batches = [[r for r in rows if r[1] <= clock[0][1]] + clock[:1], [r for r in rows if r[1] > clock[0][1]] + clock[1:2], clock[2:]]
+    got = streamed(batches, "job string, ts timestamp, kind string", lambda s: deadlines.outcomes_stream(s, 10_000, "0 seconds"))
+    assert outcome_of(got) == {job: end for job, _, end in JOBS if end}
+
+
+def test_deadlines_by_the_clock(spark, streamed):
+    """Processing time: what ended by itself, and what was over before it was read."""
+    got = streamed([moments(spark, JOBS[1:6]), [("other", datetime.datetime.now(), "line")]], "job string, ts timestamp, kind string", lambda s: deadlines.outcomes_stream(s, 10_000))
+    assert outcome_of(got) == {job: end for job, _, end in JOBS[1:6]}
+
+
+CHANGE = "slug string, changed_at long, figures_at long, gone boolean"
+
+
+def test_row_cache_equals_a_rebuild(spark, tmp_path):
+    read: list[set] = []
+
+    def build(changed):
+        read.append({r.slug for r in changed.collect()})
+        return changed.where("slug <> 'broken'").select("slug", F.concat("slug", F.lit("@"), F.col("changed_at").cast("string"), F.lit("/"), F.col("figures_at").cast("string")).alias("row"))
+
+    cache = RowCache(spark, f"{tmp_path}/cache", build, buckets=3)
+    assert cache.read() is None
+    batches = [
+        [(s, 1, 1, False) for s in "abcdef"] + [("broken", 1, 1, False)],
+        [("a", 1, 1, False), ("b", 2, 1, False), ("c", 1, 2, False), ("d", 1, 1, True), ("new", 1, None, False), ("e", 3, 1, False), ("e", 2, 1, False)],
+        [("a", 1, 1, True), ("b", 2, 1, False), ("nowhere", 1, 1, True), ("new", 1, None, False), ("f", 2, 2, True), ("f", 2, 2, False)],
+        [(s, 9, 9, True) for s in "abcdef"] + [("new", 9, 9, True), ("broken", 9, 9, True)],
+        [("z", 1, 1, False)],
+    ]
+    expected: dict[str, tuple] = {}
+    for number, changes in enumerate(batches):
+        latest = {}
+        for slug, changed, figures, gone in sorted(changes, key=lambda c: (c[1], -1 if c[2] is None else c[2], c[3])):
+            latest[slug] = (changed, figures, gone)
+        fresh = {s for s, (changed, figures, gone) in latest.items() if not gone and expected.get(s, (0, 0, 0))[:2] != (changed, figures)}
+        for slug, (changed, figures, gone) in latest.items():
+            if gone:
+                expected.pop(slug, None)
+            elif slug in fresh and slug != "broken":
+                expected[slug] = (changed, figures, number)
+        for again in range(2):  # a batch that is run again changes nothing and builds nothing
+            cache.apply(spark.createDataFrame(changes, CHANGE), number)
+        assert read.pop() == fresh and not read
+        rows = cache.read()
+        got = {r.slug: (r.changed_at, r.figures_at, r.built) for r in rows.collect()} if rows is not None else {}
+        assert got == expected
+        assert rows is None or {r.slug: r.row for r in rows.where("figures_at IS NOT NULL").collect()} == {s: f"{s}@{c}/{f}" for s, (c, f, _) in expected.items() if f is not None}
+
+
+def test_row_cache_after_a_batch_that_failed(spark, tmp_path):
+    """Files without a manifest don't count; the batch is run again."""
+
+    def failing(changed):
+        raise RuntimeError
+
+    rows = spark.createDataFrame([("a", 1, 1, False)], CHANGE)
+    good = RowCache(spark, f"{tmp_path}/cache", lambda changed: changed.select("slug", F.lit(1).alias("row")), buckets=2)
+    good.apply(rows, 0)
+    with pytest.raises(RuntimeError):
+        RowCache(spark, f"{tmp_path}/cache", failing, buckets=2).apply(rows.withColumn("changed_at", F.lit(2).cast("long")), 1)
+    rows.write.parquet(f"{tmp_path}/cache/rows/batch=1/bucket=0")
+    assert [(r.slug, r.changed_at, r.built) for r in good.read().collect()] == [("a", 1, 0)]
+    good.apply(rows.withColumn("changed_at", F.lit(2).cast("long")), 1)
+    assert [(r.slug, r.changed_at, r.built) for r in good.read().collect()] == [("a", 2, 1)]
+
+
+def test_row_cache_follows_a_stream(spark, tmp_path):
+    for i, batch in enumerate(([("a", 1, 1, False), ("b", 1, 1, False)], [("b", 2, 1, False)], [("a", 1, 1, True)])):
+        spark.createDataFrame(batch, CHANGE).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    source = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    cache = RowCache(spark, f"{tmp_path}/cache", lambda changed: changed.select("slug", F.lit("row").alias("row")), buckets=2)
+    cache.follow(source, f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination(120)
+    assert [(r.slug, r.changed_at) for r in cache.read().collect()] == [("b", 2)]
