@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-SCRATCH = "marginalia_scratch"
+#: Setting of a session: the name of the database of its scratch tables, which no other session has.
+SCRATCH = "marginalia.scratch"
 
 
 def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -45,6 +46,17 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The database of this session's scratch tables, in the shared folder."""
+    name = spark.conf.get(SCRATCH, None)
+    if not name:
+        name = f"marginalia_{uuid.uuid4().hex}"
+        spark.conf.set(SCRATCH, name)
+    if not spark.catalog.databaseExists(name):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{scratch_root(spark)}/{name}'")
+    return name
+
+
 def materialize(df: DataFrame, label: str, buckets: tuple[int, str] | None = None, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
@@ -52,9 +64,7 @@ def materialize(df: DataFrame, label: str, buckets: tuple[int, str] | None = Non
     down, and ``release`` deletes its files. ``buckets``: their number and the column by which rows are dealt to them.
     """
     spark = df.sparkSession
-    if not spark.catalog.databaseExists(SCRATCH):
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH} LOCATION '{scratch_root(spark)}/{SCRATCH}-{uuid.uuid4().hex}'")
-    name = f"{SCRATCH}.{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    name = f"{scratch(spark)}.{label.replace('-', '_')}_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").options(**options)
     if buckets:
         writer = writer.bucketBy(*buckets)
@@ -71,8 +81,10 @@ def release(*frames: DataFrame) -> None:
 
 
 def release_all(spark: SparkSession) -> None:
-    """Delete all materialised tables; results that were not read yet can't be read afterwards."""
-    spark.sql(f"DROP DATABASE IF EXISTS {SCRATCH} CASCADE")
+    """Delete all materialised tables of this session; results that were not read yet can't be read afterwards."""
+    name = spark.conf.get(SCRATCH, None)
+    if name:
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
 
 
 def spread(spark: SparkSession, units: int, per_task: int) -> int:
