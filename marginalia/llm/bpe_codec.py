@@ -27,10 +27,14 @@ from .words import LETTER, NUMBER, WHITE_SPACE, char_classes, encoder, strings
 CHUNK_WORDS = 6_000_000
 #: Words whose ids are laid out at once, about.
 SLICE_WORDS = 300_000
-#: A place is the number of a chunk and that of a word in it; chunks of a task, likewise, follow the task's number.
-SLOT_BITS, CHUNK_BITS = 28, 15
-#: Characters of a bucket of chunks, and rows of a task of the word table.
+#: A place is the number of a chunk and that of a word in it; chunks of a task, likewise, follow the task's number. That
+#: leaves 24 bits for tasks; a number that is too large for its bits is an error.
+SLOT_BITS, CHUNK_BITS = 26, 13
+#: Characters of a bucket of chunks, and rows of a task of the word table. A word has one row a chunk, so that even one in
+#: every chunk is a task's share until there are TASK_ROWS chunks, some 60 TB of text, and twice that at twice the size.
 BUCKET_CHARS, TASK_ROWS = 200_000_000, 2_000_000
+#: Rows of the word table's task that are sorted by chunk at once.
+RUN_ROWS = 1_000_000
 
 _newer: dict[str, list[str]] = {}
 
@@ -90,13 +94,18 @@ def chunks(split: DataFrame, kind: str) -> DataFrame:
     (the word at each position, packed). ``split``: doc_id, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, size = TaskContext.get().partitionId() << CHUNK_BITS, [], 0
+        first = chunk = TaskContext.get().partitionId() << CHUNK_BITS
+        held, size = [], 0
 
         def row() -> pa.RecordBatch:
+            if chunk - first >= 1 << CHUNK_BITS or chunk >= 1 << (63 - SLOT_BITS):
+                raise OverflowError(f"chunk {chunk - first} of task {first >> CHUNK_BITS} has no number")
             coded = pa.concat_arrays([words for _, words, _ in held]).dictionary_encode()
             each = coded.indices.to_numpy(zero_copy_only=False)
             known = pa.table({"n": np.bincount(each, minlength=len(coded.dictionary)), "word": coded.dictionary})
             order = pc.sort_indices(known, [("n", "descending"), ("word", "ascending")]).to_numpy()
+            if len(order) > 1 << SLOT_BITS:
+                raise OverflowError(f"a chunk of {len(order)} distinct words")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
             names, sizes = pa.concat_arrays([ids for ids, _, _ in held]), np.concatenate([n for _, _, n in held])
@@ -150,20 +159,30 @@ def word_table(places: DataFrame, pieces: DataFrame, vocabulary: str, partitions
 
     # naming a word's first place keeps this exchange equal to that of the join below, so Spark runs it once; Spark
     # may not move what isn't deterministic, so a word is encoded after it was found distinct
-    distinct = places.groupBy("word").agg(F.min("place").alias("first")).where("first >= 0")
+    there = F.when(F.col("first") >= 0, True).otherwise(F.raise_error(F.lit("a word without a place")).cast("boolean"))
+    distinct = places.groupBy("word").agg(F.min("place").alias("first")).where(there)
     encoded = distinct.sortWithinPartitions("word").select("word", encode.asNondeterministic()("word").alias("ids"))
     return decode(encoded.repartition(partitions, "word"), pieces, "word")
 
 
 def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's words as one row per chunk: slots in ascending order, as differences, with their words' ids.
+    """A task's words as a row per chunk for every RUN_ROWS of them: slots in ascending order, as differences, with their
+    words' ids.
 
-    Rows in: place, ids, decoded (null where it is the word itself). A task holds about TASK_ROWS of them.
+    Rows in: place, ids, decoded (null where it is the word itself).
     """
-    held = [batch for batch in batches if batch.num_rows]
-    if not held:
-        return
-    rows = pa.Table.from_batches(held)
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= RUN_ROWS:
+            yield _bundled(pa.Table.from_batches(held))
+            held, size = [], 0
+    if size:
+        yield _bundled(pa.Table.from_batches(held))
+
+
+def _bundled(rows: pa.Table) -> pa.RecordBatch:
     order = pc.sort_indices(rows.column("place")).to_numpy()
     places, lists, decoded = rows.column("place").to_numpy()[order], rows.column("ids").combine_chunks().take(pa.array(order)), rows.column("decoded").combine_chunks().take(pa.array(order))
     chunk, slot, length = places >> SLOT_BITS, places & ((1 << SLOT_BITS) - 1), lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -175,7 +194,7 @@ def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         changed = [{"slot": int(slot[i]), "decoded": decoded[i].as_py()} for i in a + np.flatnonzero(other[a:b])]
         out.append((int(chunk[a]), _pack(np.diff(slot[a:b], prepend=0)), _pack(length[a:b]), _pack(ids[ends[a] : ends[b]]), changed))
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.struct([("slot", pa.int32()), ("decoded", pa.binary())]))]
-    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["chunk", "slots", "lengths", "ids", "changed"])
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["chunk", "slots", "lengths", "ids", "changed"])
 
 
 def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

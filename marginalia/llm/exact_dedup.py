@@ -57,7 +57,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``, dropped ones too.
 
     Texts are equal when identical without ASCII white space; null counts as empty, so null, empty and blank texts are
-    one group. Of rows that repeat a doc_id and a text, exactly one is kept. Extra columns are ignored; an empty table
+    one group. Very long texts are digested whole. Of rows that repeat a doc_id and a text, exactly one is kept. Extra columns are ignored; an empty table
     gives an empty result.
     """
     return _resolved(docs, id_col, text_col, support).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -67,7 +67,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with their columns as they were, whatever their names.
 
     Rows go by what they hold (doc_id, digest, size), never by a row number of the scan, which another run of the scan
-    may deal out differently. Rows that agree in all three are one row afterwards. Null, empty and blank texts are one
+    may deal out differently. Rows that agree in all three are one row afterwards, the one whose text sorts first. Null, empty and blank texts are one
     group; an empty table stays empty.
     """
     found = materialize(_resolved(docs, id_col, text_col, support).select(F.col("doc_id").alias("id"), "digest", "size", (F.col("row") == F.col("keep_row")).alias("kept")), "groups")
@@ -80,5 +80,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = rows.join(dropped, same(rows, dropped), "left_anti")
     repeated = kept.join(dropped, same(kept, dropped), "left_semi")
     if not repeated.isEmpty():
-        stay = stay.unionByName(rows.join(repeated, same(rows, repeated), "left_semi").dropDuplicates(["digest"]))
+        first = F.min_by("row", F.struct(f"row.`{text_col}`", F.to_json("row")))  # of texts that differ in white space alone
+        stay = stay.unionByName(rows.join(repeated, same(rows, repeated), "left_semi").groupBy("digest").agg(first.alias("row")).select("row", F.lit(None).alias("id"), "digest", F.lit(None).alias("size")))
     return restored(stay)

@@ -26,6 +26,8 @@ PER_LANGUAGE, SAMPLE = 400, 40_000
 #: Landmarks in all at least, and of each language.
 LANDMARKS, LANDMARKS_EACH = 192, 24
 RIDGE, SHARPNESS = 0.3, 6.0
+#: Rows of the kernel that a fit holds at once.
+KERNEL_ROWS = 4096
 FOLDS = 5
 NONE = "und"
 #: Bytes, and documents, whose presence matrix is made at once.
@@ -119,14 +121,17 @@ def fit_sets(sets: np.ndarray, labels: list[str]) -> Model:
         seen[label] += 1
     chosen = sorted(range(len(labels)), key=lambda i: (ranks[i], i))[: max(LANDMARKS, LANDMARKS_EACH * len(names))]
     model = Model(names, np.packbits(sets[chosen], axis=1), np.zeros((len(chosen) + 1, len(names)), np.float32))
-    inner, outer = model.kernel(sets[chosen]).astype(np.float64), model.kernel(sets).astype(np.float64)
-    values, vectors = np.linalg.eigh(inner)
-    root = vectors / np.sqrt(np.maximum(values, 1e-6))  # inner ** -1/2, up to a rotation
-    features = np.hstack([outer @ root, np.ones((len(labels), 1))])
-    target = np.where(np.array(labels)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    penalty = RIDGE * np.eye(features.shape[1])
-    penalty[-1, -1] = 1e-6
-    solved = np.linalg.solve(features.T @ features + penalty, features.T @ target)
+    values, vectors = np.linalg.eigh(model.kernel(sets[chosen]).astype(np.float64))
+    root = vectors / np.sqrt(np.maximum(values, 1e-6))  # the landmarks' kernel ** -1/2, up to a rotation
+    squares = RIDGE * np.eye(len(chosen) + 1)
+    squares[-1, -1] = 1e-6
+    products = np.zeros((len(chosen) + 1, len(names)))
+    index = np.searchsorted(names, labels)
+    for a in range(0, len(labels), KERNEL_ROWS):  # a slice of the kernel at a time
+        part = np.hstack([model.kernel(sets[a : a + KERNEL_ROWS]).astype(np.float64) @ root, np.ones((len(labels[a : a + KERNEL_ROWS]), 1))])
+        squares += part.T @ part
+        products += part.T @ np.where(index[a : a + KERNEL_ROWS, None] == np.arange(len(names)), 1.0, -1.0)
+    solved = np.linalg.solve(squares, products)
     model.weights = np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32)
     return model
 
@@ -177,7 +182,7 @@ def predicted(text: Column, model: Model) -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row.
 
-    Null, empty and letterless texts are ``und``, as is everything where no label can be learned. Extra columns are
+    Whole texts are read, however long. Null, empty and letterless texts are ``und``, as is everything where no label can be learned. Extra columns are
     ignored, repeated rows repeat, an empty table gives an empty result.
     """
     model = model or fit(docs, id_col, text_col, lang_col)

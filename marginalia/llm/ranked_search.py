@@ -8,8 +8,9 @@ A search sends the blocks of the wanted terms to one task a segment. There, the
 without looking into blocks ("shallow" moves): between two block borders the best score that any document can reach is the
 sum of the largest impacts of the blocks that lie over it. Stretches of documents whose sum is below the query's threshold,
 the score of the tenth best document that the task has seen in this and earlier segments, are passed over, and a block
-that lies over no other stretch is never decompressed. All shallow moves of a query in a segment are one cumulative sum
-over its block borders, all decompression is one pass over bytes, so nothing loops over postings.
+that lies over no other stretch is never decompressed. Sparse lists then move from document to document and so name the
+pivots; dense blocks are decompressed only where they can lift a pivot over the threshold. All shallow moves of a query in
+a segment are one cumulative sum over its borders, all decompression is one pass over bytes: nothing loops over postings.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SLICE_BYTES = 2_000_000
 PAIRS = 250_000
 #: Documents of the most promising stretches that give a query its first threshold in a segment.
 PRIMERS = 64
+#: A block that spans so many times as many documents as it has postings is sparse.
+SPARSE = 8
 INDEX = "segment long, term binary, first int, last int, peak long, size int, data binary"
 
 #: Of each byte of UTF-8 the byte in a term, with A-Z in lower case; 0 for bytes between terms.
@@ -277,41 +280,67 @@ class Best:
         self.rows = sorted([*self.rows, *zip((-scores).tolist(), unnamed.tolist(), ids.tolist())])[: self.k]
 
 
+class Stretches:
+    """What lies over the documents of a segment: ``most`` is, from each border to the next, the sum of the bounds of the
+    intervals there. All pointers make their shallow moves at once, as one cumulative sum over the borders."""
+
+    def __init__(self, first: np.ndarray, last: np.ndarray, bound: np.ndarray):
+        at = np.concatenate([first, last + 1])
+        order = np.argsort(at, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.border = at[order]
+        self.begin, self.end = place[: len(first)], place[len(first) :]
+        self.width = np.diff(self.border)
+        self.most = np.cumsum(np.concatenate([bound, -bound])[order])[:-1]
+
+    def reaching(self, threshold: int) -> np.ndarray:
+        return (self.width > 0) & (self.most >= threshold)
+
+    def under(self, stretches: np.ndarray) -> np.ndarray:
+        """The intervals that lie over any of some stretches."""
+        before = np.append(0, np.cumsum(stretches))
+        return before[self.end] > before[self.begin]
+
+    def of(self, docs: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.border, docs, side="right") - 1
+
+
 def search_segment(blocks: Blocks, terms: np.ndarray, best: Best) -> None:
-    """Block-Max WAND of one item over one segment."""
+    """Block-Max WAND of one item over one segment.
+
+    First all lists stand on blocks. Of the blocks over promising stretches, the sparse ones, whose next document is far
+    from the last one, are opened, and their lists stand on documents: these are the pivots, between which nothing but the
+    dense blocks' bounds is left. Dense blocks are opened last, where a pivot together with them reaches the threshold.
+    """
     mine = blocks.of(terms)
     if not len(mine):
         return
-    at = np.concatenate([blocks.first[mine], blocks.last[mine] + 1])
-    order = np.argsort(at, kind="stable")
-    border = at[order]
-    # the pointers' shallow moves: from each border to the next, what the blocks above can give at most
-    most = np.cumsum(np.concatenate([blocks.bound[mine], -blocks.bound[mine]])[order])[:-1]
-    width = np.diff(border)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    begin, end = place[: len(mine)], place[len(mine) :]
-    seen = np.zeros(len(most), bool)
-    real = width > 0
+    over = Stretches(blocks.first[mine], blocks.last[mine], blocks.bound[mine])
+    mine = mine[over.under(over.reaching(best.threshold))]
+    if not len(mine):
+        return
+    sparse = blocks.last[mine] - blocks.first[mine] >= SPARSE * blocks.size[mine]
+    dense, sparse = mine[~sparse], mine[sparse]
+    blocks.decompress(sparse)
+    at = ranges(blocks.from_row[sparse], blocks.from_row[sparse + 1])
+    owner = np.concatenate([dense, np.repeat(sparse, blocks.size[sparse])])
+    over = Stretches(np.concatenate([blocks.first[dense], blocks.doc[at]]), np.concatenate([blocks.last[dense], blocks.doc[at]]), np.concatenate([blocks.bound[dense], blocks.gain[at]]))
 
     def visit(stretches: np.ndarray) -> None:
-        before = np.append(0, np.cumsum(stretches))
-        needed = mine[before[end] > before[begin]]
-        if not len(needed):
-            return
-        docs, sums = blocks.scores(needed)
-        stretch = np.searchsorted(border, docs, side="right") - 1
-        good = stretches[stretch] & (sums >= best.threshold)
-        docs, sums = docs[good], sums[good]
-        best.add(sums, blocks.unnamed[docs], blocks.ids[docs])
-
-    promising = np.flatnonzero(real & (most >= best.threshold))
-    if not len(promising):
-        return
-    promising = promising[np.argsort(-most[promising], kind="stable")]
-    seen[promising[: np.searchsorted(np.cumsum(width[promising]), PRIMERS) + 1]] = True
-    visit(seen)
-    visit(real & ~seen & (most >= best.threshold))
+        needed = np.unique(owner[over.under(stretches)])
+        if len(needed):
+            docs, sums = blocks.scores(needed)
+            good = stretches[over.of(docs)] & (sums >= best.threshold)
+            docs, sums = docs[good], sums[good]
+            best.add(sums, blocks.unnamed[docs], blocks.ids[docs])
+
+    promising = np.flatnonzero(over.reaching(best.threshold))
+    promising = promising[np.argsort(-over.most[promising], kind="stable")]
+    primers = np.zeros(len(over.most), bool)
+    primers[promising[: np.searchsorted(np.cumsum(over.width[promising]), PRIMERS) + 1]] = True
+    visit(primers)
+    visit(over.reaching(best.threshold) & ~primers)
 
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

@@ -15,17 +15,26 @@ def chance(id_col: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+#: So many labels are broadcast with their counts; with more of them, the sampled ids are.
+MOST_LABELS = 100_000
+
+
 def sampled(labelled: DataFrame, id_col: str, label: str, per_label: int, rows: int) -> DataFrame:
     """The rows of ``labelled`` that a fit learns from: about ``per_label`` of each label that isn't null, whichever
     labels there are, and about ``rows`` in all at most; with so many labels that this leaves none, a share of ``rows``.
 
-    A row is in by its id alone, so repeated ids are in together.
+    A row is in by its id alone, so repeated ids are in together. Rows stay where they are: what is broadcast to them is
+    the count of each label, MOST_LABELS at most, or else the ids and labels that are in, some ``rows`` of them.
     """
     known = labelled.where(F.col(label).isNotNull())
     counts = known.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_count"))
     labels = counts.count()
-    rate = F.lit(min(per_label, rows / max(1, labels))) / F.col("_count")
-    return known.join(counts, F.col(label) == F.col("_label")).where(chance(F.col(id_col)) < rate).drop("_label", "_count")
+    chosen = chance(F.col(id_col)) < F.lit(min(per_label, rows / max(1, labels))) / F.col("_count")
+    if labels <= MOST_LABELS:
+        return known.join(F.broadcast(counts), F.col(label) == F.col("_label")).where(chosen).drop("_label", "_count")
+    narrow = known.select(id_col, label).join(counts, F.col(label) == F.col("_label")).where(chosen)
+    picked = narrow.select(F.col(id_col).alias("_id"), "_label").distinct()
+    return known.join(F.broadcast(picked), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(label) == F.col("_label")), "left_semi")
 
 
 def first_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:

@@ -335,13 +335,16 @@ def tied(nodes: DataFrame, docs: DataFrame, text_col: str, split: int = SPLIT) -
     between = failed.where("a_group <> b_group")
     opened = materialize(between.select(F.col("a_group").alias("group")).unionByName(between.select(F.col("b_group").alias("group"))).distinct(), "open-groups")
     if opened.isEmpty():
+        release(forest, sets, tested, opened)
         return groups
     open_nodes = nodes.select("node", "prints")
     for name, ties in (("group", groups), ("family", stars(forest))):
         open_nodes = open_nodes.join(ties.select(F.col("a").alias("node"), F.col("b").alias(name)), "node", "left").withColumn(name, F.coalesce(name, "node"))
     open_nodes = materialize(open_nodes.join(opened, "group", "left_semi"), "open-nodes")
     fresh = materialize(links_between(open_nodes, sets), "links-between")
-    return stars(tested.where("close").select("a", "b").unionByName(fresh))
+    found = stars(tested.where("close").select("a", "b").unionByName(fresh))
+    release(forest, sets, tested, groups, opened, open_nodes, fresh)
+    return found
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
@@ -361,5 +364,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = marked.join(losers, "node", "left_semi").select("doc_id", "node")
     copies = marked.join(nodes.select("node", "first"), "node").where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("doc_id", "node")
     dropped = materialize(lost.unionByName(copies).distinct(), "dropped")
+    release(marked, nodes, groups, best)
     rows = carried(docs, id=F.col(id_col), own=_node(text_col))
     return restored(rows.join(dropped, rows["id"].eqNullSafe(dropped["doc_id"]) & (rows["own"] == dropped["node"]), "left_anti"))

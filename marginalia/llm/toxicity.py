@@ -3,7 +3,8 @@
 A word's vector is the average of the vectors of its character n-grams (with word borders) and of itself, all hashed to
 BUCKETS rows, so an unseen spelling shares most of them. A window of WINDOW words is the average of its words' vectors
 and goes through a linear softmax; rows and softmax are trained together. Labels are given to texts, not windows: after
-a first fit with the texts' labels, windows of toxic texts that look clean are counted as clean, but for the worst one.
+a first fit with the texts' labels, windows of toxic texts that look clean teach nothing any more, but for the worst one.
+All windows of all clean texts are learned.
 A text's evidence is that of its worst window, wherever that begins, plus SHARES of that of the whole text's average; of
 the shares the one is taken that errs least on texts which the fit hasn't seen, and a logistic curve is set on them.
 Because averages and the softmax are linear, a word's share of the logit is one number, kept in a bounded table per worker.
@@ -18,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize, release
 from .sampling import first_rows, fold, sampled
 from .words import TABLE_WORDS, texts_of
 
@@ -31,6 +33,10 @@ PER_LABEL = 1500
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 PASSES = (2, 6)
+#: Weight of clean windows that already score as clean.
+SETTLED = 0.5
+#: Bound of the training sample in code points: whole texts, in a random order, up to the one that passes it.
+SAMPLE_CHARS = 40_000_000
 #: Minibatches of a pass over a small sample, at least; they hold 64 to 4096 windows.
 STEPS = 150
 SEED = 7
@@ -183,8 +189,8 @@ class _Trainer:
         total = np.concatenate([[0.0], np.cumsum(word[self.words])])
         return (total[self.first + self.counts] - total[self.first]) / self.counts + base
 
-    def steps(self, windows: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
-        """The gradients of the mean cross-entropy of some windows by rows, softmax and bias.
+    def steps(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray | float = 1.0) -> list[np.ndarray]:
+        """The gradients of the mean cross-entropy of some weighted windows by rows, softmax and bias.
 
         Words that windows share are laid out as n-grams once.
         """
@@ -198,19 +204,19 @@ class _Trainer:
         share = np.exp(logits - logits.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
         share[np.arange(n), labels] -= 1
-        share /= n
+        share *= (weights / np.sum(np.broadcast_to(weights, n)))[:, None] if np.ndim(weights) else 1 / n
         back = np.repeat(share @ self.softmax.T / counts[:, None], counts, axis=0)
         words = np.stack([np.bincount(place, back[:, k], len(inside)) for k in range(WIDTH)], axis=1) / many[:, None]
         spread = np.repeat(words, many, axis=0)
         rows = np.stack([np.bincount(buckets, spread[:, k], BUCKETS) for k in range(WIDTH)], axis=1)
         return [x.astype(np.float32) for x in (rows, bag.T @ share, share.sum(axis=0))]
 
-    def epoch(self, windows: np.ndarray, labels: np.ndarray, rate: float = 0.5) -> None:
+    def epoch(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray, rate: float = 0.5) -> None:
         order = self.random.permutation(len(windows))
         batch = max(64, min(4096, len(windows) // STEPS))
         for a in range(0, len(order), batch):
             part = order[a : a + batch]
-            for i, (x, step) in enumerate(zip((self.rows, self.softmax, self.bias), self.steps(windows[part], labels[part]))):
+            for i, (x, step) in enumerate(zip((self.rows, self.softmax, self.bias), self.steps(windows[part], labels[part], weights[part]))):
                 self.seen[i] += step**2
                 x -= (rate if i == 0 else 0.2 * rate) * step / np.sqrt(self.seen[i])
 
@@ -273,17 +279,17 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
     at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
     trainer = _Trainer(buckets, at, words, first, stop)
     every, label = np.arange(len(first)), own[text]
-    random = np.random.default_rng(SEED)
-    keep = (label == 1) | (random.random(len(label)) < max(0.2, 1.5 * label.mean()))
+    weight = np.where(label == 1, 1.0, max(0.2, 1.5 * label.mean()))  # clean windows are many
     for _ in range(PASSES[0]):
-        trainer.epoch(every[keep], label[keep])
+        trainer.epoch(every, label, weight)
     for _ in range(PASSES[1]):
         logit = trainer.logits()
         top = np.full(len(used), -np.inf)
         np.maximum.at(top, text, logit)
         bad = (label == 1) & ((logit > np.maximum(0, 0.6 * top[text])) | (logit == top[text]))
-        keep = bad | (label == 0) & (random.random(len(label)) < 0.5) | (label == 0) & (logit > -2)
-        trainer.epoch(every[keep], bad[keep].astype(np.int64))
+        known = bad | (label == 0)  # what looks clean in a toxic text isn't labelled
+        weight = np.where(bad | (logit > -2), 1.0, SETTLED)
+        trainer.epoch(every[known], bad[known].astype(np.int64), weight[known])
     rows, base = trainer.bucket_logits()
     rest, seen = [t for t, u in zip(texts, unseen) if u], labels[unseen]
     if min(seen.sum(), len(seen) - seen.sum()) < 10:
@@ -297,15 +303,28 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> Model:
     """Learn from whole texts of a bounded sample of labelled rows outside the held-out fold.
 
-    The sample holds about ``per_label`` texts of each label; its texts come to the driver. A doc_id with several labels
-    is toxic if one says so; null labels and null texts teach nothing; without a label nothing is toxic.
+    The sample holds about ``per_label`` texts of each label and SAMPLE_CHARS code points at most, but for one text; very
+    long texts are learned whole. Its texts come to the driver. A doc_id with several labels is toxic if one says so; null
+    labels and null texts teach nothing; without a label nothing is toxic.
     """
     known = labels.where(fold(F.col("doc_id"), FOLDS) != HELD).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     chosen = sampled(known, "id", "toxic", per_label, 2 * per_label)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    found = texts.join(chosen, "id").select(F.xxhash64(F.lit("order"), "id").alias("at"), "toxic", "text")
-    found = first_rows(found.withColumn("tie", F.xxhash64("text")), ["at", "tie"], 4 * per_label).toArrow().to_pylist()
-    return fit_texts([r["text"] for r in found], np.array([int(r["toxic"] == 1) for r in found], np.int64))
+    # some 2 * per_label rows, so the texts stay where they are
+    found = texts.join(F.broadcast(chosen), "id").select(F.xxhash64(F.lit("order"), "id").alias("at"), F.xxhash64("text").alias("tie"), "toxic", "text")
+    stored = materialize(found, "toxic-sample")
+    sizes = first_rows(stored.select("at", "tie", F.length("text").alias("size")), ["at", "tie"], 4 * per_label).collect()
+    before, taken = 0, []
+    for r in sizes:
+        if before < SAMPLE_CHARS:
+            taken.append(r)
+        before += r["size"]
+    rows = []
+    if taken:
+        last = F.struct(F.lit(taken[-1]["at"]).alias("at"), F.lit(taken[-1]["tie"]).alias("tie"))
+        rows = first_rows(stored.where(F.struct("at", "tie") <= last), ["at", "tie"], len(taken)).toArrow().to_pylist()
+    release(stored)
+    return fit_texts([r["text"] for r in rows], np.array([int(r["toxic"] == 1) for r in rows], np.int64))
 
 
 def scored(text: Column, model: Model) -> Column:
@@ -321,7 +340,7 @@ def scored(text: Column, model: Model) -> Column:
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
-    Null and empty texts get the score of no evidence. Without labels of both kinds all texts get the one score that
+    Whole texts are scored, however long. Null and empty texts get the score of no evidence. Without labels of both kinds all texts get the one score that
     these suggest. Extra columns are ignored, repeated rows repeat, an empty table gives an empty result.
     """
     model = model or fit(docs, labels, id_col, text_col)
