@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.llm import exact_dedup, language_id, packing, simhash_dedup, toxicity
 from marginalia.llm.carried import carried, restored
-from marginalia.session import materialize, table
+from marginalia.session import materialize, release, table
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: Collection[str] | None = None, least: float = 0.55) -> DataFrame:
@@ -72,6 +72,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a data folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if number:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
