@@ -22,15 +22,6 @@ def p11_numbered_titles(spark, folder):
     return rows.select("doc_id", "line_no", sections.is_numbered_title(F.col("label")).alias("title"))
 
 
-@query("SELECT p_partkey, p_partkey % 4 IN (0, 1) AS caption FROM part")
-def p12_captions(spark, folder):
-    """A caption goes on with a separator or a capital; a sentence's tail goes on with a verb."""
-    n = F.col("p_partkey")
-    text = F.concat(F.lit("Figure "), n.cast("string"), F.when(n % 4 == 0, ": The model").when(n % 4 == 1, ". Overview").when(n % 4 == 2, " shows the model").otherwise(", we see"))
-    after = F.regexp_extract(text, r"^(?:Figure|Table)\s+\d+(.*)$", 1)
-    return table(spark, folder, "part").select("p_partkey", (after.rlike(r"^\s*[.:|–—]?\s*\p{Lu}") & ~after.rlike(r"^\s+(shows?|illustrates?|is|are|we)\b")).alias("caption"))
-
-
 @query(INDEX + " SELECT doc_id, start, stop FROM idx")
 def w02_line_ranges(spark, folder):
     return sections.section_index(headed_lines(spark, folder)).select("doc_id", "start", "stop")
