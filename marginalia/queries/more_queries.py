@@ -180,12 +180,6 @@ def j19_merged_groups(spark, folder):
     return merged.select("name", F.array_join(F.array_sort("members"), ",").alias("members"))
 
 
-@query("SELECT c_custkey, (CASE WHEN c_custkey % 2 = 0 THEN 21 ELSE 1 END)::DOUBLE AS ratio FROM customer")
-def m17_contrast(spark, folder):
-    color = F.when(F.col("c_custkey") % 2 == 0, "#000000").otherwise("#ffffff")
-    return table(spark, folder, "customer").select("c_custkey", F.round(kernels.contrast(color, F.lit("#ffffff")), 6).alias("ratio"))
-
-
 @query("SELECT p_partkey, '<span style=\"color: red\">' || p_name || ' b</span>' AS merged FROM part")
 def w14_color_runs(spark, folder):
     span = lambda c: F.concat(F.lit('<span style="color: red">'), c, F.lit("</span>"))
