@@ -100,6 +100,13 @@ def exploded_tags(rows: DataFrame, key: str = "slug") -> DataFrame:
     return rows.select(key, F.posexplode("tags").alias("pos", "tag"))
 
 
+def tag_counts(rows: DataFrame) -> DataFrame:
+    """tag, n, rank: how often each tag occurs, twice in a document that has it twice; most frequent first, then the one
+    that is seen first in the order of ``seq``."""
+    each = exploded_tags(rows, "seq").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "pos")).alias("first"))
+    return numbered(each, F.desc("n"), F.asc("first")).select("tag", "n", "rank")
+
+
 def tag_prefixes(tag: Column) -> Column:
     """Every prefix of a tag at a slash, itself included."""
     parts = F.split(tag, "/")
@@ -139,7 +146,7 @@ def renamed_tags(tags: Column, old: str, new: str) -> Column:
 def with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """The group of the first tag or tag segment that ``groups`` (tag, group) knows; null where none is known."""
     segments = F.flatten(F.transform("tags", lambda t: F.concat(F.array(t), F.split(t, "/"))))
-    found = rows.select("slug", F.posexplode(F.transform(segments, lambda s: F.lower(F.trim(s)))).alias("pos", "tag")).join(F.broadcast(groups), "tag")
+    found = rows.select("slug", F.posexplode(F.transform(segments, lambda s: F.lower(F.trim(s)))).alias("pos", "tag")).join(groups, "tag")
     best = found.groupBy("slug").agg(F.min_by("group", "pos").alias("group"))
     return rows.select("slug").join(best, "slug", "left")
 

@@ -144,29 +144,3 @@ def page_figures(pages: DataFrame) -> DataFrame:
     drawn = (F.col("src") == "") & F.col("e").rlike(r"(?i)<(svg|canvas)\b") & (F.col("caption") != "") & ~F.col("e").rlike(r"(?i)<(pre|blockquote)\b")
     kind = F.when((F.col("tag") == "table") | F.col("e").rlike(r"(?i)<table\b"), "table").when(image, "image").when(drawn, "drawing")
     return rows.withColumn("kind", kind).where("kind IS NOT NULL").select("key", F.row_number().over(Window.partitionBy("key").orderBy("pos")).alias("n"), "kind", "caption", "src", "heading")
-
-
-def spread_illustrations(cards: DataFrame, files: dict[str, list[str]], page: int = 200) -> DataFrame:
-    """rank, slug, file: cards of one displayed page in order, each with the least used character of its group, then its
-    least used file, then by a hash. Each choice depends on all before it, so the page, ``page`` cards at most, is one
-    group."""
-    import pandas as pd
-
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        used: dict[str, int] = {}
-        out = []
-        for rank, slug, group, spin in rows.sort_values("rank")[["rank", "slug", "group", "spin"]].itertuples(index=False):
-            pool = files.get(group) or files["*"]
-            base = lambda f: f.rsplit(".", 1)[0].rstrip("0123456789").rstrip("-")
-            least = min(used.get(base(f), 0) for f in pool)
-            pool = [f for f in pool if used.get(base(f), 0) == least]
-            least = min(used.get("/" + f, 0) for f in pool)
-            pool = sorted(f for f in pool if used.get("/" + f, 0) == least)
-            choice = pool[spin % len(pool)]
-            used[base(choice)] = used.get(base(choice), 0) + 1
-            used["/" + choice] = used.get("/" + choice, 0) + 1
-            out.append((rank, slug, choice))
-        return pd.DataFrame(out, columns=["rank", "slug", "file"])
-
-    shown = cards.where(F.col("rank") <= page).withColumn("page", F.lit(0))
-    return shown.groupBy("page").applyInPandas(deal, "rank int, slug string, file string")

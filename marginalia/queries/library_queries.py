@@ -177,9 +177,9 @@ def o13_shift_range(spark, folder):
     return ops.ranked(rows(spark, folder, tags=False, sections=False), "created", 100).where("rank BETWEEN 20 AND 45").select("slug", "rank")
 
 
-@query(f"{ROWS_SQL} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM rows) GROUP BY 1")
+@query(f"{ROWS_SQL} SELECT tag, n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM (SELECT tag, count(*) AS n, min(seq * 1000 + pos) AS first FROM (SELECT seq, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM rows) GROUP BY 1)")
 def a01_tag_counts(spark, folder):
-    return ops.exploded_tags(rows(spark, folder, sections=False)).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return ops.tag_counts(rows(spark, folder, sections=False))
 
 
 @query(f"{ROWS_SQL}, p AS (SELECT slug, unnest([array_to_string(string_split(tag, '/')[1:i], '/') FOR i IN range(1, len(string_split(tag, '/')) + 1)]) AS prefix FROM (SELECT slug, unnest(tags) AS tag FROM rows)) SELECT prefix, count(DISTINCT slug) AS documents FROM p GROUP BY 1")
@@ -190,7 +190,7 @@ def a03_tag_tree(spark, folder):
 @query(f"{ROWS_SQL}, p AS (SELECT slug, unnest([array_to_string(string_split(tag, '/')[1:i], '/') FOR i IN range(1, len(string_split(tag, '/')) + 1)]) AS prefix FROM (SELECT slug, unnest(tags) AS tag FROM rows)), c AS (SELECT prefix, count(DISTINCT slug) AS documents FROM p GROUP BY 1) SELECT row_number() OVER (ORDER BY documents DESC, prefix) AS rank, prefix, documents FROM c")
 def o03_tag_tree_order(spark, folder):
     tree = ops.tag_tree(rows(spark, folder))  # one row per prefix of the tag vocabulary
-    return tree.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("documents"), "prefix")))
+    return ops.numbered(tree, F.desc("documents"), F.asc("prefix"))
 
 
 @query(f"{ROWS_SQL} SELECT DISTINCT unnest([array_to_string(string_split(tag, '/')[1:i], '/') FOR i IN range(1, len(string_split(tag, '/')) + 1)]) AS path FROM (SELECT unnest(tags) AS tag FROM rows)")

@@ -132,13 +132,13 @@ def t24_file_slug(spark, folder):
     return pages(spark, folder).select("url", fn.file_slug(F.col("url")).alias("slug"))
 
 
-HEADS = "(SELECT doc_id, (CASE doc_id % 4 WHEN 0 THEN 'IV. ' WHEN 1 THEN (doc_id % 9 + 1) || '.2 ' WHEN 2 THEN '- ' ELSE '' END) || left(string_split(text, chr(10))[1], 50) || (CASE doc_id % 3 WHEN 0 THEN ' 방법' ELSE ' \\& End' END) AS h FROM documents)"
+HEADS = "(SELECT doc_id, (CASE doc_id % 4 WHEN 0 THEN 'IV. ' WHEN 1 THEN (doc_id % 9 + 1) || '.2 ' WHEN 2 THEN '- ' ELSE '' END) || string_split(text, chr(10))[1] || (CASE doc_id % 3 WHEN 0 THEN ' 방법' ELSE ' \\& End' END) AS h FROM documents)"
 
 
 def headings(spark, folder):
     d = F.col("doc_id")
     lead = F.when(d % 4 == 0, "IV. ").when(d % 4 == 1, F.concat((d % 9 + 1).cast("string"), F.lit(".2 "))).when(d % 4 == 2, "- ").otherwise("")
-    h = F.concat(lead, F.substring(F.element_at(F.split("text", "\n"), 1), 1, 50), F.when(d % 3 == 0, " 방법").otherwise(" \\& End"))
+    h = F.concat(lead, F.element_at(F.split("text", "\n"), 1), F.when(d % 3 == 0, " 방법").otherwise(" \\& End"))
     return table(spark, folder, "documents").select("doc_id", h.alias("h"))
 
 
@@ -168,13 +168,8 @@ def t33_initials(spark, folder):
     return table(spark, folder, "part").select("p_name", fn.initials(F.col("p_name")).alias("initials")).distinct()
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM (SELECT page_id, left(html, 300) AS t FROM pages)""")
-def t34_html_escape(spark, folder):
-    return pages(spark, folder).select("page_id", fn.escaped(F.substring("html", 1, 300)).alias("escaped"))
-
-
 @query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
-def t34_html_escape_whole(spark, folder):
+def t34_html_escape(spark, folder):
     return pages(spark, folder).select("page_id", fn.escaped(F.col("html")).alias("escaped"))
 
 
@@ -261,22 +256,16 @@ def g10_extraction_warnings(spark, folder):
     return flags.select(F.explode(F.filter(names, lambda n: n.isNotNull())).alias("warning")).groupBy("warning").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query(r"SELECT doc_id, regexp_replace(t, '\\{1,2}(rowcolors?|cellcolor|columncolor)\s*(\[[^\]]*\])?\s*(\{[^}]*\}|[\d.]+)?\s*|\\{1,2}(hline|toprule|midrule|bottomrule)\b|\\{1,2}cline\s*\{[^}]*\}', '', 'g') AS cleaned FROM (SELECT doc_id, '\hline ' || left(text, 30) || ' \\cellcolor[gray]{0.9} 1 & \cline{2-3} 2 \toprule' AS t FROM documents)")
-def t15_latex_residue(spark, folder):
-    t = F.concat(F.lit("\\hline "), F.substring("text", 1, 30), F.lit(" \\\\cellcolor[gray]{0.9} 1 & \\cline{2-3} 2 \\toprule"))
-    return table(spark, folder, "documents").select("doc_id", fn.latex_residue_removed(t).alias("cleaned"))
-
-
 @query(r"SELECT doc_id, regexp_replace(t, '\\{1,2}(rowcolors?|cellcolor|columncolor)\s*(\[[^\]]*\])?\s*(\{[^}]*\}|[\d.]+)?\s*|\\{1,2}(hline|toprule|midrule|bottomrule)\b|\\{1,2}cline\s*\{[^}]*\}', '', 'g') AS cleaned FROM (SELECT doc_id, '\hline ' || text || ' \\cellcolor[gray]{0.9} 1 & \cline{2-3} 2 \toprule' AS t FROM documents)")
-def t15_latex_residue_whole(spark, folder):
+def t15_latex_residue(spark, folder):
     t = F.concat(F.lit("\\hline "), "text", F.lit(" \\\\cellcolor[gray]{0.9} 1 & \\cline{2-3} 2 \\toprule"))
     return table(spark, folder, "documents").select("doc_id", fn.latex_residue_removed(t).alias("cleaned"))
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'a' || chr(10) || '1. ' || left(text, 20) || chr(10) || '- _later_' || chr(10) || '* second' ELSE text END AS t FROM conversations)
+@query(r"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'a' || chr(10) || '1. ' || string_split(text, chr(10))[1] || chr(10) || '- _later_' || chr(10) || '* second' ELSE text END AS t FROM conversations)
 SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_extract_all(t, '(?m)^\s*(?:\d+\.|[-*])[ \t]+(\S.*)$', 1), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '_')), '|') AS items FROM t""")
 def t06_numbered_items(spark, folder):
-    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("a\n1. "), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 20), F.lit("\n- _later_\n* second"))).otherwise(F.col("text"))
+    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("a\n1. "), F.element_at(F.split("text", "\n"), 1), F.lit("\n- _later_\n* second"))).otherwise(F.col("text"))
     return table(spark, folder, "conversations").select("conv_id", "turn", F.array_join(fn.numbered_items(t), "|").alias("items"))
 
 

@@ -12,7 +12,7 @@ from .registry import query
 def workbenches(spark, folder):
     """slug, text: a review of two sections, questions and a wrap-up for each document."""
     d = F.col("doc_id")
-    first = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 60)
+    first = F.element_at(F.split("text", "\n"), 1)
     text = F.concat(
         F.lit("---\nslug: d"), d.cast("string"), F.lit("\nstatus: "), F.when(d % 3 == 0, "to_read").otherwise("review_done"),
         F.lit("\ntags: ["), "lang", F.lit(', "src/'), "source", F.lit('"]\nstatus: '), F.when(d % 5 == 0, "archived").otherwise("exported"), F.lit('\ntitle_en: "Doc: '), d.cast("string"), F.lit('"\n---\n# Title '), d.cast("string"),
@@ -25,7 +25,7 @@ def workbenches(spark, folder):
 
 
 WB = r"""
-WITH s AS (SELECT doc_id, lang, source, left(string_split(text, chr(10))[1], 60) AS first FROM documents),
+WITH s AS (SELECT doc_id, lang, source, string_split(text, chr(10))[1] AS first FROM documents),
 wb AS (SELECT 'd' || doc_id AS slug, doc_id, lang, source, first, replace('---|slug: d' || doc_id || '|status: ' || CASE WHEN doc_id % 3 = 0 THEN 'to_read' ELSE 'review_done' END || '|tags: [' || lang || ', "src/' || source || '"]|status: ' || CASE WHEN doc_id % 5 = 0 THEN 'archived' ELSE 'exported' END || '|title_en: "Doc: ' || doc_id || '"|---|', '|', chr(10)) AS head FROM s)"""
 
 

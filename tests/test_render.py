@@ -86,11 +86,3 @@ def test_page_figures(spark):
     html = '<h2>Setup</h2><figure><img src="a.png"><figcaption>One</figcaption></figure><figure><pre>code</pre><svg></svg><figcaption>x</figcaption></figure><h3>Results</h3><figure><svg></svg><figcaption>Two</figcaption></figure><figure><img src="logo.png"></figure><table><tr><td>1</td></tr></table>'
     pages = spark.createDataFrame([("p", html)], "key string, html string")
     assert [(r.n, r.kind, r.caption, r.heading) for r in render.page_figures(pages).orderBy("n").collect()] == [(1, "image", "One", "Setup"), (2, "drawing", "Two", "Results"), (3, "table", "", "Results")]
-
-
-def test_illustrations_are_spread(spark):
-    cards = spark.createDataFrame([(i, f"s{i}", "g" if i < 5 else None, 7 * i) for i in range(1, 9)], "rank int, slug string, group string, spin int")
-    files = {"g": ["fox.jpg", "fox-2.jpg", "owl.jpg"], "*": ["fox.jpg", "owl.jpg", "cat.jpg"]}
-    dealt = [r.file for r in render.spread_illustrations(cards, files).orderBy("rank").collect()]
-    bases = [f.split(".")[0].split("-")[0] for f in dealt]
-    assert len(dealt) == 8 and sorted(bases[:2]) == ["fox", "owl"] and bases.count("cat") >= 2
