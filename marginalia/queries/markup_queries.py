@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..operators import diagrams, figures, quality, render
+from ..operators import diagrams, figures, render
 from ..session import table
 from ..streaming import jobs
 from .registry import query
@@ -101,18 +101,6 @@ def j14_inlined_images(spark, folder):
     return render.resolved(docs.select("slug", "html"), known)
 
 
-@query("SELECT doc_id::VARCHAR AS slug, severity, rule FROM documents, (VALUES ('warning', 'missing_title_ko', 1), ('warning', 'partial_coverage', 2), ('error', 'missing_authors', 3)) t(severity, rule, k) WHERE (k = 1 AND doc_id % 3 = 0) OR (k = 2 AND doc_id % 2 = 0) OR (k = 3 AND doc_id % 5 = 0)")
-def g09_quality_gate(spark, folder):
-    d = F.col("doc_id")
-    section = lambda i: F.named_struct(F.lit("id"), F.lit(i), F.lit("title_en"), F.lit("x"), F.lit("summary_ko"), F.lit("s"), F.lit("paragraphs"), F.array(F.named_struct(F.lit("en"), F.lit("e"), F.lit("ko"), F.lit("k"))), F.lit("readers_notes_md"), F.lit("n" * 90))
-    metadata = F.struct(F.lit("T").alias("title"), F.when(d % 3 == 0, "").otherwise("t").alias("title_ko"), F.when(d % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("source")).alias("authors"), F.lit("V").alias("venue"), F.lit(2024).alias("year"), F.lit("other").alias("category"), F.lit("u").alias("url"), F.lit("").alias("github_url"), F.lit("a").alias("abstract_en"), F.lit("b").alias("abstract_ko"))
-    rows = table(spark, folder, "documents").select(
-        d.cast("string").alias("slug"), metadata.alias("metadata"), F.array(section("s1"), section("s2")).alias("sections"), F.array(F.lit("p")).alias("prerequisites"), F.array(F.lit("k")).alias("key_terms"),
-        F.lit(None).cast("struct<repo: string>").alias("github"), F.array().cast("array<struct<id: string, section_id: string>>").alias("ambiguities"), F.array().cast("array<struct<ambiguity_id: string>>").alias("code_clarifications"), F.array().cast("array<struct<id: string>>").alias("figures"), F.when(d % 2 == 0, 3).otherwise(2).alias("detected_sections"),
-    )
-    return quality.findings(rows).select("slug", "severity", "rule")
-
-
 @query("SELECT p_partkey, 1 AS n_marks, p_name || ' <mark class=\"wb-edit\">new' || p_size || '</mark>' AS marked FROM part")
 def g07_edit_marks(spark, folder):
     p = table(spark, folder, "part")

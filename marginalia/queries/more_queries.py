@@ -61,20 +61,6 @@ def s28_figure_bytes(spark, folder):
     return rows.select("slug", "id", F.octet_length("bytes").alias("n_bytes"))
 
 
-@query("SELECT doc_id::VARCHAR AS slug, CASE WHEN doc_id % 2 = 0 THEN 1 END AS paragraph FROM documents")
-def j30_paragraph_that_names_a_figure(spark, folder):
-    d = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("slug"), F.lit("s").alias("section_id"), F.when(F.col("doc_id") % 2 == 0, "Intro.\n\nAs Fig. 3 shows.\n\nFigure 3 again.").otherwise("Table 3 and Figure 31.").alias("body"), F.lit("").alias("text"))
-    wanted = d.select("slug", "section_id", F.lit("f3").alias("id"), F.lit("Figure 3").alias("label"), F.lit(0).alias("pos"))
-    return figures.placements(d, wanted).select("slug", "paragraph")
-
-
-@query("SELECT doc_id::VARCHAR AS slug, CASE WHEN doc_id % 2 = 0 THEN 'Intro.|As Fig. 3 shows.|![Figure 3](/paper/' || doc_id || '/fig/f3)|End.' ELSE 'Other.|![Figure 3](/paper/' || doc_id || '/fig/f3)' END AS body FROM documents")
-def g19_figure_placement(spark, folder):
-    d = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("slug"), F.lit("s").alias("section_id"), F.when(F.col("doc_id") % 2 == 0, "Intro.\n\nAs Fig. 3 shows.\n\nEnd.").otherwise("Other.").alias("body"), F.lit("").alias("text"))
-    wanted = d.select("slug", "section_id", F.lit("f3").alias("id"), F.lit("Figure 3").alias("label"), F.lit(0).alias("pos"))
-    return figures.placed(d, wanted).select("slug", F.replace("body", F.lit("\n\n"), F.lit("|")).alias("body"))
-
-
 @query("SELECT doc_id::VARCHAR AS slug, 'paste' || (CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 1 END) AS id FROM documents")
 def x09_pasted_images(spark, folder):
     """One new image per document; even ones have pasted three before, among them one of equal content."""
@@ -120,12 +106,6 @@ def p25_image_addresses(spark, folder):
     return table(spark, folder, "part").select("p_partkey", render.image_kind(address).alias("kind"))
 
 
-@query("SELECT p_partkey::VARCHAR AS slug, p_size % 2 = 0 AS complete FROM part")
-def p27_complete_reports(spark, folder):
-    html = F.concat(F.lit('<nav><a href="#a">a</a><a href="#b">b</a></nav><h2 id="a">'), F.when(F.col("p_size") % 2 == 0, '<h2 id="b">').otherwise(""))
-    return sinks.complete_reports(table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("slug"), html.alias("html")))
-
-
 @query("SELECT p_partkey, '![' || p_name || '|300](x)' AS wide, '![' || p_name || '](x)' AS bare FROM part")
 def t29_image_width(spark, folder):
     text = F.concat(F.lit("!["), "p_name", F.lit("|420](x)"))
