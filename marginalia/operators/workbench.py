@@ -20,6 +20,8 @@ LABELS = {
 }
 BODY_BOUND = r"\n##\s+(?:Q ?& ?A|Wrap-up|메타|정리)\b"
 PARSER_BOUND = r"(?m)^##\s+(?:Q&A|Wrap-up|메타|그림)\s*$"
+#: A tidy plan names blocks that hold more written characters.
+LONG_NOTE = 200
 UNREAL_ANSWERS = ("미진행", "여기에 본인 답변", "답변하면")
 
 
@@ -173,6 +175,11 @@ def tidy_plan(documents: DataFrame, live: DataFrame) -> DataFrame:
     return rows.select("slug", "pos", "heading", reason.alias("reason"), F.when(F.col("body") == "", 0).otherwise(F.col("written")).alias("written")).where("reason IS NOT NULL")
 
 
+def tidy_totals(plan: DataFrame, long: int = LONG_NOTE) -> DataFrame:
+    """blocks, written: how many blocks a plan removes, and how many of these hold more than ``long`` written characters."""
+    return plan.agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("written") > long).alias("written"))
+
+
 def unescaped_markdown(text: Column) -> Column:
     """Escapes go: before any punctuation inside dollars, before inactive punctuation elsewhere."""
     parts = F.regexp_extract_all(text, F.lit(r"(?s)\$\$.*?\$\$|\$[^$\n]*?\$|(?:(?!\$\$.*?\$\$|\$[^$\n]*?\$).)+"), F.lit(0))

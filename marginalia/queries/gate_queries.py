@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import figures, quality
 from ..session import table
@@ -26,9 +26,8 @@ o AS (SELECT orders.*, o_custkey % 9 AS detected, o_orderkey % 2 = 0 AS github,
 GATE_SQL += " UNION ALL ".join(f"SELECT o_orderkey AS slug, '{severity}' AS severity, '{rule}' AS rule FROM o WHERE {test}" for severity, rules in RULES.items() for rule, test in rules.items())
 
 
-@query(GATE_SQL)
-def g09_quality_gate(spark, folder):
-    """Orders as records, their lines as sections: every rule is broken by some and kept by others."""
+def records(spark, folder) -> DataFrame:
+    """Orders as records, their lines as sections: every rule of the gate is broken by some and kept by others."""
     k, c, line = F.col("o_orderkey"), F.col("o_custkey"), F.col("l_linenumber").cast("string")
     part = F.col("l_partkey") % 4
     section = F.struct(
@@ -46,11 +45,21 @@ def g09_quality_gate(spark, folder):
         text(c % 13 == 0, F.lit("a")).alias("abstract_en"), F.when(k % 6 != 0, "b").alias("abstract_ko"),
     )
     none = lambda test: F.when(test, F.array().cast("array<string>")).otherwise(F.array(F.lit("p")))
-    records = table(spark, folder, "orders").join(lines, "o_orderkey", "left").select(
+    return table(spark, folder, "orders").join(lines, "o_orderkey", "left").select(
         k.alias("slug"), metadata.alias("metadata"), "sections", none(c % 3 == 1).alias("prerequisites"), none(k % 8 == 0).alias("key_terms"), F.when(k % 2 == 0, F.struct(F.lit("r").alias("repo"))).alias("github"),
         F.coalesce("ambiguities", F.array().cast("array<struct<id: string, section_id: string>>")).alias("ambiguities"), "code_clarifications", F.when(c % 5 != 0, F.array().cast("array<struct<id: string>>")).alias("figures"), (c % 9).cast("int").alias("detected_sections"),
     )
-    return quality.findings(records).select("slug", "severity", "rule")
+
+
+@query(GATE_SQL)
+def g09_quality_gate(spark, folder):
+    return quality.findings(records(spark, folder)).select("slug", "severity", "rule")
+
+
+@query("""SELECT o_orderkey AS slug, count(l_orderkey)::INT AS sections, (o_custkey % 3 <> 1)::INT AS prerequisites, (o_orderkey % 8 <> 0)::INT AS key_terms, coalesce(count_if(l_returnflag = 'R'), 0)::INT AS ambiguities, coalesce(count_if(l_linestatus = 'O'), 0)::INT AS code_clarifications, 0 AS figures
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey""")
+def a24_record_sizes(spark, folder):
+    return quality.sizes(records(spark, folder))
 
 
 NAMED = "(SELECT p_partkey, p_size % 5 AS wanted, [p_partkey % 5, p_partkey // 5 % 5, p_partkey // 25 % 5] AS named FROM part)"

@@ -111,3 +111,12 @@ def t12_pipeline_blocks(spark, folder):
     text = F.when(F.substring("slug", 2, 20).cast("long") % 2 == 0, good).otherwise("```pipeline\n{broken\n```\n")
     rows = workbenches(spark, folder).select("slug", F.explode(ops.pipelines(text)).alias("p"))
     return rows.select("slug", "p.title", F.size("p.stages").alias("n_stages"))
+
+
+@query(WB + r""", r AS (SELECT length('**핵심 해설**|' || first || '||**Reader''s Notes**|note ' || doc_id) AS written FROM wb WHERE doc_id % 2 = 1 UNION ALL SELECT length('**핵심 해설**|gamma text') FROM wb WHERE doc_id % 2 = 1 AND doc_id % 7 <> 0 UNION ALL SELECT 0 FROM wb WHERE doc_id % 7 = 0)
+SELECT count(*) AS blocks, count_if(written > 200) AS written FROM r""")
+def a28_tidy_totals(spark, folder):
+    """Of documents of odd ids one heading is live; the others have no source."""
+    docs = workbenches(spark, folder)
+    live = docs.where(F.substring("slug", 2, 20).cast("long") % 2 == 1).select("slug", F.lit("2. beta").alias("key"))
+    return ops.tidy_totals(ops.tidy_plan(docs, live))
