@@ -17,7 +17,7 @@ OUTCOME = "job string, started long, ended long, outcome string, lines long"
 class Deadlines(StatefulProcessor):
     """Of each running job: when it began (milliseconds) and its lines so far. A timer ends it if nothing else does.
 
-    Events of a micro-batch are taken in the order of their times. One behind the limit finds the job ended there, even if
+    Events of a micro-batch are taken in the order of their times; at equal times starts come first and ends last. One behind the limit finds the job ended there, even if
     the timer hasn't fired yet: the outcome doesn't depend on when micro-batches begin. A job that has ended is forgotten;
     what still comes of it is ignored unless it starts anew.
     """
@@ -32,7 +32,7 @@ class Deadlines(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         started, lines, timer = self.state.get() if self.state.exists() else (None, 0, None)
         out = []
-        for at, kind in sorted((int(a), k) for part in rows for a, k in zip(part["at"], part["kind"])):
+        for at, _, kind in sorted((int(a), (k != START) + (k in ENDS), k) for part in rows for a, k in zip(part["at"], part["kind"])):
             if started is not None and at > started + self.limit:
                 out.append((key[0], started, started + self.limit, TIMEOUT, lines))
                 started = None

@@ -110,6 +110,7 @@ def streamed(spark, tmp_path):
         name = f"out{abs(hash(str(tmp_path)))}"
         query = work(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
         query.awaitTermination(120)
+        query.stop()
         return spark.table(name).collect()
 
     yield run
@@ -227,10 +228,28 @@ def test_deadlines_of_a_stream(spark, streamed):
     assert outcome_of(got) == {job: end for job, _, end in JOBS if end}
 
 
-def test_deadlines_by_the_clock(spark, streamed):
-    """Processing time: what ended by itself, and what was over before it was read."""
-    got = streamed([moments(spark, JOBS[1:6]), [("other", datetime.datetime.now(), "line")]], "job string, ts timestamp, kind string", lambda s: deadlines.outcomes_stream(s, 10_000))
-    assert outcome_of(got) == {job: end for job, _, end in JOBS[1:6]}
+def test_deadlines_by_the_clock(spark, tmp_path):
+    """Processing time: what ended by itself, what was over before it was read, and a silent job, which a timer ends."""
+    schema = "job string, ts timestamp, kind string"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    began = datetime.datetime.now(datetime.timezone.utc)
+    rows = moments(spark, JOBS[1:6]) + [("now", began, "start"), ("now", began, "line"), ("later", began + datetime.timedelta(hours=1), "start")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    found = deadlines.outcomes_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), 10_000)
+    query = found.writeStream.format("memory").queryName("by_the_clock").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            got = spark.table("by_the_clock").collect()
+            if any(r.job == "now" for r in got):
+                break
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    silent = [r for r in got if r.job == "now"]
+    assert [(r.outcome, r.ended - r.started, r.lines) for r in silent] == [("timeout", 10_000, 1)]
+    assert outcome_of([r for r in got if r.job != "now"]) == {job: end for job, _, end in JOBS[1:6]}
 
 
 CHANGE = "slug string, changed_at long, figures_at long, gone boolean"
