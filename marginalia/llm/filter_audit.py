@@ -126,7 +126,7 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """One row per part, order of the five filters and step, with what is kept, removed, redundant, failed by this filter
     only, lost of good and of toxic documents, and the filter's removals summed over all orders.
 
-    Null texts are empty, a null part is the empty one. A document is good or toxic if any of its label rows says so. Rows
+    Whole texts are read, however long. Null texts are empty, a null part is the empty one. A document is good or toxic if any of its label rows says so. Rows
     that repeat a doc_id count each, and none makes another a copy; rows without a doc_id are never copies. Extra columns
     are ignored. An empty table has no parts and gives no rows. A part is at most 32 cells when it reaches its task.
     """

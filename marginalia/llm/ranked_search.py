@@ -397,7 +397,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     """item_id, rank, doc_id, score: of every item the ``k`` documents with the highest score above 0, all if there are
     fewer, equal scores by ascending doc_id (null last).
 
-    Null and empty texts have no term: such documents are never found, such items find nothing. Rows that repeat an item's
+    Whole texts are read, however long. Null and empty texts have no term: such documents are never found, such items find nothing. Rows that repeat an item's
     id are one item with the terms of all; rows that repeat a doc_id are documents of their own and may both be found.
     Extra columns are ignored; empty tables give no rows. Items are searched in turns of about ``pairs`` pairs of item and
     term, so that what is broadcast stays bounded however many items there are.
