@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import shuffled
 from .library import first_of_each
 
 # Required and recommended fields, categories and limits.
@@ -74,9 +75,9 @@ def matched_sections(references: DataFrame, sections: DataFrame) -> DataFrame:
     candidates = sections.select("slug", "section_id", "ord", F.posexplode(F.array(key(F.col("section_id")), key(F.col("title_en")), key(F.col("title_ko")))).alias("which", "k")).where("k <> ''")
     wanted = references.select("slug", "ref", key(F.col("ref")).alias("r")).distinct()
     score = F.when(F.col("ref") == F.col("section_id"), 2.0).otherwise(F.least(F.length("k"), F.length("r")) / F.greatest(F.length("k"), F.length("r")))
-    hits = wanted.join(candidates, "slug").where((F.col("r") != "") & (F.contains("k", F.col("r")) | F.contains("r", F.col("k"))))
-    best = hits.groupBy("slug", "ref").agg(F.max_by("section_id", F.struct(score, -F.col("ord"), -F.col("which"))).alias("section_id"))
-    return wanted.select("slug", "ref").join(best, ["slug", "ref"], "left")
+    meets = (F.col("r") != "") & (F.contains("k", F.col("r")) | F.contains("r", F.col("k")))
+    hits = wanted.alias("w").join(shuffled(candidates).alias("c"), (F.col("w.slug") == F.col("c.slug")) & meets, "left")
+    return hits.groupBy("w.slug", "ref").agg(F.max_by("section_id", F.struct(score, -F.col("ord"), -F.col("which"))).alias("section_id"))
 
 
 def applied(record: DataFrame, operations: list[tuple[str, DataFrame]], merges: dict) -> DataFrame:

@@ -92,6 +92,19 @@ def spread(spark: SparkSession, units: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // per_task))
 
 
+def dealt(rows: DataFrame, *keys: str, per_task: int = 20_000) -> DataFrame:
+    """``rows`` (of a table, so that counting them reads its footers only) dealt to tasks by ``keys``, for work that is much
+    larger than the rows. A small file is read by one task, and AQE would put small partitions together again; it leaves a
+    given number of them alone."""
+    return rows.repartition(spread(rows.sparkSession, rows.count(), per_task), *keys)
+
+
+def shuffled(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that is never sent to the driver. A plan's sizes are guessed from compressed files and
+    don't see what functions and explodes add, so that a broadcast by them can be of any size."""
+    return rows.hint("merge")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
