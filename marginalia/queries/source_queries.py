@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from ..functions import colors, css
-from ..session import table
+from ..session import dealt, materialize, table
 from ..sources import archives
 from .registry import query
 
@@ -33,13 +33,14 @@ def archive_of(name: str, size: int) -> bytes:
 
 def part_archives(spark, folder):
     make = F.pandas_udf(lambda names, sizes: pd.Series([archive_of(n, s) for n, s in zip(names, sizes)]), T.BinaryType())
-    return table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("path"), make("p_name", "p_size").alias("content"))
+    parts = dealt(table(spark, folder, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", per_task=10_000)
+    return parts.select(F.col("p_partkey").cast("string").alias("path"), make("p_name", "p_size").alias("content"))
 
 
 @query("""SELECT p_partkey::VARCHAR AS archive, n, name, size FROM part, LATERAL (VALUES (1, 'src/img/' || p_name || CASE WHEN p_size % 2 = 1 THEN '.jpeg' ELSE '.png' END, 1), (2, p_name || '-b.pdf', 1), (3, 'other_' || p_size || '.svg', 1), (4, 'old/other_' || p_size || '.svg', 1)) m(n, name, size)""")
 def s13_archive_members(spark, folder):
     """The images in archives, packed or not, whose contents aren't read."""
-    return archives.members(part_archives(spark, folder)).where(~F.lower("name").endswith(".tex")).select("archive", "n", "name", "size")
+    return archives.members(part_archives(spark, folder), contents=()).where(~F.lower("name").endswith(".tex")).select("archive", "n", "name", "size")
 
 
 @query("""SELECT p_partkey::VARCHAR AS archive, pos, name, label, id, caption FROM part, LATERAL (VALUES
@@ -48,8 +49,8 @@ def s13_archive_members(spark, folder):
 (3, CASE WHEN p_size % 3 > 0 THEN 'other_' || p_size || '.svg' END, 'Table 4', 'tbl4', 'Table 4A: y')) m(pos, name, label, id, caption) WHERE name IS NOT NULL""")
 def j29_archive_figures(spark, folder):
     """LaTeX figures with the members that they mean: by the name with an ending, by its beginning, or none."""
-    found = archives.members(part_archives(spark, folder))
-    return archives.labelled(archives.matched(archives.figures(found), found)).select("archive", "pos", "name", "label", "id", "caption")
+    found = materialize(archives.members(part_archives(spark, folder)), "members")  # archives are read once
+    return archives.labelled(archives.matched(materialize(archives.figures(found), "figures"), found)).select("archive", "pos", "name", "label", "id", "caption")
 
 
 CSS_SQL = "(SELECT p_partkey, p_name, p_size, length(p_name) AS a, length(p_size::VARCHAR) AS b, CASE WHEN p_size % 2 = 0 THEN 5 ELSE 4 END AS s FROM part)"

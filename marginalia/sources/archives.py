@@ -9,6 +9,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..session import shuffled
+
 # What is text, what is an image, in the order in which endings are tried, and how LaTeX says it.
 TEXT, IMAGES = (".tex",), (".png", ".pdf", ".jpg", ".jpeg", ".svg", ".eps")
 FIGURE = r"(?s)\\begin\{figure\*?\}(.*?)\\end\{figure\*?\}"
@@ -17,6 +19,9 @@ CAPTION = r"(?s)\\caption(?:\[[^\]]*\])?\{((?:[^{}]++|\{[^{}]*\})*+)\}"
 COMMAND = r"\\[a-zA-Z]+\*?\s*"
 NUMBERED = r"^(Figure|Fig\.?|Table|Tab\.?)\s+(\d+[a-z]?)"
 
+#: Members and bytes of their contents that are handed on together.
+TOGETHER, TOGETHER_BYTES = 4096, 1 << 20
+
 MEMBER = "archive string, n int, name string, size long, content binary, error string"
 
 
@@ -49,10 +54,18 @@ def members(found: DataFrame, endings: Sequence[str] = TEXT + IMAGES, contents:
     kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["archive", "n", "name", "size", "content", "error"])
         for batch in batches:
+            rows, held = [], 0
             for path, raw in zip(batch.column(0), batch.column(1)):
-                rows = list(of(path.as_py(), raw.as_py()))  # one archive at a time
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)], ["archive", "n", "name", "size", "content", "error"])
+                for row in of(path.as_py(), raw.as_py()):  # one archive at a time
+                    rows.append(row)
+                    held += len(row[4] or b"")
+                    if len(rows) >= TOGETHER or held >= TOGETHER_BYTES:
+                        yield made(rows)
+                        rows, held = [], 0
+            if rows:
+                yield made(rows)
 
     return found.select("path", "content").mapInArrow(run, MEMBER)
 
@@ -80,20 +93,22 @@ def matched(wanted: DataFrame, found: DataFrame) -> DataFrame:
     ``tier``; null where there is none.
 
     A graphic is a path, perhaps without folder or ending. Tiers: the name as it is (0), then with each ending of IMAGES; last,
-    names that begin with it. Within a tier the first member of the archive counts. Both kinds of candidate are joined by equal keys: the base name, or one of the beginnings of a member's
-    base name, so no reference meets all members.
+    names that begin with it. Within a tier the first member of the archive counts. Both kinds of candidate are joined by equal keys: the base name, or a beginning of a member's
+    base name that is as long as some graphic of its archive, so no reference meets all members.
     """
     images = found.where(F.lower("name").rlike(r"\.(" + "|".join(e[1:] for e in IMAGES) + ")$")).select("archive", "n", "name", base_name(F.col("name")).alias("base"))
     asked = wanted.select("archive", "graphic").distinct()
     tries = F.array(F.col("graphic"), *[F.concat("graphic", F.lit(e)) for e in IMAGES])
     exact = asked.select("archive", "graphic", F.posexplode(tries).alias("tier", "path")).withColumn("base", base_name(F.col("path")))
-    exact = exact.join(images, ["archive", "base"])
+    exact = exact.join(shuffled(images), ["archive", "base"])
     meant = (F.col("name") == F.col("path")) | (F.col("name") == F.concat(F.lit("./"), "path")) | F.endswith(F.col("name"), F.concat(F.lit("/"), F.col("path"))) | (F.col("base") == F.col("path"))
-    beginnings = images.select("archive", "n", "name", F.explode(F.transform(F.sequence(F.lit(0), F.length("base")), lambda k: F.substring("base", F.lit(1), k))).alias("start"))
-    prefix = asked.withColumn("start", base_name(F.col("graphic"))).join(beginnings, ["archive", "start"]).withColumn("tier", F.lit(len(IMAGES) + 1))
+    begun = asked.withColumn("start", base_name(F.col("graphic")))
+    lengths = begun.select("archive", F.length("start").alias("k")).distinct()
+    beginnings = images.join(shuffled(lengths), "archive").where(F.length("base") >= F.col("k")).select("archive", "n", "name", F.substring("base", F.lit(1), F.col("k")).alias("start"))
+    prefix = begun.join(shuffled(beginnings), ["archive", "start"]).withColumn("tier", F.lit(len(IMAGES) + 1))
     every = exact.where(meant).select("archive", "graphic", "tier", "n", "name").unionByName(prefix.select("archive", "graphic", "tier", "n", "name"))
     best = every.groupBy("archive", "graphic").agg(F.min(F.struct("tier", "n", "name")).alias("best")).select("archive", "graphic", "best.tier", "best.name")
-    return wanted.join(best, ["archive", "graphic"], "left")
+    return wanted.join(shuffled(best), ["archive", "graphic"], "left")
 
 
 def labelled(found: DataFrame) -> DataFrame:

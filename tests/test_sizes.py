@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from marginalia import catalog
 from marginalia.operators import quality
+from marginalia.sources import archives
 
 
 def joins(df: DataFrame) -> str:
@@ -34,3 +35,11 @@ def test_references_of_large_keys_are_short_and_sections_are_not_broadcast(spark
     sections = spark.createDataFrame([("a", "1-introduction", "Introduction", "", 0)], "slug string, section_id string, title_en string, title_ko string, ord int")
     got = sorted(map(tuple, quality.matched_sections(references, sections).collect()), key=str)
     assert got == sorted([("a", None, None), ("a", "Intro", "1-introduction"), (None, "Intro", None), ("b", "Intro", None)], key=str)
+
+
+def test_archive_members_are_not_broadcast(spark):
+    members = spark.createDataFrame([("a", 0, "img/one.png"), ("a", 1, "one-b.pdf"), ("b", 0, "two.svg")], "archive string, n int, name string")
+    wanted = spark.createDataFrame([("a", 1, "one"), ("a", 2, "plots/one-"), ("a", 3, ""), ("a", 4, "none"), ("b", 1, "one")], "archive string, pos int, graphic string")
+    found = archives.matched(wanted, members)
+    assert "Broadcast" not in joins(found)
+    assert sorted((r.archive, r.pos, r.name) for r in found.collect()) == [("a", 1, "img/one.png"), ("a", 2, "one-b.pdf"), ("a", 3, "img/one.png"), ("a", 4, None), ("b", 1, None)]
