@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from marginalia import catalog
 from marginalia.operators import quality
+from marginalia.queries import source_queries
 from marginalia.sources import archives
 
 
@@ -43,3 +44,8 @@ def test_archive_members_are_not_broadcast(spark):
     found = archives.matched(wanted, members)
     assert "Broadcast" not in joins(found)
     assert sorted((r.archive, r.pos, r.name) for r in found.collect()) == [("a", 1, "img/one.png"), ("a", 2, "one-b.pdf"), ("a", 3, "img/one.png"), ("a", 4, None), ("b", 1, None)]
+
+
+def test_archives_are_made_and_read_by_many_tasks(spark, parts):
+    folder = parts(*[(k, 1 + k % 3) for k in range(50)])
+    assert source_queries.part_archives(spark, folder).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
