@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.svg import shapes as drawn
-from ..session import materialize
+from ..session import materialize, shuffled
 
 # Tolerances in pixels, and widths of characters in ems: beyond EAST_ASIAN, in monospaced fonts, and by class.
 TOLERANCE, REACH, SLACK, SMALLEST = 4, 14, 0.9, 20
@@ -66,6 +66,17 @@ def shapes(svgs: DataFrame) -> DataFrame:
     return svgs.select("key", "svg").mapInArrow(run, schema)
 
 
+def stored(svgs: DataFrame) -> DataFrame:
+    """The shapes with the widths of texts, parsed and measured once for what reads them several times."""
+    if "kind" in svgs.columns:
+        return svgs
+    return materialize(_with_width(shapes(svgs)), "shapes")
+
+
+def _with_width(rows: DataFrame) -> DataFrame:
+    return rows if "wide" in rows.columns else rows.withColumn("wide", F.when(F.col("kind") == "text", text_ems(F.col("s"), F.col("mono")) * F.col("size")))
+
+
 def boxes(svgs: DataFrame) -> DataFrame:
     """key, n, kind, x0, y0, x1, y1 of rectangles, ellipses and polygons."""
     return shapes(svgs).where(F.col("kind").isin("rect", "ellipse", "polygon")).select("key", "n", "kind", "x0", "y0", "x1", "y1")
@@ -85,14 +96,14 @@ def nodes(svgs: DataFrame) -> DataFrame:
     inner = every.select("key", *[F.col(c).alias(f"_{c}") for c in corners])
     same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in corners])
     holds = (rects["key"] == inner["key"]) & ~same & (F.col("_x0") >= F.col("x0")) & (F.col("_y0") >= F.col("y0")) & (F.col("_x1") <= F.col("x1")) & (F.col("_y1") <= F.col("y1"))
-    small = rects.join(inner, holds, "left_anti").join(view(svgs), "key", "left")
+    small = rects.join(shuffled(inner), holds, "left_anti").join(shuffled(view(svgs)), "key", "left")
     frame = F.coalesce(F.col("vw") * F.col("vh"), F.lit(0.0))
     return small.where((frame == 0) | ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) <= 0.5 * frame)).select("key", "n", *corners)
 
 
 def labels(svgs: DataFrame) -> DataFrame:
     """key, n, s, anchor (ax, ay), box (left, top, right, bottom), and the box without margin (wide_left, wide_right)."""
-    rows = shapes(svgs).where("kind = 'text'").withColumn("wide", text_ems(F.col("s"), F.col("mono")) * F.col("size"))
+    rows = _with_width(shapes(svgs).where("kind = 'text'"))
     rows = rows.withColumn("w", F.when(F.col("mono"), F.col("wide")).otherwise(F.col("wide") * SLACK))
     left = lambda w: F.col("ax") - F.when(F.col("anchor") == "middle", F.col(w) / 2).when(F.col("anchor") == "end", F.col(w)).otherwise(0.0)
     return rows.select("key", "n", "s", "ax", "ay", left("w").alias("left"), (left("w") + F.col("w")).alias("right"), (F.col("ay") - 0.75 * F.col("size")).alias("top"), (F.col("ay") + 0.25 * F.col("size")).alias("bottom"), left("wide").alias("wide_left"), (left("wide") + F.col("wide")).alias("wide_right"))
@@ -118,7 +129,7 @@ def _inside(x: Column, y: Column, pad: float) -> Column:
 
 def overflows(svgs: DataFrame) -> DataFrame:
     """Texts that pass the sides of the smallest box that holds their anchor."""
-    home = labels(svgs).alias("t").join(nodes(svgs).alias("b"), (F.col("t.key") == F.col("b.key")) & _inside(F.col("t.ax"), F.col("t.ay"), 0))
+    home = labels(svgs).alias("t").join(shuffled(nodes(svgs)).alias("b"), (F.col("t.key") == F.col("b.key")) & _inside(F.col("t.ax"), F.col("t.ay"), 0))
     area = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))
     best = home.groupBy("t.key", "t.n", "t.s", "t.left", "t.right").agg(F.min_by(F.struct("b.x0", "b.x1"), F.struct(area, "b.n")).alias("box"))
     over = F.greatest(F.col("box.x0") - F.col("left"), F.col("right") - F.col("box.x1"))
@@ -127,12 +138,12 @@ def overflows(svgs: DataFrame) -> DataFrame:
 
 def clipped(svgs: DataFrame) -> DataFrame:
     over = F.greatest(F.col("vx") - F.col("left"), F.col("right") - F.col("vx") - F.col("vw"))
-    return labels(svgs).join(view(svgs), "key").where(over > TOLERANCE).select("key", F.lit("TEXT_CLIPPED").alias("code"), "s")
+    return labels(svgs).join(shuffled(view(svgs)), "key").where(over > TOLERANCE).select("key", F.lit("TEXT_CLIPPED").alias("code"), "s")
 
 
 def over_boxes(svgs: DataFrame) -> DataFrame:
     """Texts that run into a box which isn't theirs."""
-    rows = labels(svgs).alias("t").join(nodes(svgs).alias("b"), "key").where(~_inside(F.col("t.ax"), F.col("t.ay"), 0))
+    rows = labels(svgs).alias("t").join(shuffled(nodes(svgs)).alias("b"), "key").where(~_inside(F.col("t.ax"), F.col("t.ay"), 0))
     w = F.least("wide_right", "x1") - F.greatest("wide_left", "x0")
     h = F.least("bottom", "y1") - F.greatest("top", "y0")
     return rows.where((w > 3) & (h > 0.4 * (F.col("bottom") - F.col("top")))).select("key", F.lit("TEXT_OVER_BOX").alias("code"), "s")
@@ -140,11 +151,11 @@ def over_boxes(svgs: DataFrame) -> DataFrame:
 
 def overlaps(svgs: DataFrame) -> DataFrame:
     """Pairs of texts of one diagram that cover each other."""
-    one = labels(svgs)
+    one = labels(stored(svgs))
     other = one.select("key", *[F.col(c).alias(f"_{c}") for c in ("n", "left", "right", "top", "bottom")])
     w = F.least("right", "_right") - F.greatest("left", "_left")
     h = F.least("bottom", "_bottom") - F.greatest("top", "_top")
-    return one.join(other, "key").where((F.col("n") < F.col("_n")) & (w > TOLERANCE) & (h > 1)).select("key", F.lit("TEXT_OVERLAP").alias("code"), "s")
+    return one.join(shuffled(other), "key").where((F.col("n") < F.col("_n")) & (w > TOLERANCE) & (h > 1)).select("key", F.lit("TEXT_OVERLAP").alias("code"), "s")
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -166,7 +177,7 @@ def crosses(ax: Column, ay: Column, bx: Column, by: Column, x0: Column, y0: Colu
 def through_boxes(svgs: DataFrame) -> DataFrame:
     """Arrows of which a straight part crosses a box that they neither leave nor reach."""
     ends, way = [F.col(f"l.{n}") for n in ("x1", "y1", "x2", "y2")], [F.col(f"l.{n}") for n in ("ax", "ay", "bx", "by")]
-    rows = segments(svgs).where("(start OR end) AND straight").alias("l").join(nodes(svgs).alias("b"), F.col("l.key") == F.col("b.key"))
+    rows = segments(svgs).where("(start OR end) AND straight").alias("l").join(shuffled(nodes(svgs)).alias("b"), F.col("l.key") == F.col("b.key"))
     far = ~_inside(ends[0], ends[1], REACH) & ~_inside(ends[2], ends[3], REACH)
     hit = crosses(*way, F.col("b.x0") + 6, F.col("b.y0") + 6, F.col("b.x1") - 6, F.col("b.y1") - 6)
     return rows.where(far & hit).select("l.key", F.lit("EDGE_THROUGH_BOX").alias("code"), F.col("l.n").cast("string").alias("s"))
@@ -177,18 +188,18 @@ def dangling(svgs: DataFrame) -> DataFrame:
     lines, every = strokes(svgs), boxes(svgs)
     ends = lines.select("key", "n", "x1", "y1", "x2", "y2", F.explode(F.filter(F.array(F.struct(F.col("end").alias("on"), F.col("x2").alias("tx"), F.col("y2").alias("ty")), F.struct(F.col("start").alias("on"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))), lambda t: t["on"])).alias("tip"))
     ends = ends.select("*", "tip.tx", "tip.ty").drop("tip").alias("l")
-    b = every.alias("b")
+    b = shuffled(every).alias("b")
     attached = ends.join(b, (F.col("l.key") == F.col("b.key")) & (_inside(F.col("l.x1"), F.col("l.y1"), REACH) | _inside(F.col("l.x2"), F.col("l.y2"), REACH)), "left_semi").alias("l")
-    targets = every.select("key", "x0", "y0", "x1", "y1").unionByName(labels(svgs).select("key", F.col("left").alias("x0"), F.col("top").alias("y0"), F.col("right").alias("x1"), F.col("bottom").alias("y1"))).alias("b")
+    targets = shuffled(every.select("key", "x0", "y0", "x1", "y1").unionByName(labels(svgs).select("key", F.col("left").alias("x0"), F.col("top").alias("y0"), F.col("right").alias("x1"), F.col("bottom").alias("y1")))).alias("b")
     free = attached.join(targets, (F.col("l.key") == F.col("b.key")) & _inside(F.col("l.tx"), F.col("l.ty"), REACH), "left_anti").alias("l")
-    o = segments(svgs).select("key", "n", "ax", "ay", "bx", "by").alias("o")
+    o = shuffled(segments(svgs).select("key", "n", "ax", "ay", "bx", "by")).alias("o")
     near = segment_distance(*[F.col(c) for c in ("l.tx", "l.ty", "o.ax", "o.ay", "o.bx", "o.by")]) <= REACH
     return free.join(o, (F.col("l.key") == F.col("o.key")) & (F.col("l.n") != F.col("o.n")) & near, "left_anti").select("key", F.lit("DANGLING_ARROW").alias("code"), F.col("n").cast("string").alias("s"))
 
 
 def lint(svgs: DataFrame) -> DataFrame:
     """key, code, s: all findings, each once. ``svgs``: key, svg. Diagrams are parsed once; the rules join their shapes."""
-    found = materialize(shapes(svgs), "shapes")
+    found = stored(svgs)
     rules = (overflows, clipped, over_boxes, overlaps, dangling, through_boxes)
     return reduce(lambda a, b: a.unionByName(b), [rule(found) for rule in rules]).distinct()
 

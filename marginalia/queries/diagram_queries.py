@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import diagrams
-from ..session import table
+from ..session import dealt, table
 from .markup_queries import em
 from .registry import query
 
@@ -14,7 +14,7 @@ PART = "(SELECT p_partkey::VARCHAR AS key, p_partkey % 11 AS a, p_partkey % 17 A
 
 def drawn(spark, folder, *pieces) -> DataFrame:
     """One diagram for each part: ``pieces`` inside an svg element."""
-    return table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit('<svg viewBox="0 0 400 200" xmlns="http://www.w3.org/2000/svg">'), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in pieces], F.lit("</svg>")).alias("svg"))
+    return dealt(table(spark, folder, "part"), "p_partkey").select(F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit('<svg viewBox="0 0 400 200" xmlns="http://www.w3.org/2000/svg">'), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in pieces], F.lit("</svg>")).alias("svg"))
 
 
 @query(f"""SELECT key, 'rect' AS kind, (s + 2 + a)::DOUBLE AS x, (b + 3 + 2)::DOUBLE AS y, (s + 20)::DOUBLE AS w, c::DOUBLE AS h, NULL::DOUBLE AS size FROM {PART} WHERE c > 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..operators import diagrams, figures, render
-from ..session import table
+from ..session import dealt, table
 from ..streaming import jobs
 from .registry import query
 
@@ -24,7 +24,7 @@ EM = em("p_name")
 
 def svgs(spark, folder):
     """A box with a centred label for each part."""
-    p = table(spark, folder, "part")
+    p = dealt(table(spark, folder, "part"), "p_partkey")
     svg = F.format_string('<svg viewBox="0 0 400 200"><rect x="100" y="20" width="%d" height="60"/><text x="%s" y="50" text-anchor="middle" font-size="%d">%s</text></svg>', 40 + F.col("p_size"), (100 + (40 + F.col("p_size")) / 2).cast("string"), 12 + F.col("p_partkey") % 5, "p_name")
     return p.select(F.col("p_partkey").cast("string").alias("key"), svg.alias("svg"))
 

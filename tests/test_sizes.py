@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia import catalog
-from marginalia.operators import quality
+from marginalia.operators import diagrams, quality
 from marginalia.queries import source_queries
 from marginalia.sources import archives
 
@@ -49,3 +49,11 @@ def test_archive_members_are_not_broadcast(spark):
 def test_archives_are_made_and_read_by_many_tasks(spark, parts):
     folder = parts(*[(k, 1 + k % 3) for k in range(50)])
     assert source_queries.part_archives(spark, folder).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BOX_AND_TEXT = '<svg viewBox="0 0 400 200"><rect x="10" y="20" width="60" height="60"/><text x="40" y="50">one</text></svg>'
+
+
+def test_shapes_are_not_broadcast(spark):
+    found = diagrams.lint(spark.createDataFrame([("a", BOX_AND_TEXT)], "key string, svg string"))
+    assert "Broadcast" not in joins(found)
