@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 # Patterns and word lists that decide results.
@@ -13,6 +14,17 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 LATEX_RESIDUE = r"\\{1,2}(rowcolors?|cellcolor|columncolor)\s*(\[[^\]]*\])?\s*(\{[^}]*\}|[\d.]+)?\s*|\\{1,2}(hline|toprule|midrule|bottomrule)\b|\\{1,2}cline\s*\{[^}]*\}"
 
 
+def printed(number: Column, decimals: int) -> Column:
+    """A number with so many decimals, rounded by its exact value as C and Python do it, where Java rounds its shortest
+    decimal form up: 0.15 is a little less, and gives 0.1. Null for null."""
+
+    @F.arrow_udf("string")
+    def run(numbers: pa.Array) -> pa.Array:
+        return pa.array([None if n is None else f"{n:.{decimals}f}" for n in numbers.to_pylist()], pa.string())
+
+    return run(number.cast("double"))
+
+
 def squeezed(text: Column) -> Column:
     """ASCII white space collapsed to single spaces, none at the ends."""
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\x0B\f]+", " "))

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Window, functions as F
 
 from ..functions import hashes
+from ..functions.text import printed
 from ..operators import dashboards as ops, library as lib
 from ..plans.library import views
 from ..session import table
@@ -159,4 +160,4 @@ def m11_length_ratio(spark, folder):
 @query("SELECT event_id, round(value / 1000, 1) AS seconds, printf('%.4f', value) AS cost FROM events")
 def m18_run_cost(spark, folder):
     """Duration in seconds and cost with four decimals, from a result event's numbers."""
-    return table(spark, folder, "events").select("event_id", F.round(F.col("value") / 1000, 1).alias("seconds"), F.format_string("%.4f", F.col("value")).alias("cost"))
+    return table(spark, folder, "events").select("event_id", F.round(F.col("value") / 1000, 1).alias("seconds"), printed(F.col("value"), 4).alias("cost"))

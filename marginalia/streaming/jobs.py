@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import printed
+
 #: Longest preview of running text.
 PREVIEW = 200
 
@@ -29,12 +31,13 @@ def log_entries(events: DataFrame) -> DataFrame:
     block, delta = F.col("event.content_block"), F.col("event.delta")
     path = F.element_at(F.split(F.element_at(block["input"], "file_path"), "/"), -1)
     tool = F.when(block["name"] == "Bash", F.concat(F.lit("Bash: "), F.substring(F.element_at(block["input"], "command"), 1, 80))).otherwise(F.concat_ws(" ", block["name"], path))
+    number = lambda c, decimals: F.coalesce(printed(F.when(F.col("type") == "result", c), decimals), F.lit("null"))
     entry = (
         F.when((F.col("type") == "system") & (F.col("subtype") == "init"), F.concat(F.lit("init "), F.coalesce("model", F.lit("?"))))
         .when((F.col("type") == "system") & (F.col("subtype") == "status"), F.coalesce("status", F.lit("?")))
         .when((F.col("type") == "stream_event") & (block["type"] == "tool_use"), tool)
         .when((F.col("type") == "result") & F.coalesce("is_error", F.lit(False)), F.concat(F.lit("error "), F.substring("result", 1, 200)))
-        .when(F.col("type") == "result", F.format_string("%.1fs $%.4f", F.col("duration_ms") / 1000, F.col("total_cost_usd")))
+        .when(F.col("type") == "result", F.concat(number(F.col("duration_ms") / 1000, 1), F.lit("s $"), number(F.col("total_cost_usd"), 4)))
     )
     text = F.when((F.col("type") == "stream_event") & (delta["type"] == "text_delta"), delta["text"])
     return events.select("key", "seq", entry.alias("entry"), text.alias("text")).where("entry IS NOT NULL OR text IS NOT NULL")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia import catalog
 from marginalia.operators import diagrams, quality
 from marginalia.queries import source_queries
+from marginalia.functions import text
 from marginalia.sources import archives
+from marginalia.streaming import jobs
 
 
 def joins(df: DataFrame) -> str:
@@ -64,3 +67,11 @@ def test_places_beyond_a_page_lie_on_a_later_one(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = [tuple(r) for r in catalog.QUERIES["w09_first_good_regions"](spark, str(tmp_path)).select("doc", "kind", "num", "rank", "page", "start").collect()]
     assert got == [(0, "tbl", 0, 1, 4, 0)]
+
+
+def test_printed_numbers_are_rounded_by_their_exact_value(spark):
+    rows = spark.createDataFrame([(v,) for v in (150.0, 250.0, 350.0, 750.0, 0.00005, 1e7, None)], "v double")
+    want = [tuple(r) for r in duckdb.sql("SELECT printf('%.1f', v / 1000), printf('%.4f', v) FROM (VALUES (150.0), (250.0), (350.0), (750.0), (0.00005), (1e7), (NULL)) t(v)").fetchall()]
+    assert [tuple(r) for r in rows.select(text.printed(F.col("v") / 1000, 1), text.printed(F.col("v"), 4)).collect()] == want
+    lines = spark.createDataFrame([("a", 1, '{"type":"result","duration_ms":350.0,"total_cost_usd":0.25}')], "key string, seq long, payload string")
+    assert jobs.log_entries(jobs.decoded(lines)).first()["entry"] == "0.3s $0.2500"
