@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia import catalog
-from marginalia.operators import diagrams, quality
-from marginalia.queries import source_queries
-from marginalia.functions import text
+from marginalia.operators import diagrams, library, quality
+from marginalia.queries import diagram_queries, gate_queries, markup_queries, source_queries
+from marginalia.functions import colors, text
 from marginalia.sources import archives
 from marginalia.streaming import jobs
 
@@ -75,3 +75,11 @@ def test_printed_numbers_are_rounded_by_their_exact_value(spark):
     assert [tuple(r) for r in rows.select(text.printed(F.col("v") / 1000, 1), text.printed(F.col("v"), 4)).collect()] == want
     lines = spark.createDataFrame([("a", 1, '{"type":"result","duration_ms":350.0,"total_cost_usd":0.25}')], "key string, seq long, payload string")
     assert jobs.log_entries(jobs.decoded(lines)).first()["entry"] == "0.3s $0.2500"
+
+
+def test_diagrams_are_parsed_by_many_tasks_and_once(spark, parts):
+    folder = parts(*[(k, 1 + k % 3) for k in range(50)])
+    for made in (diagram_queries.drawn(spark, folder, "<g/>"), markup_queries.svgs(spark, folder)):
+        assert made.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = joins(catalog.QUERIES["j27_overlapping_labels"](spark, folder))
+    assert "Broadcast" not in plan and "MapInArrow" not in plan  # the shapes were stored
