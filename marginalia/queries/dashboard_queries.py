@@ -10,7 +10,7 @@ from ..functions import hashes
 from ..functions.text import printed
 from ..operators import dashboards as ops, library as lib
 from ..plans.library import views
-from ..session import table
+from ..session import dealt, shuffled, table
 from .library_queries import ROWS_SQL, rows
 from .registry import query
 
@@ -151,10 +151,12 @@ def m10_digit_hash(spark, folder):
 
 @query("SELECT a.p_partkey AS one, b.p_partkey AS other, least(length(a.p_name), length(b.p_name)) / greatest(length(a.p_name), length(b.p_name)) AS ratio FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def m11_length_ratio(spark, folder):
-    part = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    other = part.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), "p_brand", "p_size")
-    a, b = F.length("p_name"), F.length("other_name")
-    return part.join(other, ["p_brand", "p_size"]).where("p_partkey < other").select(F.col("p_partkey").alias("one"), "other", (F.least(a, b) / F.greatest(a, b)).alias("ratio"))
+    """All pairs of a brand's parts of one size: as many rows as the square of such a group. Groups are dealt to tasks by
+    their number; the few bytes of their parts say nothing about the pairs."""
+    part = dealt(table(spark, folder, "part").select("p_partkey", F.length("p_name").alias("n"), "p_brand", "p_size"), "p_brand", "p_size", per_task=5_000)
+    other = part.select(F.col("p_partkey").alias("other"), F.col("n").alias("other_n"), "p_brand", "p_size")
+    a, b = F.col("n"), F.col("other_n")
+    return part.join(shuffled(other), ["p_brand", "p_size"]).where("p_partkey < other").select(F.col("p_partkey").alias("one"), "other", (F.least(a, b) / F.greatest(a, b)).alias("ratio"))
 
 
 @query("SELECT event_id, round(value / 1000, 1) AS seconds, printf('%.4f', value) AS cost FROM events")

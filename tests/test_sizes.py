@@ -83,3 +83,10 @@ def test_diagrams_are_parsed_by_many_tasks_and_once(spark, parts):
         assert made.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = joins(catalog.QUERIES["j27_overlapping_labels"](spark, folder))
     assert "Broadcast" not in plan and "MapInArrow" not in plan  # the shapes were stored
+
+
+def test_pairs_of_parts_are_made_by_many_tasks(spark, parts):
+    found = catalog.QUERIES["m11_length_ratio"](spark, parts(*[(k, k % 8) for k in range(80)]))
+    plan = joins(found)
+    assert "Broadcast" not in plan and plan.count("REPARTITION_BY_NUM") >= 1 and "ENSURE_REQUIREMENTS" not in plan
+    assert found.count() == 8 * 45 and {r.ratio for r in found.collect()} == {1.0}
