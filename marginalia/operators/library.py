@@ -144,11 +144,16 @@ def renamed_tags(tags: Column, old: str, new: str) -> Column:
 
 
 def with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """The group of the first tag or tag segment that ``groups`` (tag, group) knows; null where none is known."""
+    """The group of the first tag or tag segment that ``groups`` (tag, group) knows; null where none is known.
+
+    ``groups`` are a display's settings, a few rows, and meet every document as one map: tags are neither exploded nor
+    sorted, and the documents are made once.
+    """
     segments = F.flatten(F.transform("tags", lambda t: F.concat(F.array(t), F.split(t, "/"))))
-    found = rows.select("slug", F.posexplode(F.transform(segments, lambda s: F.lower(F.trim(s)))).alias("pos", "tag")).join(groups, "tag")
-    best = found.groupBy("slug").agg(F.min_by("group", "pos").alias("group"))
-    return rows.select("slug").join(best, "slug", "left")
+    each = groups.where("tag IS NOT NULL").groupBy("tag").agg(F.min("group").alias("group"))
+    known = each.agg(F.map_from_entries(F.collect_list(F.struct("tag", "group"))).alias("known"))
+    found = F.filter(F.transform(segments, lambda s: F.lower(F.trim(s))), lambda s: F.map_contains_key("known", s))
+    return rows.select("slug", "tags").crossJoin(F.broadcast(known)).select("slug", F.element_at("known", F.get(found, F.lit(0))).alias("group"))
 
 
 def bulk_edit(library: DataFrame, wanted: DataFrame, status: str | None, add: Sequence[str], remove: Sequence[str]) -> DataFrame:

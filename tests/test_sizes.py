@@ -90,3 +90,12 @@ def test_pairs_of_parts_are_made_by_many_tasks(spark, parts):
     plan = joins(found)
     assert "Broadcast" not in plan and plan.count("REPARTITION_BY_NUM") >= 1 and "ENSURE_REQUIREMENTS" not in plan
     assert found.count() == 8 * 45 and {r.ratio for r in found.collect()} == {1.0}
+
+
+def test_groups_of_documents_need_no_sort(spark):
+    rows = spark.createDataFrame([("a", ["x/Posters ", "ledger"]), ("b", ["none"]), ("c", []), ("d", None)], "slug string, tags array<string>")
+    groups = spark.createDataFrame([("posters", "p"), ("ledger", "l"), ("x/posters", "first")], "tag string, group string")
+    found = library.with_group(rows, groups)
+    assert "slug" not in " ".join(line for line in joins(found).splitlines() if "Exchange" in line or "Sort" in line)
+    assert {r.slug: r.group for r in found.collect()} == {"a": "first", "b": None, "c": None, "d": None}
+    assert {r.group for r in library.with_group(rows, groups.limit(0)).collect()} == {None}
