@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Relative luminance and the ratios that text must reach (WCAG AA), large from so many pixels on.
@@ -35,21 +37,25 @@ def needed(size: Column, weight: Column) -> Column:
     return F.when((size >= LARGE) | ((size >= LARGE_BOLD) & (weight >= BOLD)), READABLE_LARGE).otherwise(READABLE)
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def repaired(text: Rgb, background: Rgb, need: Column) -> Column:
     """A struct of r, g, b, ratio and fixed: the text's colour as it is if it reads, else the first of ten mixtures with
     black or white, whichever is far from the background, that reaches ``need``; the last one if none does. Null where a
     colour is null. The mixture's parts are rounded, its ratio is that before rounding."""
-    behind = luminance(background)
-    target = F.when(behind > LIGHT, 0.0).otherwise(255.0)
 
-    def mixed(k: Column) -> Column:
-        color = tuple(v + (target - v) * k / STEPS for v in text)
-        return F.struct(*[v.alias(n) for v, n in zip(color, "rgb")], ratio(luminance(color), behind).alias("ratio"))
+    def mixed(k: Column, behind: Column) -> Column:
+        target = F.when(behind > LIGHT, 0.0).otherwise(255.0)
+        color = _bound(target, lambda t: F.struct(*[(v + (t - v) * k / STEPS).alias(n) for v, n in zip(text, "rgb")]))
+        return _bound(color, lambda c: F.struct(*[c[n].alias(n) for n in "rgb"], _bound(luminance(tuple(c[n] for n in "rgb")), lambda own: ratio(own, behind)).alias("ratio")))
 
-    steps = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda k: F.struct(k.alias("k"), mixed(k.cast("double")).alias("c")))
-    # a fold stops at the first step that reads and carries only that one
+    # a fold mixes up to the first step that reads and carries only that one
     start = F.lit(None).cast("struct<k: int, c: struct<r: double, g: double, b: double, ratio: double>>")
-    chosen = F.aggregate(steps, start, lambda best, s: F.when(best["c"]["ratio"] >= need, best).otherwise(s), lambda s: s)
+    step = lambda behind: lambda best, k: F.when(best["c"]["ratio"] >= need, best).otherwise(F.struct(k.alias("k"), mixed(k.cast("double"), behind).alias("c")))
     final = lambda s: F.struct(*[F.when(s["k"] > 0, F.floor(s["c"][n] + 0.5).cast("double")).otherwise(s["c"][n]).alias(n) for n in "rgb"], s["c"]["ratio"].alias("ratio"), (s["k"] > 0).alias("fixed"))
-    result = F.element_at(F.transform(F.array(chosen), final), 1)
-    return F.when(sum(text, F.lit(0.0)).isNotNull() & behind.isNotNull(), result)
+    chosen = _bound(luminance(background), lambda behind: F.when(behind.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), start, step(behind))))
+    result = _bound(chosen, lambda s: F.when(s.isNotNull(), final(s)))
+    return F.when(sum(text, F.lit(0.0)).isNotNull(), result)

@@ -88,6 +88,6 @@ def m17_contrast(spark, folder):
     text, behind = css_color(k * 37 % 256, n * 11 % 256, k % 251), css_color(k * 13 % 256, F.floor(k / 7) % 256, n * 9 % 256)
     need = colors.needed(10 + k % 20, F.when(k % 3 == 0, 700).otherwise(400))
     parts = {f"{name}{i}": part for name, color in (("t", text), ("b", behind)) for i, part in enumerate(colors.rgb(color))}
-    rows = table(spark, folder, "customer").select("c_custkey", need.alias("need"), *[part.alias(name) for name, part in parts.items()])
+    rows = dealt(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select("c_custkey", need.alias("need"), *[part.alias(name) for name, part in parts.items()])
     rows = rows.select("c_custkey", colors.repaired(*[tuple(F.col(f"{name}{i}") for i in range(3)) for name in "tb"], F.col("need")).alias("c"))
     return rows.select("c_custkey", "c.fixed", "c.r", "c.g", "c.b", F.round("c.ratio", 6).alias("ratio"))

@@ -99,3 +99,12 @@ def test_groups_of_documents_need_no_sort(spark):
     assert "slug" not in " ".join(line for line in joins(found).splitlines() if "Exchange" in line or "Sort" in line)
     assert {r.slug: r.group for r in found.collect()} == {"a": "first", "b": None, "c": None, "d": None}
     assert {r.group for r in library.with_group(rows, groups.limit(0)).collect()} == {None}
+
+
+def test_colours_are_repaired_by_many_tasks(spark, data):
+    assert catalog.QUERIES["m17_contrast"](spark, data).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    c = lambda *parts: tuple(F.lit(p).cast("double") for p in parts)
+    got = spark.range(1).select(*[colors.repaired(a, b, F.lit(4.5)).alias(n) for n, a, b in (("same", c(0, 0, 0), c(255, 255, 255)), ("grey", c(200, 200, 200), c(255, 255, 255)), ("none", c(0, None, 0), c(1, 1, 1)), ("bare", c(0, 0, 0), c(None, 1, 1)))]).first()
+    assert (got["same"]["r"], got["same"]["fixed"], round(got["same"]["ratio"], 6)) == (0.0, False, 21.0)
+    assert got["grey"]["fixed"] and got["grey"]["r"] == 100.0 and got["grey"]["ratio"] >= 4.5
+    assert got["none"] is None and got["bare"] is None
