@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import figures, quality
 from ..session import table
@@ -28,15 +28,23 @@ GATE_SQL += " UNION ALL ".join(f"SELECT o_orderkey AS slug, '{severity}' AS seve
 
 def records(spark, folder) -> DataFrame:
     """Orders as records, their lines as sections: every rule of the gate is broken by some and kept by others."""
-    k, c, line = F.col("o_orderkey"), F.col("o_custkey"), F.col("l_linenumber").cast("string")
-    part = F.col("l_partkey") % 4
-    section = F.struct(
-        F.concat(F.lit("s"), line).alias("id"), F.lit("x").alias("title_en"), F.when(part == 0, " ").when(part == 1, "k" * 70).otherwise("short").alias("summary_ko"),
-        F.array(F.struct(F.when(F.col("l_tax") == 0, " ").otherwise("e").alias("en"), F.repeat(F.lit("k"), F.col("l_quantity").cast("int") * 50).alias("ko"))).alias("paragraphs"),
-        F.when(F.col("l_suppkey") % 3 == 1, "n" * 60).when(F.col("l_suppkey") % 3 == 2, "n" * 100).alias("readers_notes_md"),
-    )
-    asked, answered = F.when(F.col("l_returnflag") == "R", F.struct(F.concat(F.lit("a"), line).alias("id"), F.lit("s").alias("section_id"))), F.when(F.col("l_linestatus") == "O", F.struct(F.concat(F.lit("a"), line).alias("ambiguity_id")))
-    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*[F.collect_list(x).alias(n) for n, x in (("sections", section), ("ambiguities", asked), ("code_clarifications", answered))])
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    id_of = lambda letter, l: F.concat(F.lit(letter), l["l_linenumber"].cast("string"))
+
+    def section(l: Column) -> Column:
+        part, supplier = l["l_partkey"] % 4, l["l_suppkey"] % 3
+        return F.struct(
+            id_of("s", l).alias("id"), F.lit("x").alias("title_en"), F.when(part == 0, " ").when(part == 1, "k" * 70).otherwise("short").alias("summary_ko"),
+            F.array(F.struct(F.when(l["l_tax"] == 0, " ").otherwise("e").alias("en"), F.repeat(F.lit("k"), l["l_quantity"].cast("int") * 50).alias("ko"))).alias("paragraphs"),
+            F.when(supplier == 1, "n" * 60).when(supplier == 2, "n" * 100).alias("readers_notes_md"),
+        )
+
+    # lines are gathered as they are; the long texts of sections are made behind the shuffle
+    gathered = F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_tax", "l_quantity", "l_returnflag", "l_linestatus"))
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(gathered.alias("lines"))
+    sections = F.transform("lines", section)
+    ambiguities = F.transform(F.filter("lines", lambda l: l["l_returnflag"] == "R"), lambda l: F.struct(id_of("a", l).alias("id"), F.lit("s").alias("section_id")))
+    clarifications = F.transform(F.filter("lines", lambda l: l["l_linestatus"] == "O"), lambda l: F.struct(id_of("a", l).alias("ambiguity_id")))
     text = lambda test, value: F.when(test, "").otherwise(value)
     category = F.element_at(F.array(*map(F.lit, (*quality.CATEGORIES, "bio", "", "math"))), (c % 10 + 1).cast("int"))
     metadata = F.struct(
@@ -46,8 +54,8 @@ def records(spark, folder) -> DataFrame:
     )
     none = lambda test: F.when(test, F.array().cast("array<string>")).otherwise(F.array(F.lit("p")))
     return table(spark, folder, "orders").join(lines, "o_orderkey", "left").select(
-        k.alias("slug"), metadata.alias("metadata"), "sections", none(c % 3 == 1).alias("prerequisites"), none(k % 8 == 0).alias("key_terms"), F.when(k % 2 == 0, F.struct(F.lit("r").alias("repo"))).alias("github"),
-        F.coalesce("ambiguities", F.array().cast("array<struct<id: string, section_id: string>>")).alias("ambiguities"), "code_clarifications", F.when(c % 5 != 0, F.array().cast("array<struct<id: string>>")).alias("figures"), (c % 9).cast("int").alias("detected_sections"),
+        k.alias("slug"), metadata.alias("metadata"), sections.alias("sections"), none(c % 3 == 1).alias("prerequisites"), none(k % 8 == 0).alias("key_terms"), F.when(k % 2 == 0, F.struct(F.lit("r").alias("repo"))).alias("github"),
+        F.coalesce(ambiguities, F.array().cast("array<struct<id: string, section_id: string>>")).alias("ambiguities"), clarifications.alias("code_clarifications"), F.when(c % 5 != 0, F.array().cast("array<struct<id: string>>")).alias("figures"), (c % 9).cast("int").alias("detected_sections"),
     )
 
 

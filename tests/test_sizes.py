@@ -108,3 +108,9 @@ def test_colours_are_repaired_by_many_tasks(spark, data):
     assert (got["same"]["r"], got["same"]["fixed"], round(got["same"]["ratio"], 6)) == (0.0, False, 21.0)
     assert got["grey"]["fixed"] and got["grey"]["r"] == 100.0 and got["grey"]["ratio"] >= 4.5
     assert got["none"] is None and got["bare"] is None
+
+
+def test_long_texts_of_records_are_made_behind_the_shuffle(spark, data):
+    plan = gate_queries.records(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "collect_list(" in line]
+    assert gathered and not any("repeat(" in line for line in gathered)
