@@ -8,8 +8,8 @@ both meet some subsets of which they hold a term or two: such a code survives an
 Subsets that keep most terms, as for matching copies with a few changed words, would all change with a changed quarter.
 
 A band that starts at a share of the texts holds at most (distinct terms of an average text) / LOWEST terms,
-whatever the corpus; it becomes a bitmap of fixed size (1 MB), which is a constant of the plan. Nothing is joined on
-terms. A term is in it by PROBES bits of its hash, so a term outside the band counts as inside with a probability of
+whatever the corpus; it becomes a bitmap of fixed size (1 MB), the only value of a small table that the plan reads once
+as a scalar: as a constant, every text of the plan would hold it several times over. Nothing is joined on terms. A term is in it by PROBES bits of its hash, so a term outside the band counts as inside with a probability of
 (1 - exp(-PROBES * lexicon / BITMAP)) ** PROBES: 1e-6 for 30 000 lexicon terms, 2e-3 for 400 000. Equal texts have equal
 fingerprints all the same.
 """
@@ -21,6 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
 from .carried import whole_numbers
 
 LOWEST, HIGHEST = 0.0005, 0.2
@@ -59,8 +60,16 @@ def _known(bitmap: Column, hashed: Column) -> Column:
     return found
 
 
-def _constant(masks: dict[int, int]) -> Column:
-    return F.split(F.lit(",".join(str(masks.get(i, 0)) for i in range(BITMAP // 64))), ",").cast("array<bigint>")
+def _bitmap(masks: DataFrame, label: str) -> Column:
+    """word, mask as an array of BITMAP / 64 words, 0 where there is none. These rows don't grow with the corpus."""
+    words = masks.sparkSession.range(BITMAP // 64).join(masks, F.col("id") == F.col("word"), "left")
+    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))))
+    return materialize(words.agg(ordered["mask"].alias("bitmap")), label).scalar()
+
+
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is named once in the plan and not copied."""
+    return F.element_at(F.transform(F.array(value), of), 1)
 
 
 def _has(bitmap: Column, hashed: Column) -> Column:
@@ -77,14 +86,15 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     text = F.coalesce(text_col, F.lit(""))
     rows = docs.select(text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     counted = rows.groupBy("digest").count().select(*_place(F.xxhash64("digest")), "count")
-    found = counted.groupBy("word").agg(F.bit_or(F.when(F.col("count") > 1, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("mask"), F.count(F.lit(1)).alias("texts")).collect()  # BITMAP / 64 rows at most
-    marked = _has(_constant({r["word"]: r["mask"] for r in found}), F.xxhash64("digest"))
+    stored = materialize(counted.groupBy("word").agg(F.bit_or(F.when(F.col("count") > 1, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("mask"), F.count(F.lit(1)).alias("texts")), "digests")  # BITMAP / 64 rows at most
+    total = stored.agg(F.sum("texts").alias("texts")).first()["texts"] or 0
+    marked = _has(_bitmap(stored.select("word", "mask"), "repeats"), F.xxhash64("digest"))
     again = rows.where(marked).groupBy("digest").agg(F.first("text").alias("text"))
-    return rows.where(~marked).select("text").unionByName(again.select("text")), sum(r["texts"] for r in found)
+    return rows.where(~marked).select("text").unionByName(again.select("text")), total
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", lowest: float = LOWEST, highest: float = HIGHEST) -> Column:
-    """The lexicon's bitmap as a constant: an array of BITMAP / 64 words, whatever the corpus. Term hashes are counted before the shuffle.
+    """The lexicon's bitmap as a scalar: an array of BITMAP / 64 words, whatever the corpus. Term hashes are counted before the shuffle.
 
     Each distinct text counts once. In corpora of under 1 / lowest texts a term needs two texts.
     """
@@ -92,7 +102,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", lowest: float = LOWEST, hig
     seen = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy(F.xxhash64("term").alias("hash")).count()
     chosen = seen.where((F.col("count") >= max(2, math.ceil(lowest * total))) & (F.col("count") <= max(2, math.floor(highest * total))))
     masks = chosen.select(F.explode(_probed(F.col("hash"))).alias("probe")).select(*_place(F.col("probe"))).groupBy("word").agg(F.bit_or("bit").alias("mask"))
-    return _constant({r["word"]: r["mask"] for r in masks.collect()})  # BITMAP / 64 rows at most
+    return _bitmap(masks, "lexicon")
 
 
 def _cell(term_hash: Column, shift: int, rate: int) -> Column:
@@ -111,11 +121,10 @@ def _with_codes(rows: DataFrame, text: str, out: str, bitmap: Column) -> DataFra
     """Adds ``out``, an array of one code for each subset, empty where the text has none of its terms; and
     ``out``_rest, a hash of all terms of a text that has no code at all (null for others)."""
 
-    def known(term: Column) -> Column:
-        return _known(bitmap, F.xxhash64(term))
-
     rows = rows.withColumn("_terms", terms(F.col(text)))
-    rows = rows.withColumn("_sorted", F.array_sort(F.array_distinct(F.filter("_terms", known))))
+    # a function over arrays takes no scalar; it takes a column, which is named once, so that no row holds the bitmap
+    held = _bound(F.col("_bitmap"), lambda b: F.array_sort(F.array_distinct(F.filter("_terms", lambda t: _known(b, F.xxhash64(t))))))
+    rows = rows.withColumn("_bitmap", bitmap).select(*rows.columns, held.alias("_sorted"))
     rows = rows.withColumn("_hashes", F.transform("_sorted", lambda t: F.xxhash64(F.lit("subset"), t)))
     parts = []
     for i, (rate, subsets) in enumerate(SCALES):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia import catalog
+from marginalia.llm import imatch
 from marginalia.operators import diagrams, library, quality
 from marginalia.queries import diagram_queries, gate_queries, markup_queries, source_queries
 from marginalia.functions import colors, text
@@ -114,3 +115,8 @@ def test_long_texts_of_records_are_made_behind_the_shuffle(spark, data):
     plan = gate_queries.records(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     gathered = [line for line in plan.splitlines() if "collect_list(" in line]
     assert gathered and not any("repeat(" in line for line in gathered)
+
+
+def test_plans_of_fingerprints_hold_no_bitmap(spark):
+    docs = spark.createDataFrame([(i, f"one two three {i % 3}") for i in range(20)], "doc_id long, text string")
+    assert len(imatch.fingerprints(docs)._jdf.queryExecution().toString()) < 1_000_000
