@@ -9,16 +9,15 @@ the dual coefficients.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .sampling import first_rows, fold, sampled
-from .words import texts_of
+from .words import in_slices, sliced, texts_of
 
 BUCKETS, ORDERS = 8192, 4
 #: Bounds of the training sample: texts of a language, and texts in all.
@@ -89,7 +88,7 @@ class Model:
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language and its share of a softmax over the margins, for each text."""
         names, scores = [], []
-        for part in _batches([t.encode().lower() for t in texts]):
+        for part in _batches(t.encode().lower() for t in texts):
             margins = SHARPNESS * self.margins(presence(part))
             best = margins.argmax(axis=1)
             shares = np.exp(margins - margins.max(axis=1, keepdims=True))
@@ -98,7 +97,7 @@ class Model:
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def _batches(texts: list[bytes]) -> Iterator[list[bytes]]:
+def _batches(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     held, size = [], 0
     for t in texts:
         if held and (size + len(t) > SLICE_BYTES or len(held) >= SLICE_DOCUMENTS):
@@ -146,9 +145,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     learn = sampled(rows.where((fold(F.col("doc_id"), FOLDS) != 0) & F.col("text").isNotNull()), "doc_id", "lang", per_language, SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 2):
             at = 0
-            for part in _batches([t.encode().lower() for t in texts_of(batch.column(2))]):
+            for part in _batches(t.encode().lower() for t in texts_of(batch.column(2))):
                 bits = np.packbits(presence(part), axis=1)
                 yield pa.RecordBatch.from_pydict({"at": batch.column(0).slice(at, len(part)), "lang": batch.column(1).slice(at, len(part)), "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
                 at += len(part)
@@ -168,10 +167,11 @@ def has_letter(text: Column) -> Column:
 def predicted(text: Column, model: Model) -> Column:
     """A struct of lang and score; ``und`` with score 0 for null and for texts without a letter."""
 
-    @F.pandas_udf("lang string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        names, scores = model.predict(["" if t is None else t for t in texts])
-        return pd.DataFrame({"lang": names, "score": scores.astype(float)})
+    @F.arrow_udf("lang string, score double")
+    def run(texts: pa.Array) -> pa.Array:
+        found = [model.predict(texts_of(texts.slice(a, b - a))) for a, b in sliced(texts)]
+        names, scores = [n for part, _ in found for n in part], np.concatenate([s for _, s in found]).astype(float)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang", "score"])
 
     nothing = F.struct(F.lit(NONE).alias("lang"), F.lit(0.0).alias("score"))
     if not model.languages:

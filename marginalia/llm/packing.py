@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
-from .words import encoder, texts_of
+from .words import encoder, in_slices, texts_of
 
 WINDOW = 1024
 END_ID = 0
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", window: int = W
         kinds: list[pa.DataType] = []
 
         def documents() -> Iterator[tuple[object, np.ndarray]]:
-            for batch in batches:
+            for batch in in_slices(batches, 1):
                 kinds[:] = [batch.column(0).type]
                 names, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
                 for a, b, ids, bounds in coder.encode(texts):

@@ -24,7 +24,7 @@ from ..session import materialize, release, spread
 from .carried import carried, restored
 from .components import stars
 from .simhash import TILE
-from .words import texts_of
+from .words import in_slices, texts_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS = 4  # of 64 bits
@@ -84,7 +84,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 2):
             prints, bands = [], []
             for text in texts_of(batch.column(2)):
                 hashes = shingle_hashes(text)
@@ -301,7 +301,7 @@ def shingle_sets(links: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     texts = docs.select(_node(text_col), F.coalesce(text_col, F.lit("")).alias("text")).join(involved, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             sets = [shingle_hashes(t).view(np.int64) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 

@@ -15,13 +15,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize, release
 from .sampling import first_rows, fold, sampled
-from .words import TABLE_WORDS, texts_of
+from .words import TABLE_WORDS, sliced, texts_of
 
 BUCKETS, WIDTH = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
@@ -330,9 +329,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def scored(text: Column, model: Model) -> Column:
     """The score of each text, 0 to 1; null counts as empty."""
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(["" if t is None else t for t in texts]))
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([model.scores(texts_of(texts.slice(a, b - a))) for a, b in sliced(texts)]))
 
     return run(text)
 

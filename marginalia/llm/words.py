@@ -20,12 +20,15 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Characters of white space in the sense of the pattern's \s.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Code points of a slice that is cut at once: bounds the memory of the arrays.
 SLICE_CHARS = 1_000_000
+#: Bytes of the texts of a batch that are Python strings at once.
+SLICE_BYTES = 1 << 21
 #: Distinct words a worker keeps before it starts its table anew; more where encoding a word costs more.
 TABLE_WORDS, COSTLY_WORDS = 300_000, 700_000
 #: Stands for the end of a word in vocabularies that mark it; no text in UTF-8 has this byte.
@@ -330,6 +333,23 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def sliced(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of an Arrow column of texts with about ``limit`` bytes each; a longer text adds its own. A worker
+    keeps what it once took, so a batch's texts are made Python strings a part at a time, and what Arrow has free goes
+    back to the system at the end."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(column)])
+    pa.default_memory_pool().release_unused()
+
+
+def in_slices(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut by the bytes of their column ``text``."""
+    for batch in batches:
+        for a, b in sliced(batch.column(text)):
+            yield batch.slice(a, b - a)
+
+
 def strings(column: pa.Array) -> list[str]:
     """The values of an Arrow column of strings, converted at once."""
     return column.to_numpy(zero_copy_only=False).tolist()

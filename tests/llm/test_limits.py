@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from marginalia.llm import bpe_codec, language_id, toxicity
+from marginalia.llm import bpe_codec, language_id, toxicity, words
 from marginalia.llm.components import stars
 
 
@@ -64,3 +66,28 @@ def test_kernel_in_slices_learns_the_same(monkeypatch):
     whole = language_id.fit_sets(sets, labels)
     monkeypatch.setattr(language_id, "KERNEL_ROWS", 7)
     assert np.allclose(language_id.fit_sets(sets, labels).weights, whole.weights, atol=1e-5)
+
+
+def test_batches_of_texts_are_python_strings_a_part_at_a_time(spark):
+    class Bounded:
+        """Stands for a model; refuses texts of more bytes at once than ``most``, longer single ones aside."""
+
+        languages, most = ["en"], 2 * words.SLICE_BYTES
+
+        def scores(self, texts):
+            if len(texts) > 1 and sum(map(len, texts)) > self.most:
+                raise ValueError("too many texts at once")
+            return np.array([float(len(t)) for t in texts])
+
+        def predict(self, texts):
+            return ["en"] * len(texts), self.scores(texts)
+
+    sizes = [1, 0, 3_000_000, *[40_000] * 300, None]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n int").coalesce(1).select("doc_id", F.repeat(F.lit("a"), "n").alias("text"))
+    got = docs.select("doc_id", language_id.predicted(F.col("text"), Bounded()).alias("p"), toxicity.scored(F.col("text"), Bounded()).alias("s")).orderBy("doc_id").collect()
+    assert [r.s for r in got] == [float(n or 0) for n in sizes]
+    assert [(r.p.lang, r.p.score) for r in got] == [("en", float(n)) if n else ("und", 0.0) for n in sizes]
+    column = pa.array(["a" * (n or 0) if n is not None else None for n in sizes])
+    parts = list(words.sliced(column))
+    assert [a for a, _ in parts] == [0, *[b for _, b in parts[:-1]]] and parts[-1][1] == len(sizes) and len(parts) > 4
+    assert list(words.sliced(column[:0])) == [(0, 0)]
