@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import io
+import gzip
 import tarfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from ..functions import colors, css
@@ -21,19 +21,19 @@ TEX = r"""\begin{figure*}\centering\includegraphics[width=1]{img/%(name)s}\capti
 
 def archive_of(name: str, size: int) -> bytes:
     """A tar archive of LaTeX and images that are named after a part."""
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w:gz" if size % 2 else "w") as tar:
-        text = TEX % {"name": name, "size": size, "third": "nowhere" if size % 3 == 0 else f"other_{size}"}
-        for path, content in (("main.tex", text.encode()), (f"src/img/{name}.{'jpeg' if size % 2 else 'png'}", b"1"), (f"{name}-b.pdf", b"2"), ("notes.txt", b"-"), (f"other_{size}.svg", b"3"), (f"old/other_{size}.svg", b"4")):
-            info = tarfile.TarInfo(path)
-            info.size = len(content)
-            tar.addfile(info, io.BytesIO(content))
-    return out.getvalue()
+    text = TEX % {"name": name, "size": size, "third": "nowhere" if size % 3 == 0 else f"other_{size}"}
+    blocks = []
+    for path, content in (("main.tex", text.encode()), (f"src/img/{name}.{'jpeg' if size % 2 else 'png'}", b"1"), (f"{name}-b.pdf", b"2"), ("notes.txt", b"-"), (f"other_{size}.svg", b"3"), (f"old/other_{size}.svg", b"4")):
+        info = tarfile.TarInfo(path)
+        info.size = len(content)
+        blocks += [info.tobuf(), content, bytes(-len(content) % tarfile.BLOCKSIZE)]
+    archive = b"".join(blocks) + bytes(2 * tarfile.BLOCKSIZE)
+    return gzip.compress(archive, 1) if size % 2 else archive
 
 
 def part_archives(spark, folder):
-    make = F.pandas_udf(lambda names, sizes: pd.Series([archive_of(n, s) for n, s in zip(names, sizes)]), T.BinaryType())
-    parts = dealt(table(spark, folder, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", per_task=10_000)
+    make = F.arrow_udf(lambda names, sizes: pa.array(map(archive_of, names.to_pylist(), sizes.to_pylist()), pa.binary()), T.BinaryType())
+    parts = dealt(table(spark, folder, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", per_task=2_500)
     return parts.select(F.col("p_partkey").cast("string").alias("path"), make("p_name", "p_size").alias("content"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+
 import duckdb
 import pytest
 from pyspark.sql import DataFrame, functions as F
@@ -53,6 +56,12 @@ def test_archive_members_are_not_broadcast(spark):
 def test_archives_are_made_and_read_by_many_tasks(spark, parts):
     folder = parts(*[(k, 1 + k % 3) for k in range(50)])
     assert source_queries.part_archives(spark, folder).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert source_queries.part_archives(spark, parts(*[(k, 1 + k % 3) for k in range(12_000)])).rdd.getNumPartitions() >= 5  # tasks of a few seconds
+    for size in (1, 2):
+        made = source_queries.archive_of("large ring", size)
+        assert len(made) < 8192  # no padding to a record of 20 blocks
+        with tarfile.open(fileobj=io.BytesIO(made), mode="r:gz" if size % 2 else "r:") as archive:
+            assert [m.size for m in archive][1:] == [1] * 5 and archive.getnames()[1] == f"src/img/large ring.{'jpeg' if size % 2 else 'png'}"
 
 
 BOX_AND_TEXT = '<svg viewBox="0 0 400 200"><rect x="10" y="20" width="60" height="60"/><text x="40" y="50">one</text></svg>'
