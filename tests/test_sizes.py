@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import cProfile
 import io
+import pstats
 import tarfile
 
 import duckdb
@@ -13,7 +15,7 @@ from marginalia import catalog
 from marginalia.llm import imatch
 from marginalia.operators import diagrams, library, quality
 from marginalia.queries import diagram_queries, gate_queries, markup_queries, source_queries
-from marginalia.functions import colors, text
+from marginalia.functions import colors, svg, text
 from marginalia.sources import archives
 from marginalia.streaming import jobs
 
@@ -95,6 +97,20 @@ def test_diagrams_are_parsed_by_many_tasks_and_once(spark, parts):
     assert "Broadcast" not in plan and "MapInArrow" not in plan  # the shapes were stored
 
 
+def calls(drawing: str) -> int:
+    """Calls that parsing a diagram takes."""
+    svg.shapes(drawing)  # patterns are compiled once
+    profile = cProfile.Profile()
+    profile.runcall(svg.shapes, drawing)
+    return pstats.Stats(profile).total_calls
+
+
+def test_the_tree_of_a_diagram_takes_few_calls():
+    drawing = '<svg viewBox="0 0 400 200"><style>.big, .k { font-size: 12px } .other{font-size:3px}</style><g transform="translate(3,4)"><g transform=" translate( 2 3 ) " class="other k"><rect x="1" y="2" width="30" height="9"/><text x="4" y="9">one<tspan x="5" dy="1.5em">second</tspan></text></g><ellipse cx="7" cy="8" rx="9" ry="5"/></g><g transform="rotate(9)"><rect width="50" height="50"/></g><defs><rect width="50" height="50"/></defs><polygon points="0,0 9,4 3,7"/></svg>'
+    assert [(s["kind"], s.get("size")) for s in svg.shapes(drawing)] == [("view", None), ("rect", None), ("text", 12.0), ("text", 12.0), ("ellipse", None), ("polygon", None)]
+    assert calls(drawing) < 600
+
+
 def test_pairs_of_parts_are_made_by_many_tasks(spark, parts):
     found = catalog.QUERIES["m11_length_ratio"](spark, parts(*[(k, k % 8) for k in range(80)]))
     plan = joins(found)
