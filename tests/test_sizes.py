@@ -111,6 +111,12 @@ def test_the_tree_of_a_diagram_takes_few_calls():
     assert calls(drawing) < 600
 
 
+def test_labels_of_a_diagram_take_few_calls():
+    drawing = '<svg viewBox="0 0 400 200" xmlns="http://www.w3.org/2000/svg"><text x="50" y="50">large ring</text><g transform="translate(40,0)"><text x="9" y="55">LARGE</text></g></svg>'
+    assert [(s["ax"], s["size"], s["anchor"]) for s in svg.shapes(drawing)[1:]] == [(50.0, 16.0, "start"), (49.0, 16.0, "start")]
+    assert calls(drawing) < 200
+
+
 def test_pairs_of_parts_are_made_by_many_tasks(spark, parts):
     found = catalog.QUERIES["m11_length_ratio"](spark, parts(*[(k, k % 8) for k in range(80)]))
     plan = joins(found)
